@@ -33,7 +33,8 @@ def byte_alphabet() -> dict[str, int]:
 class Vocabulary:
     """Tables of a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, tables: bool = True):
+        """tables: also those for encoding; else only the tokens' bytes."""
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"]
@@ -48,6 +49,8 @@ class Vocabulary:
             self.bytes[i] = bytes(map(alphabet.__getitem__, text))
         for text, i in self.special.items():
             self.bytes[i] = text.encode()
+        if not tables:
+            return
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left, right, made = (np.array([ids[x] for x in side], np.int64) for side in ([a for a, _ in pairs], [b for _, b in pairs], [a + b for a, b in pairs]))
         self.rank = np.full(self.size, -1, np.int64)  # -1: a byte, made by no merge

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one slice inside a Python worker; bounds the memory of a vectorised step on usual texts.
@@ -63,7 +64,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", rows: int = SLICE_ROWS,
     """Cuts a batch where its rows or the bytes of a text column reach the limits. Rows stay whole and in order."""
     texts = batch.column(batch.schema.get_field_index(column))
     start, held = 0, 0
-    lengths = pa.compute.binary_length(texts).fill_null(0).to_pylist()
+    lengths = pc.binary_length(texts).fill_null(0).to_pylist()
     for i, n in enumerate(lengths):
         if i > start and (i - start >= rows or held + n > size):
             yield batch.slice(start, i - start)

@@ -1,0 +1,33 @@
+"""Connected components of link tables, without collecting links or labels."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._shared import Scratch
+
+
+def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """id, component for every id of links(a, b): the smallest id that can be reached.
+
+    Each round takes the smallest label among a vertex and its neighbours and then the label of that label, so
+    the rounds grow with the logarithm of the longest path. Both sides of each join are written tables, which
+    lets Spark split the partitions of vertices with very many links; the minima are partly taken before they
+    are shuffled. Null ids link nothing.
+    """
+    known = links.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select("a", "b")
+    both = scratch.save(known.union(known.select("b", "a")).toDF("u", "v"), f"{name}-links")
+    labels = scratch.save(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("component")), f"{name}-0")
+    k = 0
+    while True:
+        k += 1
+        near = both.join(labels.toDF("v", "c"), "v").groupBy(F.col("u").alias("id")).agg(F.min("c").alias("m"))
+        step = scratch.save(labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", "m").alias("c")), f"{name}-step")
+        jumped = step.join(step.select(F.col("id").alias("c"), F.col("c").alias("component")), "c").select("id", "old", "component")
+        labels, before = scratch.save(jumped, f"{name}-{k}"), f"{name}-{k - 1}"
+        changed = labels.filter("old != component").limit(1).count()
+        labels = labels.select("id", "component")
+        scratch.drop(before)
+        if not changed:
+            return labels

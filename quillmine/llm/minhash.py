@@ -217,3 +217,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     gives an empty result; other columns aren't read. Sets are compared on whole texts.
     """
     return Search(docs, size, percent).run()
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """docs, with their columns, less all but the smallest doc_id of each component of near-duplicates.
+
+    Rows without words or with a null doc_id stay. Rows that repeat both doc_id and text are one document.
+    """
+    found = near_duplicates(docs, size, percent)
+    dropped = Scratch(docs.sparkSession, "dropped").save(found.filter("not kept").select("doc_id").distinct(), "ids")
+    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    return left.dropDuplicates(["doc_id", "text"]) if repeated else left

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, media, minhash, packing, quality, secrets, token_counts
+from . import bpe, chat, embedding_dups, html_text, media, minhash, packing, quality, secrets, token_counts
 from ._shared import table
 
 
@@ -37,6 +37,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +64,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_media": op3_media,
         "op4_chat": op4_chat,
         "op5_bpe": op5_bpe,
+        "op6_embeddings": op6_embeddings,
+        "op7_html": op7_html,
         "op8_quality": op8_quality,
         "op9_packing": op9_packing,
         "op10_secrets": op10_secrets,

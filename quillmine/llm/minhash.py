@@ -4,8 +4,8 @@ Every row's shingle set gives minima of some 120 hash functions. Bands of whole
 minimum the low bits are kept, packed into longs, and the similarity of candidates is estimated by counting equal
 lanes, corrected for lanes that agree by chance. Candidates that may reach the threshold are confirmed on their full
 sets. Rows with equal sets are one class from the start, so that copies never make pairs, and a band's bucket is
-compared with one pivot instead of pair by pair: what the first pivots leave undecided (members of a bucket that
-are in different components) is gone through with more pivots, and at last pair by pair in blocks.
+compared with one pivot instead of pair by pair. What the pivots leave undecided (members of a bucket that are in
+different components) is gone through in blocks that hold texts and signatures and send back links, not pairs.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +28,8 @@ BITS, MISS = 2, 1e-6
 LANES = 64 // BITS
 #: Standard deviations that an estimate may lie under the threshold and still be confirmed on full sets.
 SLACK = 6
-#: Members of a bucket up to which its undecided pairs are gone through in one block, and rounds of pivots before.
-BLOCK, PIVOTS = 256, 3
+#: Members of a family in one slot. Buckets above LARGE get rounds of pivots before their pairs are gone through.
+BLOCK, LARGE, PIVOTS = 1024, 16_384, 3
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -103,10 +102,8 @@ def shingle_set(text: str | None, size: int) -> set:
     return set(zip(*(words[i:] for i in range(size)), strict=False))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. Only the texts that pairs need are moved."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = scratch.save(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi"), f"{name}-texts")
+def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,16 +119,58 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scratch:
                     hit.append(i)
             yield batch.select(["a", "b"]).take(pa.array(hit, pa.int64()))
 
-    links = scratch.save(both.mapInArrow(run, pairs.select("a", "b").schema), f"{name}-links")
-    scratch.drop(f"{name}-texts")
-    return links
+    return both.mapInArrow(run, pairs.select("a", "b").schema)
+
+
+def set_bits(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bit sets of the texts over those shingles that two of them share at least, and the sizes of the full sets."""
+    hashes, counts, _ = _words.words(texts)
+    found, n = _words.shingles(hashes, counts, size)
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((row, found))
+    found, row = found[order], row[order]
+    once = np.r_[True, (found[1:] != found[:-1]) | (row[1:] != row[:-1])][: len(found)]
+    found, row = found[once], row[once]
+    sizes = np.bincount(row, minlength=len(n))
+    _, place, times = np.unique(found, return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1
+    keep = times[place] > 1
+    row, bit = row[keep], shared[place[keep]]
+    bits = np.zeros((len(n), int((times > 1).sum()) // 64 + 1), np.uint64)
+    np.bitwise_or.at(bits, (row, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+    return bits, sizes
+
+
+def links_in_block(t: pa.Table, size: int, percent: int, lanes: int, within: bool) -> tuple[list, list]:
+    """Links between members of different components: estimates first, then full sets. At most one for each member.
+
+    within: also pairs of the same slot; else only those of two slots.
+    """
+    ids, slot = t.column("id").to_pylist(), t.column("slot").to_numpy()
+    _, root = np.unique(t.column("component").to_numpy(), return_inverse=True)
+    sign = np.stack([np.array(x, np.int64) for x in t.column("packed").to_pylist()]).view(np.uint64)
+    bits, sizes = set_bits(pa.concat_arrays(t.column("text").chunks), size)
+    low, chance, least = np.uint64(int("01" * LANES, 2)), 2.0**-BITS, least_estimate(percent, lanes)
+    out: tuple[list, list] = ([], [])
+    for x in range(len(ids) - 1):
+        y = x + 1 + np.flatnonzero((root[x + 1 :] != root[x]) & (within | (slot[x + 1 :] != slot[x])))
+        d = sign[y] ^ sign[x]
+        equal = 1 - np.bitwise_count((d | (d >> np.uint64(1))) & low).sum(1, dtype=np.int64) / lanes
+        y = y[(equal - chance) / (1 - chance) >= least]
+        common = np.bitwise_count(bits[y] & bits[x]).sum(1, dtype=np.int64)
+        for k in y[100 * common >= percent * (sizes[y] + sizes[x] - common)].tolist():
+            if root[k] != root[x]:
+                root[root == root[k]] = root[x]
+                out[0].append(ids[x])
+                out[1].append(ids[k])
+    return out
 
 
 class Search:
     """State of one run: classes with their signatures, members of buckets, and the links so far."""
 
     def __init__(self, docs: DataFrame, size: int, percent: int):
-        self.docs, self.size, self.percent = docs, size, percent
+        self.size, self.percent = size, percent
         self.scratch = Scratch(docs.sparkSession, "minhash")
         bands, rows = bands_for(percent)
         self.lanes = bands * rows
@@ -144,25 +183,30 @@ class Search:
         members = self.reps.select("id", F.explode("bands").alias("key"))
         buckets = save(members.groupBy("key").agg(F.min_by("id", F.xxhash64("id")).alias("pivot"), F.count("*").alias("n")).filter("n > 1"), "buckets")
         self.near = save(members.join(buckets, "key"), "near")
+        self.texts = save(docs.select("doc_id", "text").join(self.near.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").toDF("id", "text"), "texts")
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
+    def add(self, links: DataFrame, name: str) -> None:
+        """Takes confirmed links (a, b) and finds the components of all links so far."""
+        links = self.scratch.save(links.select("a", "b"), f"{name}-links")
+        self.links = links if self.links is None else self.links.union(links)
+        self.labels = connected_components(self.links, self.scratch, f"{name}-components")
+
     def check(self, pairs: DataFrame, name: str) -> None:
-        """Confirms pairs (a, b), each once, and finds the components of all links so far."""
+        """Estimates pairs (a, b), each once, and confirms those that may reach the threshold."""
         ordered = pairs.filter("a != b").distinct()
         p, q = (self.reps.select(F.col("id").alias(i), F.col("n_shingles").alias(n), F.col("packed").alias(s)) for i, n, s in (("a", "na", "sa"), ("b", "nb", "sb")))
         close = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent) & (estimate(F.col("sa"), F.col("sb"), self.lanes) >= least_estimate(self.percent, self.lanes))
-        likely = self.scratch.save(ordered.join(p, "a").join(q, "b").filter(close).select("a", "b").distinct(), f"{name}-likely")
-        links = confirm(likely, self.docs, self.size, self.percent, self.scratch, name)
-        self.links = links if self.links is None else self.links.union(links)
-        self.labels = connected_components(self.links, self.scratch, f"{name}-components")
+        likely = self.scratch.save(ordered.join(p, "a").join(q, "b").filter(close).select("a", "b"), f"{name}-likely")
+        self.add(confirm(likely, self.texts, self.size, self.percent), name)
 
     def undecided(self, name: str) -> tuple[DataFrame, int]:
         """key, id, component, n of the members of buckets that hold several components and pairs not yet looked at."""
         labelled = self.near.filter("n > 2").join(self.labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
         labelled = self.scratch.save(labelled, f"{name}-labelled")
-        open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-        left = self.scratch.save(labelled.join(open_keys, "key", "left_semi"), f"{name}-undecided")
+        open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("first")).filter("lo < hi").select("key", "first")
+        left = self.scratch.save(labelled.join(self.scratch.save(open_keys, f"{name}-open"), "key"), f"{name}-undecided")
         return left, left.agg(F.max("n")).first()[0] or 0
 
     def pivot_round(self, left: DataFrame, k: int) -> DataFrame:
@@ -170,39 +214,36 @@ class Search:
         pivots = self.scratch.save(left.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(k))).alias("p")), f"pivots-{k}")
         return left.join(pivots, "key").filter("component != p.component").select(F.col("id").alias("a"), F.col("p.id").alias("b"))
 
-    def block_pairs(self, left: DataFrame) -> DataFrame:
-        """All pairs of a bucket's members that are in different components and may reach the threshold.
+    def block_links(self, left: DataFrame) -> DataFrame:
+        """Links between members of undecided buckets that are in different components.
 
-        A bucket above BLOCK is cut into blocks; each pair of its blocks is a group of its own.
+        Buckets with a common member are one family, so that a text is moved once and not for each band. A family
+        above BLOCK is cut into slots; each pair of its slots is a group of its own. Groups send back links only.
         """
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        own = left.join(self.reps.select("id", "packed").distinct(), "id").withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("id", F.lit(17)), blocks).cast("int"))
-        spread = own.select("key", "id", "component", "packed", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")).select("key", "id", "component", "packed", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
-        lanes, least = self.lanes, least_estimate(self.percent, self.lanes)
-
-        def run(group: pd.DataFrame) -> pd.DataFrame:
-            ids, comp = group["id"].to_numpy(), group["component"].to_numpy()
-            sign = np.stack(group["packed"].to_list()).astype(np.int64).view(np.uint64)
-            low, chance, out = np.uint64(int("01" * LANES, 2)), 2.0**-BITS, []
-            for x in range(len(ids) - 1):
-                d = sign[x + 1 :] ^ sign[x]
-                differ = np.bitwise_count((d | (d >> np.uint64(1))) & low).sum(1)
-                hit = x + 1 + np.flatnonzero(((1 - differ / lanes - chance) / (1 - chance) >= least) & (comp[x + 1 :] != comp[x]))
-                out.append(np.c_[np.minimum(ids[x], ids[hit]), np.maximum(ids[x], ids[hit])])
-            return pd.DataFrame(np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64), columns=["a", "b"])
-
-        return spread.groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint")
+        family = connected_components(left.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), self.scratch, "families").withColumnRenamed("component", "family")
+        members = self.scratch.save(left.select("id", "component").distinct().join(family, "id"), "members")
+        sizes = self.scratch.save(members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slots")), "sizes")
+        own = members.join(sizes, "family").withColumn("slot", F.pmod(F.xxhash64("id", F.lit(17)), F.col("slots")).cast("int"))
+        whole = own.join(self.reps.select("id", "packed"), "id").join(self.texts, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+        spread = whole.select("family", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "id", "component", "packed", "text")
+        size, percent, lanes = self.size, self.percent, self.lanes
+
+        def run(t: pa.Table) -> pa.Table:
+            a, b = links_in_block(t, size, percent, lanes, t.column("i")[0] == t.column("j")[0])
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        return spread.groupBy("family", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
     def run(self) -> DataFrame:
         self.check(self.near.select(F.col("id").alias("a"), F.col("pivot").alias("b")), "first")
         left, most = self.undecided("first")
         for k in range(1, PIVOTS + 1):
-            if most <= BLOCK:
+            if most <= LARGE:
                 break
             self.check(self.pivot_round(left, k), f"pivot{k}")
             left, most = self.undecided(f"pivot{k}")
         if most:
-            self.check(self.block_pairs(left), "blocks")
+            self.add(self.block_links(left), "blocks")
         whole = self.rows.join(self.classes, ["h1", "h2"], "left").join(self.labels.withColumnRenamed("component", "label"), "id", "left")
         component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", F.when(F.col("n_shingles") > 0, F.col("id")), "doc_id"))
         return whole.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

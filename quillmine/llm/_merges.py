@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 NONE = np.int64(1) << 40
+#: Symbols above which a sequence is merged by a priority queue: rounds over it would each touch all of it.
+LONG = 4096
 
 
 class PairTable:
@@ -31,6 +35,13 @@ class PairTable:
             slot[todo] = (slot[todo] + 1) & (size - 1)
 
 
+    def scalar(self) -> dict[int, tuple[int, int]]:
+        """The table as a dict from a pair's key to (rank, made); built when first asked for."""
+        if not hasattr(self, "_scalar"):
+            there = np.flatnonzero(self.keys >= 0)
+            self._scalar = dict(zip(self.keys[there].tolist(), zip(self.ranks[there].tolist(), self.made[there].tolist(), strict=True), strict=True))
+        return self._scalar
+
     def slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
@@ -57,9 +68,19 @@ def merge_all(pairs: PairTable, symbols: np.ndarray, seq: np.ndarray) -> tuple[n
     """Joins every sequence's lowest-ranked pair at all its places, round after round.
 
     seq is sorted and numbers the sequence of each symbol; a symbol below 0 joins nothing. Returns the
-    symbols left and their sequences, in order.
+    symbols left and their sequences, in order. Sequences above LONG go through a priority queue instead.
     """
     done = []
+    starts = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]]) if len(seq) else np.empty(0, np.int64)
+    ends = np.r_[starts[1:], len(seq)]
+    if ((ends - starts) > LONG).any():
+        short = np.ones(len(seq), bool)
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            if b - a > LONG:
+                left = merge_long(pairs, symbols[a:b].tolist())
+                done.append((np.array(left, np.int64), np.full(len(left), seq[a])))
+                short[a:b] = False
+        symbols, seq = symbols[short], seq[short]
     while len(symbols) > 1:
         inside = seq[1:] == seq[:-1]
         rank, made = pairs.join(symbols[:-1], symbols[1:])
@@ -91,3 +112,28 @@ def merge_all(pairs: PairTable, symbols: np.ndarray, seq: np.ndarray) -> tuple[n
     symbols, seq = (np.concatenate(x) for x in zip(*done, strict=True)) if len(done) > 1 else done[0]
     order = np.argsort(seq, kind="stable")
     return symbols[order], seq[order]
+
+
+def merge_long(pairs: PairTable, symbols: list[int]) -> list[int]:
+    """One sequence's merges in order of rank, leftmost first, by a priority queue over a linked list."""
+    table, width, n = pairs.scalar(), pairs.width, len(symbols)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    alive = [True] * n
+
+    def found(i: int, j: int) -> tuple[int, int] | None:
+        return table.get(symbols[i] * width + symbols[j]) if symbols[i] >= 0 and symbols[j] >= 0 else None
+
+    queue = [(hit[0], i, hit[1], symbols[i], symbols[i + 1]) for i in range(n - 1) if (hit := found(i, i + 1))]
+    heapq.heapify(queue)
+    while queue:
+        _, i, made, x, y = heapq.heappop(queue)
+        j = after[i]
+        if not alive[i] or j >= n or symbols[i] != x or symbols[j] != y:
+            continue  # one of the two was merged meanwhile
+        symbols[i], alive[j], after[i] = made, False, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for a, b in ((before[i], i), (i, after[i])):
+            if a >= 0 and b < n and (hit := found(a, b)):
+                heapq.heappush(queue, (hit[0], a, hit[1], symbols[a], symbols[b]))
+    return [s for s, ok in zip(symbols, alive, strict=True) if ok]

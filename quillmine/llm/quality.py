@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep: bool = False, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; with keep, all columns of docs and a column quality_score.
+    """doc_id, held_out, score, predicted of every row; with keep, all columns of docs and, last, quality_score.
 
     Null and empty texts are scored like any other, from features that say so. held_out is null if doc_id is.
     Repeated rows are scored each; an empty table gives an empty result; without labels (or with labels of one
@@ -197,8 +197,11 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep: bool
     given = docs.select(*columns)
     at = columns.index("text")
     kept = [i for i in range(len(columns)) if keep or i != at]
-    schema = ", ".join([*(f"`{columns[i]}` {given.schema[i].dataType.simpleString()}" for i in kept), "quality_score double"])
-    names = [*(columns[i] for i in kept), "quality_score"]
+    own = "quality_score"
+    while own in columns:  # a column of that name stays as it is
+        own += "_"
+    schema = ", ".join([*(f"`{columns[i]}` {given.schema[i].dataType.simpleString()}" for i in kept), f"{own} double"])
+    names = [*(columns[i] for i in kept), own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_vectors()
@@ -210,9 +213,10 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep: bool
     out = given.mapInArrow(run, schema)
     if keep:
         return out
-    return out.select("doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= threshold).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out().alias("held_out"), F.col(own).alias("score"), (F.col(own) >= threshold).cast("int").alias("predicted"))
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs whose score reaches the threshold, with their columns."""
-    return score(docs, labels, threshold, keep=True).filter(F.col("quality_score") >= threshold).select(*docs.columns)
+    scored = score(docs, labels, threshold, keep=True)
+    return scored.filter(F.col(scored.columns[-1]) >= threshold).select(*docs.columns)

@@ -90,7 +90,7 @@ def longest(values: Column) -> Column:
 
 def union_sorted(arrays: Column) -> Column:
     """All values of an array of arrays, distinct and sorted, without nulls."""
-    return F.array_sort(F.array_distinct(F.filter(F.flatten(F.filter(arrays, lambda a: a.isNotNull())), lambda v: v.isNotNull())))
+    return F.sort_array(F.array_distinct(F.filter(F.flatten(F.filter(arrays, lambda a: a.isNotNull())), lambda v: v.isNotNull())))
 
 
 def pdf_url(url: Column, doi: Column) -> Column:
@@ -137,7 +137,7 @@ def bibtex(paper: dict[str, Column]) -> Column:
     """One BibTeX entry. paper: title, authors, publication_title (null: unpublished), category, publisher, publication_date, urls, comments, pages, has_publication."""
     p, date = paper, F.date_format(paper["publication_date"], "yyyy/MM/dd")
     kind = F.when(~p["has_publication"], "@unpublished").otherwise(F.coalesce(F.try_element_at(_map(ENTRY_TYPES), p["category"]), F.lit("@misc")))
-    url = F.when(F.size(p["urls"]) > 0, F.get(F.array_sort(p["urls"]), F.lit(0)))
+    url = F.when(F.size(p["urls"]) > 0, F.get(F.sort_array(p["urls"]), F.lit(0)))
     known = F.concat(F.coalesce(F.concat(F.lit("Available at "), url), F.lit("")), F.coalesce(F.concat(F.lit(" ("), date, F.lit(")")), F.lit("")))
     note = F.concat(known, F.when(p["comments"].isNull(), "").when(known == "", p["comments"]).otherwise(F.concat(F.lit(" | "), p["comments"])))
     line = lambda name, value: F.concat(F.lit(f"    {name} = {{"), value, F.lit("}"))

@@ -26,18 +26,20 @@ def allowed(length: Column, threshold: float) -> Column:
 def title_pairs(papers: DataFrame, threshold: float = 0.95) -> DataFrame:
     """a, b, with a.id < b.id, of papers(id, year, doi, title): matching titles or DOIs, DOIs compatible."""
     low = papers.select("id", "year", "doi", F.lower("title").alias("t")).withColumn("n", F.length("t"))
-    #: an upper bound of what any partner of this title could be allowed
-    most = F.floor(F.col("n") / F.lit(float(threshold)) * (F.lit(1.0) - F.lit(float(threshold)))).cast("int") + 1 if threshold > 0 else F.col("n")
-    grams = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - GRAM + 1, F.lit(1))), lambda i: F.xxhash64(F.substring("t", i, GRAM)))))
-    marked = low.withColumn("k", most).withColumn("grams", grams)
-    # a title whose edits could touch all its q-grams is compared within its year
+    # the longest partner has n / threshold characters; this is what it is allowed
+    most = F.floor(F.col("n") * F.lit((1.0 - threshold) / threshold + 1e-9)).cast("int") if threshold > 0 else F.col("n")
+    # substring() would walk the title for each gram; the array of characters is indexed
+    grams = F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - GRAM, F.lit(0))), lambda i: F.xxhash64(*(F.get("chars", i + k) for k in range(GRAM))))))
+    marked = low.withColumn("k", most).withColumn("chars", F.split("t", "")).withColumn("grams", grams).drop("chars")
+    # a title whose edits could touch all its q-grams is compared with its year's titles ...
     whole = F.col("n") - GRAM + 1 <= F.col("k") * GRAM
     prefix = F.slice("grams", 1, F.col("k") * GRAM + 1)
-    needed = F.col("n") / F.lit(float(threshold)) * (1 - threshold) >= 1  # else only equal titles match
+    needed = F.col("k") >= 1  # else only equal titles match
     equal = _pairs(low.withColumn("key", F.col("t")), ["year", "key"])
     near = _pairs(marked.filter(needed & ~whole).withColumn("key", F.explode(prefix)), ["year", "key"])
-    short = marked.filter(needed & whole)
-    beside = _join(short, marked.filter(needed), ["year"])
+    # ... with titles of the lengths that it may reach
+    short = marked.filter(needed & whole).withColumn("key", F.explode(F.sequence(F.greatest(F.col("n") - F.col("k"), F.lit(0)), F.col("n") + F.col("k"))))
+    beside = _join(short, marked.filter(needed).withColumn("key", F.col("n")), ["year", "key"])
     found = equal.unionByName(near).unionByName(beside)
     longer = F.greatest("na", "nb")
     close = found.filter(F.abs(F.col("na") - F.col("nb")) <= allowed(longer, threshold)).dropDuplicates(["a", "b"]).filter(F.expr(f"levenshtein(ta, tb, cast(floor(greatest(na, nb) * (1.0D - {float(threshold)}D)) as int)) >= 0"))

@@ -41,7 +41,7 @@ def arxiv(raw: DataFrame) -> DataFrame:
         raw.select(
             "page", "position", squeeze(F.col("title")).alias("title"), squeeze(F.col("summary")).alias("abstract"), F.transform("author", lambda a: a["name"]).alias("authors"),
             publication(title=venue, category=category(venue), subject_areas=subject_names(F.transform("category", lambda c: c["@term"]))).alias("publication"),
-            F.try_to_date(F.substring("published", 1, 10), "yyyy-MM-dd").alias("publication_date"), F.array_sort(F.array_distinct(F.transform("link", lambda x: x["@href"]))).alias("urls"),
+            F.try_to_date(F.substring("published", 1, 10), "yyyy-MM-dd").alias("publication_date"), F.sort_array(F.array_distinct(F.transform("link", lambda x: x["@href"]))).alias("urls"),
             F.col("`arxiv:doi`").alias("doi"), F.col("`arxiv:comment`").alias("comments"),
         ),
         "arXiv",
@@ -62,7 +62,7 @@ def pubmed(raw: DataFrame) -> DataFrame:
         F.transform(a["AuthorList"]["Author"], lambda x: F.concat_ws(" ", x["ForeName"], x["LastName"])).alias("authors"),
         publication(title=journal["Title"], issn=journal["ISSN"], category=F.lit("Journal")).alias("publication"),
         F.coalesce(exact, printed, F.make_date(year.try_cast("int"), F.lit(1), F.lit(1))).alias("publication_date"), F.get(ids, F.lit(0))["#text"].alias("doi"),
-        F.array_sort(F.array_distinct(F.transform(F.col("MedlineCitation.KeywordList.Keyword"), lambda x: F.trim(x)))).alias("keywords"), page_range_count(pages).alias("number_of_pages"), pages.alias("pages"),
+        F.sort_array(F.array_distinct(F.transform(F.col("MedlineCitation.KeywordList.Keyword"), lambda x: F.trim(x)))).alias("keywords"), page_range_count(pages).alias("number_of_pages"), pages.alias("pages"),
     )
     return _finish(out.filter("abstract is not null"), "PubMed")
 
@@ -74,7 +74,7 @@ def ieee(raw: DataFrame) -> DataFrame:
             "page", "position", "title", "abstract", F.coalesce(F.transform(F.col("authors.authors"), lambda a: a["full_name"]), F.array().cast("array<string>")).alias("authors"),
             publication(title=F.col("publication_title"), isbn=F.col("isbn"), issn=F.col("issn"), publisher=F.col("publisher"), category=category(F.col("content_type"))).alias("publication"),
             date_or_new_year(day, "d MMM yyyy", F.col("publication_year")).alias("publication_date"), F.filter(F.array("pdf_url"), lambda u: u.isNotNull()).alias("urls"), "doi",
-            F.col("citing_paper_count").try_cast("int").alias("citations"), F.array_sort(F.array_distinct(F.col("index_terms.author_terms.terms"))).alias("keywords"),
+            F.col("citing_paper_count").try_cast("int").alias("citations"), F.sort_array(F.array_distinct(F.col("index_terms.author_terms.terms"))).alias("keywords"),
             page_count(F.col("start_page"), F.col("end_page")).alias("number_of_pages"), F.when(F.col("start_page").isNotNull() & F.col("end_page").isNotNull(), F.concat_ws("-", "start_page", "end_page")).alias("pages"),
         ),
         "IEEE",
@@ -101,7 +101,7 @@ def scopus(raw: DataFrame, details: DataFrame | None = None) -> DataFrame:
     joined = flat.join(d, "url", "left").withColumns(
         {
             "authors": F.when(F.size("d_authors") > 0, F.array_distinct("d_authors")).otherwise(F.col("authors")), "abstract": F.get("d_abstracts", F.lit(0)),
-            "keywords": F.array_sort(F.array_distinct(F.filter("d_keywords", lambda k: k.isNotNull()))), "pages": F.coalesce("d_page_range", "pages"),
+            "keywords": F.sort_array(F.array_distinct(F.filter("d_keywords", lambda k: k.isNotNull()))), "pages": F.coalesce("d_page_range", "pages"),
             "number_of_pages": page_count(F.col("d_first_page"), F.col("d_last_page"), signed=True),
         }
     )
@@ -125,7 +125,7 @@ def serial_metrics(raw: DataFrame) -> DataFrame:
     """issn, category, publisher, subject_areas, cite_score, sjr, snip of journal metadata; scores that aren't there are null."""
     first = lambda path: F.get(F.col(path), F.lit(0))["$"].try_cast("double")
     return raw.select(
-        F.col("`prism:issn`").alias("issn"), category(F.col("`prism:aggregationType`")).alias("category"), F.col("`dc:publisher`").alias("publisher"), F.array_sort(F.array_distinct(F.transform(F.col("`subject-area`"), lambda s: F.trim(s["$"])))).alias("subject_areas"),
+        F.col("`prism:issn`").alias("issn"), category(F.col("`prism:aggregationType`")).alias("category"), F.col("`dc:publisher`").alias("publisher"), F.sort_array(F.array_distinct(F.transform(F.col("`subject-area`"), lambda s: F.trim(s["$"])))).alias("subject_areas"),
         F.col("citeScoreYearInfoList.citeScoreCurrentMetric").try_cast("double").alias("cite_score"), first("SJRList.SJR").alias("sjr"), first("SNIPList.SNIP").alias("snip"),
     )
 

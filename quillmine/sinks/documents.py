@@ -70,7 +70,7 @@ def download_plan(papers: DataFrame) -> DataFrame:
     collision set. Nothing is fetched here.
     """
     doi = F.when(F.col("doi").isNotNull(), F.array(F.concat(F.lit("http://doi.org/"), F.col("doi")))).otherwise(F.array().cast("array<string>"))
-    urls = F.array_union(F.array_sort("urls"), doi)
+    urls = F.array_union(F.sort_array("urls"), doi)
     from pyspark.sql import Window
 
     named = papers.select("paper_key", "seq", r.file_name(F.col("publication_date"), F.col("title")).alias("file_name"), urls.alias("urls"), F.col("doi"))

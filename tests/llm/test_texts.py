@@ -143,6 +143,15 @@ def test_common_subsequences(a, b):
     assert len(found) == t[-1][-1] and all(a[i] in rest for i in sorted(found))
 
 
+def test_elements_and_classes():
+    body = lambda page: html_text.main_text(html_text.lines(page), None)
+    frame = "<body class='has-sidebar comments-open'><div class='wrap with-sidebar'>{}</div><div id=comments><article class=comment><p>first!</p></article></div><aside>x</aside><div role=dialog>y</div></body>"
+    assert body(frame.format("<article class='post'><header><h1>T</h1></header><p>One</p><div class='cookie-notice'>c</div><div class='shareButtons'>s</div><form><p>f</p></form><p>Two <em>a</em>nd</p><footer>z</footer></article>")) == "T\nOne\nTwo and"
+    assert body("<main class='menu-open'><p>m</p></main><p>beside") == "m"
+    assert body("<div class='header-ad'>ad</div><p class='lead'>x<p hidden>h</p><p>y<ul><li class=ad>a<li>b</ul>") == "x\ny\nb"
+    assert body("<p>a<br>b&nbsp;&#233;&eacute;&amp;amp;</p><pre>  c\n  d</pre><table><tr><td>1<td>2</table>") == "a b éé&amp;\nc d\n1\n2"
+
+
 def test_broken_markup_ends():
     for page in ("<p>a<script>never closed", "<!-- open", "<div class=", "a < b & c > d", "<p>&lt;i&gt;", "<" * 5_000, "<p " * 3_000, "<nav><p>x", "<article>y<nav>z</nav>w"):
         html_text.lines(page)

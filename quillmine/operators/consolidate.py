@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.records import paper_key, publication_key, union_sorted
-from ..schema import PAPER, PUBLICATION
+from ..schema import PAPER, PUBLICATION, SOURCES
 
 
 def with_keys(papers: DataFrame) -> DataFrame:
@@ -117,3 +117,26 @@ def limit_total(papers: DataFrame, limit: int | None) -> DataFrame:
 def deduplicate(papers: DataFrame) -> DataFrame:
     """One row for each paper_key, publications merged by their own key first."""
     return merge_papers(merge_publications(with_keys(papers)), "paper_key")
+
+
+def lookup(papers: DataFrame, key: str) -> DataFrame:
+    """The paper with a key, if there is one."""
+    return papers.filter(F.col("paper_key") == key)
+
+
+def without(papers: DataFrame, keys: DataFrame) -> DataFrame:
+    """papers less those whose paper_key is among keys(paper_key)."""
+    return papers.join(keys.select("paper_key").distinct(), "paper_key", "left_anti")
+
+
+def tagged(papers: DataFrame, source: str) -> DataFrame:
+    """papers that a source has, too. An unknown source raises ValueError."""
+    known = {s.lower(): s for s in SOURCES}
+    if source.lower() not in known:
+        raise ValueError(f"unknown database: {source}")
+    return papers.withColumn("databases", union_sorted(F.array("databases", F.array(F.lit(known[source.lower()])))))
+
+
+def with_url(papers: DataFrame, url: Column) -> DataFrame:
+    """papers with one more address; a null adds none."""
+    return papers.withColumn("urls", union_sorted(F.array("urls", F.array(url))))

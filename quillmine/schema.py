@@ -53,3 +53,13 @@ def conform(df: DataFrame) -> DataFrame:
             value = F.coalesce(value, F.array().cast(f.dataType))
         columns.append(value.alias(f.name))
     return df.select(*columns, *(c for c in df.columns if c not in PAPER.names))
+
+
+def to_records(papers: DataFrame) -> DataFrame:
+    """One JSON string for each paper, all canonical fields in it."""
+    return papers.select(F.to_json(F.struct(*PAPER.names), {"ignoreNullFields": "false"}).alias("record"))
+
+
+def from_records(records: DataFrame) -> DataFrame:
+    """Papers of JSON strings; a string that is no record gives nulls."""
+    return conform(records.select(F.from_json("record", PAPER).alias("paper")).select("paper.*"))

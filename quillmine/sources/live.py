@@ -2,18 +2,28 @@
 
 spark.read.format("quillmine_http").option("urls", "\\n".join(addresses)).option("delay", 1).load() gives one row for each
 address: url, status, body, attempts. Addresses of one host stay in one partition, in order, with a pause between them.
+With a "follow" option each address begins a walk: the named function of this module gives the next page's address.
 There is no network in the tests; the fetching function can be replaced by an importable one ("fetch" option).
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import importlib
+import json
+import re
 import time
 from dataclasses import dataclass
-from urllib.parse import urlsplit
+from urllib.parse import parse_qs, urlencode, urljoin, urlsplit
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..plans import dialects
+from ..spec import SearchSpec
+from .captures import rxiv_dois
+
 # Attempts, seconds between them, and the timeout of a request.
 ATTEMPTS, PAUSE, TIMEOUT = 2, 3.0, 20.0
 
@@ -40,6 +50,7 @@ class HttpReader(DataSourceReader):
         self.urls = [u for u in options.get("urls", "").split("\n") if u]
         self.delay, self.pause = float(options.get("delay", 1)), float(options.get("pause", PAUSE))
         self.fetch, self.proxy = options.get("fetch", ""), options.get("proxy", "")
+        self.follow, self.most = options.get("follow", ""), int(options.get("pages", 1_000_000))
 
     def partitions(self) -> list[Host]:
         hosts: dict[str, list[str]] = {}
@@ -49,20 +60,27 @@ class HttpReader(DataSourceReader):
 
     def read(self, partition: Host):
         get = getattr(importlib.import_module(self.fetch.rpartition(".")[0]), self.fetch.rpartition(".")[2]) if self.fetch else self.http
-        for k, url in enumerate(partition.urls):
-            if k:
-                time.sleep(self.delay)
-            status = body = None
-            attempt = 0
-            while status is None and attempt < ATTEMPTS:
-                if attempt:
+        walk, first = NEXT.get(self.follow), True
+        for url in partition.urls:
+            page, seen = url, set()
+            while page and page not in seen and len(seen) < self.most:
+                if not first:
+                    time.sleep(self.delay)
+                first = False
+                seen.add(page)
+                status, body, attempts = self.tried(get, page)
+                yield page, status, body, attempts
+                page = walk(page, body) if walk and body else None
+
+    def tried(self, get, url: str) -> tuple[int | None, str | None, int]:
+        """Status, body and attempts; a null status if all attempts failed, so that other addresses go on."""
+        for attempt in range(1, ATTEMPTS + 1):
+            try:
+                return *get(url), attempt
+            except Exception:  # noqa: BLE001
+                if attempt < ATTEMPTS:
                     time.sleep(self.pause)
-                attempt += 1
-                try:
-                    status, body = get(url)
-                except Exception:  # noqa: BLE001  a source that fails gives a null status, the others go on
-                    status = None
-            yield url, status, body, attempt
+        return None, None, ATTEMPTS
 
     def http(self, url: str) -> tuple[int, str]:
         """Through the proxy if there is one, and directly if that fails."""
@@ -76,3 +94,81 @@ class HttpReader(DataSourceReader):
             except OSError:
                 continue
         raise OSError(f"no answer from {urlsplit(url).netloc}")
+
+
+def _moved(url: str, parameter: str, page: int, total: int, first: int = 0) -> str | None:
+    """The address with its offset moved by a page, None past the total."""
+    parts = urlsplit(url)
+    asked = {k: v[0] for k, v in parse_qs(parts.query, keep_blank_values=True).items()}
+    at = int(asked.get(parameter, first)) + page
+    return parts._replace(query=urlencode(asked | {parameter: at})).geturl() if at - first < total else None
+
+
+def _number(pattern: str, body: str) -> int:
+    found = re.search(pattern, body)
+    return int(found[1].replace(",", "")) if found else 0
+
+
+def scopus_next(url: str, body: str) -> str | None:
+    """The address that the response itself names as next."""
+    links = json.loads(body).get("search-results", {}).get("link", [])
+    return next((x.get("@href") for x in links if x.get("@ref") == "next"), None)
+
+
+def rxiv_next(url: str, body: str) -> str | None:
+    tag = re.search(r'<a[^>]*class="link-icon link-icon-after"[^>]*>', body)
+    href = tag and re.search(r'href="([^"]*)"', tag[0])
+    return urljoin(url, href[1]) if href else None
+
+
+#: Next pages by source.
+NEXT = {
+    "arXiv": lambda url, body: _moved(url, "start", dialects.ARXIV_PAGE, _number(r"totalResults[^>]*>\s*([0-9,]+)", body)),
+    "PubMed": lambda url, body: _moved(url, "retstart", dialects.PUBMED_PAGE, _number(r"<Count>\s*([0-9]+)", body)),
+    "IEEE": lambda url, body: _moved(url, "start_record", dialects.IEEE_PAGE, _number(r'"total_records"\s*:\s*([0-9]+)', body), first=1),
+    "Scopus": scopus_next,
+    "medRxiv": rxiv_next,
+    "bioRxiv": rxiv_next,
+}
+
+
+def first_urls(spec: SearchSpec, source: str, token: str = "", today: dt.date | None = None) -> list[str]:
+    """Where a source's search begins: one address, or one for each alternative. IEEE and Scopus need a token."""
+    today, types = today or dt.date.today(), list(spec.publication_types) if spec.publication_types else None
+    if source in ("IEEE", "Scopus") and not token:
+        raise ValueError(f"{source} needs a token")
+    if source == "arXiv":
+        return [dialects.arxiv_url(spec.tree)]
+    if source == "PubMed":
+        return [dialects.pubmed_url(spec.tree, spec.since, spec.until, today)]
+    if source == "IEEE":
+        return [dialects.ieee_url(spec.tree, token, spec.since, spec.until, types)]
+    if source == "Scopus":
+        return [dialects.scopus_url(spec.tree, token, spec.since, spec.until, types)]
+    return dialects.rxiv_urls(spec.tree, source, spec.since, spec.until, today)
+
+
+def detail_urls(pages: DataFrame, source: str) -> DataFrame:
+    """url of each detail record that a source's result pages name: PubMed ids, preprint DOIs."""
+    if source == "PubMed":
+        ids = F.regexp_extract_all("body", F.lit(r"<Id>\s*([0-9]+)\s*</Id>"), 1)
+        base = f"{dialects.PUBMED_URL}/efetch.fcgi?db=pubmed&rettype=abstract&id="
+    else:
+        ids, base = rxiv_dois(F.col("body")), f"https://api.biorxiv.org/details/{source.lower()}/"
+    return pages.select(F.explode(ids).alias("id")).distinct().select(F.concat(F.lit(base), F.col("id")).alias("url"))
+
+
+def capture(spark: SparkSession, spec: SearchSpec, source: str, folder: str, token: str = "", today: dt.date | None = None, **options: str) -> str:
+    """Walks a source's result pages, and its detail records if it has some, and writes each body as a file of its own.
+
+    The files are what the capture readers read. Details' addresses are as many as the source has papers for the
+    query; they are fetched by host, in order.
+    """
+    spark.dataSource.register(HttpPages)
+    read = lambda urls, follow="": spark.read.format("quillmine_http").options(urls="\n".join(urls), follow=follow, **options).load()
+    pages = read(first_urls(spec, source, token, today), source).filter("body is not null")
+    if source in ("PubMed", "medRxiv", "bioRxiv"):
+        found = [r["url"] for r in detail_urls(pages, source).sort("url").toLocalIterator()]
+        pages = read(found).filter("body is not null")
+    pages.select("body").write.option("maxRecordsPerFile", 1).text(folder)
+    return folder

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 from dataclasses import dataclass, field
 
 from .plans.query import Group, parse, sanitize
@@ -41,6 +42,14 @@ class SearchSpec:
             put("publication_types", tuple(_known(self.publication_types, {t: t for t in PUBLICATION_TYPES}, "publication type")))
 
 
+def from_environment(**given) -> SearchSpec:
+    """A spec whose query, if it isn't given, is that of the environment variable QUILLMINE_QUERY."""
+    query = given.pop("query", None) or os.environ.get("QUILLMINE_QUERY")
+    if not query:
+        raise ValueError("no query is given, and QUILLMINE_QUERY is not set")
+    return SearchSpec(query, **given)
+
+
 def _known(names, known: dict[str, str], what: str) -> list[str]:
     out = []
     for n in names:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmine.operators import consolidate as c
 from quillmine.operators import reports
-from quillmine.schema import PAPER, conform, with_arrival
+from quillmine.schema import PAPER, conform, from_records, to_records, with_arrival
 
 D = dt.date(2020, 1, 1)
 
@@ -113,3 +113,15 @@ def test_arrival_and_conform(spark):
     df = spark.createDataFrame([("x", 2, 3)], "title string, page int, position int")
     row = conform(with_arrival(df, "IEEE")).first()
     assert (row.seq.source, row.seq.page, row.seq.position, row.source, row.urls, row.doi) == (3, 2, 3, "IEEE", [], None)
+
+
+def test_records_lookup_and_tags(spark):
+    df = c.with_keys(frame(spark, [paper("A", urls=["u"], publication=venue("V")), paper("B")]))
+    back = from_records(to_records(df)).collect()
+    assert sorted(r.title for r in back) == ["A", "B"] and back[0].publication_date == D
+    assert c.lookup(df, "a|2020").count() == 1 and c.lookup(df, "none").count() == 0
+    assert [r.title for r in c.without(df, c.lookup(df, "a|2020")).collect()] == ["B"]
+    one = c.with_url(c.tagged(df, "ieee"), F.lit("a")).filter("title = 'A'").first()
+    assert (one.databases, one.urls) == (["IEEE", "arXiv"], ["a", "u"])
+    with pytest.raises(ValueError):
+        c.tagged(df, "nowhere")

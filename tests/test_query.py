@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmine.plans import dialects as dia
 from quillmine.plans.predicates import for_source, per_term, whole_query
 from quillmine.plans.query import Group, QueryError, Term, depth, is_valid, map_terms, parse, render, sanitize, terms, tree
-from quillmine.spec import SearchSpec
+from quillmine.spec import SearchSpec, from_environment
 
 ACCEPTED = ["([red] OR [blue])", "[red] OR [blue]", "[red] AND [blue]", "[red] AND NOT ([blue] OR [green])", "[red] OR ([blue] AND ([green] OR [grey]))", "[red]", "[red] OR ([blue] AND ([gree*] OR [r?d]))"]
 REJECTED = ["[a] OR ([b] AND ([c] OR [d])", "[a] or [b]", "[a] and [b]", "[a] and not [b]", "([a] OR [b]", "a OR [b]", "[a] [b]", "[a] XOR [b]", "[a] OR NOT [b]", "[] AND [b]", "[ ] AND [b]", "[ ]", "[", "[a]OR[b]", "[a][b]", "( AND [a])", "[a]) AND ([b]", "", "()", "[a] AND", "a"]
@@ -93,3 +93,11 @@ def test_spec():
     for bad in ({"databases": ("nowhere",)}, {"publication_types": ("poster",)}, {"limit": 0}, {"since": dt.date(2020, 1, 2), "until": dt.date(2020, 1, 1)}, {"query": "a"}):
         with pytest.raises(ValueError):
             SearchSpec(**({"query": "[a]"} | bad))
+
+
+def test_query_of_the_environment(monkeypatch):
+    monkeypatch.setenv("QUILLMINE_QUERY", "[x]  AND [y]")
+    assert from_environment(limit=3).query == "[x] AND [y]" and from_environment(query="[z]").query == "[z]"
+    monkeypatch.delenv("QUILLMINE_QUERY")
+    with pytest.raises(ValueError):
+        from_environment()

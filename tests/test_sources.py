@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillmine import api
@@ -110,3 +111,33 @@ def test_search_over_captures(spark, tmp_path):
     got = api.download(spark, str(tmp_path / "out"), f"file://{tmp_path}/pdf", lambda url: ("application/pdf", b"%PDF") if "10.1/a" in url else None)
     assert sorted(r.status for r in got.collect()) == ["[DOWNLOADED]", "[FAILED]"]
     assert sorted(r.status for r in api.download(spark, str(tmp_path / "out"), f"file://{tmp_path}/pdf", lambda url: None).collect()) == ["[COLLECTED]", "[FAILED]"]
+
+
+FEED = '<feed><opensearch:totalResults xmlns:opensearch="o">401</opensearch:totalResults>{}</feed>'
+
+
+def paged(url):
+    """A made-up arXiv (three pages), PubMed (ids, then records) and Scopus (a cursor)."""
+    if "arxiv" in url:
+        n = url.split("start=")[1].split("&")[0]
+        return 200, FEED.format(f"<entry><title>Ships {n}</title><published>2020-02-27T13:35:26Z</published><summary>ships</summary></entry>")
+    if "esearch" in url:
+        return 200, "<r><Count>51</Count><IdList><Id>1</Id><Id>3</Id></IdList></r>" if "retstart=0" in url else "<r><Count>51</Count><IdList><Id>3</Id></IdList></r>"
+    if "efetch" in url:
+        return 200, PUBMED if url.endswith("=1") else "<none/>"
+    nxt = [] if "cursor=2" in url else [{"@ref": "next", "@href": "https://api.elsevier.com/x?cursor=2"}]
+    return 200, json.dumps({"search-results": {"link": nxt, "entry": [{"dc:title": f"S{len(nxt)}", "prism:coverDate": "2020-05-07"}]}})
+
+
+def test_captures_of_live_walks(spark, tmp_path):
+    spec, options = SearchSpec("[ships]"), {"delay": "0", "pause": "0", "fetch": "tests.test_sources.paged"}
+    go = lambda source, token="": live.capture(spark, spec, source, str(tmp_path / source), token, dt.date(2024, 1, 1), **options)
+    assert [r.title for r in n.arxiv(captures.read_arxiv(spark, go("arXiv"))).orderBy("seq").collect()] == ["Ships 0", "Ships 200", "Ships 400"]
+    assert sorted(r.title for r in n.pubmed(captures.read_pubmed(spark, go("PubMed"))).collect()) == ["Exact day", "On ships"]
+    assert [r.title for r in n.scopus(captures.read_scopus(spark, go("Scopus", "t"))).orderBy("seq").collect()] == ["S1", "S0"]
+    with pytest.raises(ValueError):
+        live.first_urls(spec, "IEEE")
+    assert live.NEXT["IEEE"]("http://x?start_record=1", '{"total_records": 201}') == "http://x?start_record=201"
+    assert live.NEXT["IEEE"]("http://x?start_record=201", '{"total_records": 201}') is None
+    assert live.rxiv_next("https://h/a/b", '<a href="/c?page=1" class="link-icon link-icon-after">') == "https://h/c?page=1"
+    assert len(live.first_urls(spec, "bioRxiv", today=dt.date(2024, 1, 1))) == 1

@@ -90,5 +90,32 @@ FROM sized GROUP BY conv_id
 """
 
 
+REACH = """
+reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)
+"""
+
+OP2_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), sets AS (
+  SELECT id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS s FROM w
+), nodes AS (SELECT id, CAST(len(s) AS BIGINT) AS n FROM sets), x AS (SELECT id, unnest(s) AS s FROM sets),
+pairs AS (SELECT p.id AS a, q.id AS b, count(*) AS k FROM x p JOIN x q ON p.s = q.s AND p.id <> q.id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN nodes p ON p.id = a JOIN nodes q ON q.id = b WHERE 100 * k >= 85 * (p.n + q.n - k)),
+{REACH}
+SELECT nodes.id AS doc_id, n AS n_shingles, component_id, nodes.id = component_id AS kept FROM nodes JOIN low ON low.id = nodes.id
+"""
+
+OP6_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), nodes AS (SELECT id FROM v),
+ok AS (SELECT id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+links AS MATERIALIZED (SELECT p.id AS a, q.id AS b FROM ok p JOIN ok q ON p.id <> q.id AND len(p.e) = len(q.e) AND list_cosine_similarity(p.e, q.e) >= 0.9),
+{REACH}, n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT low.id AS vec_id, coalesce(n, 0) AS n_links, component_id, low.id = component_id AS kept FROM low LEFT JOIN n ON n.a = low.id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4_SQL}
+    return {"op2_minhash": OP2_SQL, "op4_chat": OP4_SQL, "op6_embeddings": OP6_SQL}

@@ -400,6 +400,84 @@ def q_normalize_arxiv(spark, d):
     return normalize.arxiv(raw).select(F.col("seq.position").alias("seq"), "title", q["title"].alias("venue"), q["category"].alias("category"), F.array_join(q["subject_areas"], ",").alias("subjects"), "publication_date")
 
 
+@query(f"""WITH {PAPERS} SELECT seq, title, abstract, author || '|Second Author' AS authors, venue, category, publication_date, doi, citations, lang AS keywords, 10 AS number_of_pages, seq || '-' || (seq + 9) AS pages FROM papers WHERE title <> ''""")
+def q_normalize_ieee(spark, d):
+    p, q = papers(spark, d), F.col("publication")
+    raw = p.select(
+        F.lit(1).alias("page"), F.col("seq").alias("position"), "title", "abstract", F.date_format("publication_date", "dd MMM yyyy").alias("publication_date"), F.year("publication_date").cast("string").alias("publication_year"), "doi", F.col("citations").cast("string").alias("citing_paper_count"),
+        q["title"].alias("publication_title"), F.lit(None).cast("string").alias("isbn"), q["issn"].alias("issn"), q["publisher"].alias("publisher"), q["category"].alias("content_type"), F.lit(None).cast("string").alias("pdf_url"), F.struct(F.struct(F.col("keywords").alias("terms")).alias("author_terms")).alias("index_terms"),
+        F.struct(F.transform("authors", lambda a: F.struct(a.alias("full_name"))).alias("authors")).alias("authors"), F.col("seq").cast("string").alias("start_page"), (F.col("seq") + 9).cast("string").alias("end_page"),
+    )
+    out = normalize.ieee(raw)
+    return out.select(F.col("seq.position").alias("seq"), "title", "abstract", F.array_join("authors", "|").alias("authors"), F.col("publication.title").alias("venue"), F.col("publication.category").alias("category"), "publication_date", "doi", "citations", F.array_join("keywords", "|").alias("keywords"), "number_of_pages", "pages")
+
+
+@query(f"""WITH {PAPERS} SELECT seq, trim(title) AS title, abstract || chr(10) || venue AS abstract, author || '|Author' AS authors, 'Journal' AS category, issn, CAST(date_trunc('month', publication_date) AS DATE) AS publication_date, doi, 10 AS number_of_pages
+FROM papers WHERE trim(title) <> ''""")
+def q_normalize_pubmed(spark, d):
+    p, q, day = papers(spark, d), F.col("publication"), F.col("publication_date")
+    part = lambda pattern: F.date_format(day, pattern)
+    article = F.struct(
+        F.struct(q["issn"].alias("ISSN"), q["title"].alias("Title"), F.struct(F.struct(part("yyyy").alias("Year"), part("MMM").alias("Month"), F.lit(None).cast("string").alias("Day")).alias("PubDate")).alias("JournalIssue")).alias("Journal"),
+        F.col("title").alias("ArticleTitle"), F.struct(F.concat(F.col("seq"), F.lit("-"), F.col("seq") + 9).alias("MedlinePgn")).alias("Pagination"), F.struct(F.array("abstract", q["title"]).alias("AbstractText")).alias("Abstract"),
+        F.struct(F.array(F.struct(F.col("authors")[0].alias("LastName"), F.lit(None).cast("string").alias("ForeName")), F.struct(F.lit("Author").alias("LastName"), F.lit(None).cast("string").alias("ForeName"))).alias("Author")).alias("AuthorList"),
+        F.lit(None).cast("struct<Year:string,Month:string,Day:string>").alias("ArticleDate"),
+    )
+    ids = F.struct(F.struct(F.array(F.struct(F.lit("pubmed").alias("@IdType"), F.lit("1").alias("#text")), F.struct(F.lit("doi").alias("@IdType"), F.col("doi").alias("#text"))).alias("ArticleId")).alias("ArticleIdList"))
+    raw = p.select(F.lit(1).alias("page"), F.col("seq").alias("position"), F.struct(F.lit("1").alias("PMID"), article.alias("Article"), F.struct(F.col("keywords").alias("Keyword")).alias("KeywordList")).alias("MedlineCitation"), ids.alias("PubmedData"))
+    out = normalize.pubmed(raw)
+    return out.select(F.col("seq.position").alias("seq"), "title", "abstract", F.array_join("authors", "|").alias("authors"), F.col("publication.category").alias("category"), F.col("publication.issn").alias("issn"), "publication_date", "doi", "number_of_pages")
+
+
+@query(f"""WITH {PAPERS} SELECT seq, title, CASE WHEN seq % 2 = 0 THEN 'Detail ' || seq END AS abstract, CASE WHEN seq % 2 = 0 THEN 'B|A' ELSE author END AS authors, issn, 'isbn' || seq AS isbn, publication_date, citations, CASE WHEN seq % 2 = 0 THEN 7 END AS number_of_pages FROM papers WHERE title <> ''""")
+def q_normalize_scopus(spark, d):
+    """Entries with ISBNs as text or as lists, and detail records for every other one."""
+    p, q, s = papers(spark, d), F.col("publication"), F.col("seq")
+    null = F.lit(None).cast("string")
+    listed = F.concat(F.lit('[{"$":"isbn'), s, F.lit('"},{"$":"x"}]'))
+    raw = p.select(
+        F.lit(1).alias("page"), s.alias("position"), F.col("title").alias("dc:title"), F.col("authors")[0].alias("dc:creator"), q["title"].alias("prism:publicationName"), F.date_format("publication_date", "yyyy-MM-dd").alias("prism:coverDate"), F.col("doi").alias("prism:doi"), F.col("citations").cast("string").alias("citedby-count"),
+        q["category"].alias("prism:aggregationType"), s.cast("string").alias("prism:url"), null.alias("prism:pageRange"), F.when(s % 3 == 0, listed).otherwise(F.concat(F.lit("isbn"), s)).alias("prism:isbn"), q["issn"].alias("prism:issn"), q["publisher"].alias("dc:publisher"), F.array(F.struct(F.lit("scopus").alias("@ref"), F.col("urls")[0].alias("@href"))).alias("link"),
+    )
+    details = p.filter("seq % 2 = 0").select(s.cast("string").alias("url"), F.array(F.concat(F.lit("Detail "), s)).alias("abstracts"), F.array(F.lit("B"), F.lit("A"), F.lit("B")).alias("authors"), F.array(F.lit("k")).alias("keywords"), null.alias("page_range"), F.lit("3").alias("first_page"), F.lit("9").alias("last_page"))
+    out = normalize.scopus(raw, details)
+    return out.select(F.col("seq.position").alias("seq"), "title", "abstract", F.array_join("authors", "|").alias("authors"), F.col("publication.issn").alias("issn"), F.col("publication.isbn").alias("isbn"), "publication_date", "citations", "number_of_pages")
+
+
+@query(f"""WITH {PAPERS}, f AS (SELECT seq, regexp_replace(year(publication_date) || '-' || title, '[^\\p{{L}}\\p{{N}}_-]', '_', 'g') || '.pdf' AS file_name, url, doi, coalesce('DOI-' || doi, lower(title) || '|' || year(publication_date)) AS paper_key FROM papers)
+SELECT paper_key, file_name, concat_ws(' ', url, 'http://doi.org/' || doi) AS urls, row_number() OVER (PARTITION BY file_name ORDER BY seq) > 1 AS collision FROM f""")
+def q_download_plan(spark, d):
+    from .sinks.documents import download_plan
+
+    return download_plan(c.with_keys(papers(spark, d))).select("paper_key", "file_name", F.array_join("urls", " ").alias("urls"), "collision")
+
+
+@query("SELECT page_id, 'https://doi.org/10.5/' || page_id AS url FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, url FROM pages WHERE page_id % 2 <> 0 AND NOT contains(lower(url), 'pdf')")
+def q_visited_urls(spark, d):
+    doi = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("10.5/"), F.col("page_id")))
+    return table(spark, d, "pages").select("page_id", F.explode(enrich.visited(doi, F.array("url"))).alias("url"))
+
+
+_SPEC = {"since": dt.date(2000, 1, 1), "until": dt.date(2021, 6, 30), "limit": 150, "limit_per_database": 60, "publication_types": ("journal", "book"), "databases": ("PubMed", "IEEE", "Scopus")}
+
+
+@query(f"""WITH {PAPERS}, hit AS (SELECT * FROM keyed WHERE source IN ('PubMed', 'IEEE', 'Scopus') AND title <> '' AND publication_date BETWEEN date '2000-01-01' AND date '2021-06-30'
+    AND ({_has('abstract', 'the')} OR {_has('abstract', 'de')} OR (source <> 'IEEE' AND ({_has('title', 'the')} OR {_has('title', 'de')})) OR (source = 'Scopus' AND ({_has('lang', 'the')} OR {_has('lang', 'de')})))),
+  f AS (SELECT source, paper_key, min(seq) AS first FROM hit GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY first) AS k FROM f),
+  cut AS (SELECT source, max(first) AS last, max(k) AS k FROM n WHERE k <= 60 GROUP BY 1), few AS (SELECT hit.* FROM hit JOIN cut ON hit.source = cut.source WHERE k < 60 OR seq <= last),
+  g AS (SELECT paper_key, min(seq) AS first FROM few GROUP BY 1 ORDER BY 2 LIMIT 150), kept AS (SELECT * FROM few WHERE seq <= (SELECT max(first) FROM g) OR (SELECT count(*) FROM g) < 150),
+  pub AS (SELECT publication_key, arg_min(category, seq) AS category FROM kept GROUP BY 1),
+  m AS (SELECT kept.paper_key, min(seq) AS seq, arg_min(title, seq) AS title, max(citations) AS citations, string_agg(DISTINCT source, ',' ORDER BY source) AS databases, arg_min(pub.category, seq) AS category FROM kept JOIN pub USING (publication_key) GROUP BY 1)
+SELECT paper_key, seq, title, citations, databases, category FROM m WHERE category IN ('Journal', 'Book')""")
+def q_search_exact(spark, d):
+    """A search up to the type filter: everything that comes before similar titles are merged."""
+    spec = SearchSpec("[the] OR [de]", **_SPEC)
+    found = c.with_keys(api.select(papers(spark, d), spec))
+    found = c.limit_total(c.limit_per_source(found, spec.limit_per_database), spec.limit)
+    merged = c.merge_papers(c.merge_publications(found), "paper_key")
+    return merged.filter(c.of_types(F.col("publication"), spec.publication_types)).select("paper_key", "seq", "title", "citations", F.array_join("databases", ",").alias("databases"), F.col("publication.category").alias("category"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """A whole search over documents: query, dates, limits, deduplication, type filter, similar titles, newest first."""
     spec = SearchSpec(BOOLEAN, since=dt.date(2000, 1, 1), limit=5_000, limit_per_database=2_000, publication_types=("journal", "conference proceedings", "book"), databases=("PubMed", "IEEE", "Scopus"))

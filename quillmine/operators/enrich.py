@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.records import host, longest, split_keywords, union_sorted
@@ -107,8 +107,10 @@ def flag_predatory(papers: DataFrame, journals: DataFrame, publishers: DataFrame
         out = out.withColumn("own", own)
         out = out.join(listed(df, value, flag), F.col("own") == F.col(f"k_{flag}"), "left").drop("own", f"k_{flag}")
     hit = F.coalesce(*(F.col(s[0]) for s in sides), F.lit(False))
-    if "publication_key" in papers.columns:
-        hit = F.max(hit).over(Window.partitionBy("publication_key")) & F.col("publication_key").isNotNull() | hit
+    if "publication_key" in papers.columns:  # flagged keys are few; a window over all papers of a venue would be one task
+        keys = out.filter(hit).select(F.col("publication_key").alias("k_hit")).distinct().withColumn("by_key", F.lit(True))
+        out = out.join(keys, F.col("publication_key") == F.col("k_hit"), "left")
+        hit = hit | F.coalesce("by_key", F.lit(False))
     p = F.col("publication")
     flagged = p.withField("is_potentially_predatory", F.coalesce(p["is_potentially_predatory"], F.lit(False)) | hit)
     return out.withColumn("publication", F.when(p.isNotNull(), flagged)).select(*papers.columns)

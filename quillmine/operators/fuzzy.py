@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from .components import connected_components
 from .consolidate import merge_papers
 
 GRAM = 4
@@ -61,19 +62,6 @@ def _pairs(df: DataFrame, on: list[str]) -> DataFrame:
     return side("a").join(side("b"), on).filter(F.col("a") < F.col("b")).drop(*on)
 
 
-def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """id, component: the smallest id that pairs(a, b) lead to."""
-    both = scratch.save(pairs.select("a", "b").union(pairs.select("b", "a")).toDF("u", "v"))
-    labels = scratch.save(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("component")))
-    while True:
-        near = both.join(labels.toDF("v", "c"), "v").groupBy(F.col("u").alias("id")).agg(F.min("c").alias("m"))
-        step = scratch.save(labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("c")))
-        both_labels = scratch.save(step.join(step.select(F.col("id").alias("c"), F.col("c").alias("component")), "c").select("id", "old", "component"))
-        labels = both_labels.select("id", "component")
-        if not both_labels.filter("old != component").limit(1).count():
-            return labels
-
-
 def leaders(papers: DataFrame, threshold: float = 0.95) -> DataFrame:
     """id, leader of papers(id, year, doi, title); ids are in arrival order.
 
@@ -85,7 +73,7 @@ def leaders(papers: DataFrame, threshold: float = 0.95) -> DataFrame:
     pairs = scratch.save(title_pairs(papers, threshold))
     ends = pairs.filter("titled").select("a", "b")
     near = ends.union(ends.select("b", "a")).toDF("id", "other").groupBy("id").agg(F.collect_set("other").alias("near"))
-    nodes = components(pairs, scratch).join(papers.select("id", "doi"), "id").join(near, "id", "left")
+    nodes = connected_components(pairs, scratch, "components").join(papers.select("id", "doi"), "id").join(near, "id", "left")
 
     def replay(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values("id")

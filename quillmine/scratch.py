@@ -1,22 +1,46 @@
-"""Tables written to the folder that driver and executors share: they cut lineage and survive lost executors."""
+"""Tables written to the folder that driver and executors share: they cut lineage and survive the loss of any executor."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session, else (in tests) a local folder of this driver."""
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if conf:
+        return conf.rstrip("/")
+    if not hasattr(shared_dir, "own"):
+        shared_dir.own = "file://" + tempfile.mkdtemp(prefix="quillmine-")
+    return shared_dir.own
+
+
 class Scratch:
-    """A new folder under spark.checkpoint.dir (in tests, where that is unset, under a local one)."""
+    """A new folder in the shared one. drop() removes a table early; what is left goes when the driver ends."""
 
     def __init__(self, spark: SparkSession, label: str):
-        shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillmine-")
-        self.spark, self.root, self.n = spark, f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}", 0
+        self.spark, self.saved = spark, 0
+        self.root = f"{shared_dir(spark)}/quillmine-{label}-{uuid.uuid4().hex}"
+        atexit.register(self.drop)
 
-    def save(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def save(self, df: DataFrame, name: str | None = None) -> DataFrame:
+        """Writes a table and returns it as read back; without a name it gets a number."""
+        self.saved += 1
+        path = self.path(name or f"t{self.saved}")
+        df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, name: str = "") -> None:
+        try:
+            jvm = self.spark.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001  the session may be gone already; the folder's owner cleans up then
+            pass

@@ -122,10 +122,10 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return both.mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def set_bits(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+def set_bits(texts: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Bit sets of the texts over those shingles that two of them share at least, and the sizes of the full sets."""
-    hashes, counts, _ = _words.words(texts)
-    found, n = _words.shingles(hashes, counts, size)
+    parts = [_words.words(c)[:2] for c in texts.chunks]
+    found, n = _words.shingles(*(np.concatenate(x) for x in zip(*parts, strict=True)), size)
     row = np.repeat(np.arange(len(n)), n)
     order = np.lexsort((row, found))
     found, row = found[order], row[order]
@@ -149,7 +149,7 @@ def links_in_block(t: pa.Table, size: int, percent: int, lanes: int, within: boo
     ids, slot = t.column("id").to_pylist(), t.column("slot").to_numpy()
     _, root = np.unique(t.column("component").to_numpy(), return_inverse=True)
     sign = np.stack([np.array(x, np.int64) for x in t.column("packed").to_pylist()]).view(np.uint64)
-    bits, sizes = set_bits(pa.concat_arrays(t.column("text").chunks), size)
+    bits, sizes = set_bits(t.column("text"), size)
     low, chance, least = np.uint64(int("01" * LANES, 2)), 2.0**-BITS, least_estimate(percent, lanes)
     out: tuple[list, list] = ([], [])
     for x in range(len(ids) - 1):

@@ -70,6 +70,7 @@ def leaders(papers: DataFrame, threshold: float = 0.95) -> DataFrame:
     A~C leave {A, B} and {C}. Only connected papers can meet, so each component is replayed on its own.
     """
     scratch = Scratch(papers.sparkSession, "fuzzy")
+    papers = scratch.save(papers.select("id", "year", "doi", "title"))  # read several times below
     pairs = scratch.save(title_pairs(papers, threshold))
     ends = pairs.filter("titled").select("a", "b")
     near = ends.union(ends.select("b", "a")).toDF("id", "other").groupBy("id").agg(F.collect_set("other").alias("near"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmine.llm import minhash, packing, quality, secrets
-from quillmine.llm._shared import Scratch, table
+from quillmine.llm._shared import table
+from quillmine.scratch import Scratch
 
 ORACLE_SQL = None
 

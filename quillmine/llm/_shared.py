@@ -1,11 +1,8 @@
-"""Helpers that the operators of this subpackage share: tables, scratch folders, Arrow batches."""
+"""Helpers that the operators of this subpackage share: tables, slices of Arrow batches, columns made from texts."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,43 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, else (in tests) a local one."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    if not hasattr(shared_dir, "own"):
-        shared_dir.own = "file://" + tempfile.mkdtemp(prefix="quillmine-")
-    return shared_dir.own
-
-
-class Scratch:
-    """Tables written to the shared folder to cut lineage: they survive the loss of any executor.
-
-    drop() removes one early; what is left goes when the driver ends.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/quillmine-{label}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, name: str = "") -> None:
-        try:
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # noqa: BLE001  the session may be gone already; the folder's owner cleans up then
-            pass
-
-
 def slices(batch: pa.RecordBatch, column: str = "text", rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch where its rows or the bytes of a text column reach the limits. Rows stay whole and in order."""
     texts = batch.column(batch.schema.get_field_index(column))

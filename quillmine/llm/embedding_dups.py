@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch
-from .components import connected_components
+from ..operators.components import connected_components
+from ..scratch import Scratch
 
 #: Vectors that a bucket holds on average, at most, and that one block of a large bucket holds.
 BUCKET, BLOCK = 1024, 2048

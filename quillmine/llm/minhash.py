@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
+from ..scratch import Scratch
 from . import _words
-from ._shared import Scratch, slices
-from .components import connected_components
+from ._shared import slices
 
 #: Low bits kept of a minimum, and the chance, at most, that no band catches a pair at the threshold.
 BITS, MISS = 2, 1e-6

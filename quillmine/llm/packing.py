@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, slices, tokenizer_path
+from ..scratch import Scratch
+from ._shared import slices, tokenizer_path
 from .bpe import PATTERN, Vocabulary
 
 #: Pieces of one length that one task numbers, about.

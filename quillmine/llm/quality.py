@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from . import _words
-from ._shared import Scratch, slices
+from ._shared import slices
 
 #: Slots for words and shapes, width of a vector, entries of an index vector that aren't zero.
 SLOTS, WIDTH, SPARSE = 1 << 14, 32, 4
@@ -176,10 +177,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "x"])
 
     got = rows.mapInArrow(features, "y int, x binary").toArrow()  # `sample` rows of fixed width
-    order = np.argsort(got.column("x").to_numpy(zero_copy_only=False).astype(object), kind="stable") if got.num_rows else []
-    raw = got.column("x").to_pylist()
-    x = np.frombuffer(b"".join(raw[i] for i in order), np.float32).reshape(-1, FEATURES)
-    y = np.array(got.column("y").to_pylist(), np.int64)[order] if got.num_rows else np.empty(0, np.int64)
+    ordered = sorted(zip(got.column("x").to_pylist(), got.column("y").to_pylist(), strict=True))  # the same however rows arrive
+    x = np.frombuffer(b"".join(a for a, _ in ordered), np.float32).reshape(-1, FEATURES)
+    y = np.array([b for _, b in ordered], np.int64)
     shuffle = np.random.default_rng(1).permutation(len(y))
     scratch.drop()
     return train(context, x[shuffle], y[shuffle])

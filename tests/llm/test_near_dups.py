@@ -8,8 +8,8 @@ import pyarrow as pa
 import pytest
 
 from quillmine.llm import _words, embedding_dups, minhash
-from quillmine.llm._shared import Scratch
-from quillmine.llm.components import connected_components
+from quillmine.scratch import Scratch
+from quillmine.operators.components import connected_components
 
 from .conftest import edge_texts
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillmine.llm import chat, html_text, media, minhash, packing, quality, queries, secrets
-from quillmine.llm._shared import Scratch
+from quillmine.scratch import Scratch
 
 from .conftest import edge_texts
 
@@ -153,8 +153,9 @@ def test_elements_and_classes():
 
 
 def test_broken_markup_ends():
-    for page in ("<p>a<script>never closed", "<!-- open", "<div class=", "a < b & c > d", "<p>&lt;i&gt;", "<" * 5_000, "<p " * 3_000, "<nav><p>x", "<article>y<nav>z</nav>w"):
+    for page in ('<p class="open>' * 100_000, "<a b='x" * 100_000, "<p =" * 100_000, "<p>a<script>never closed", "<!-- open", "<div class=", "a < b & c > d", "<p>&lt;i&gt;", "<" * 5_000, "<p " * 3_000, "<nav><p>x", "<article>y<nav>z</nav>w"):
         html_text.lines(page)
+    assert html_text.lines("<p title=it's>don't</p><p title = \"a>b\">c</p>") == [("don't", 1), ("c", 1)]
     assert html_text.lines("<article>y<nav>z</nav>w") == [("y", 0), ("z", 2), ("w", 0)]
 
 

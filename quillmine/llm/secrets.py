@@ -76,7 +76,7 @@ class Scanner:
                 if m.end() == word.end() + REACH + 1_000:  # the window cut it: take the whole run
                     m = CANDIDATE.match(text, m.start())
                 at = seen = m.end()
-                if not any(a < m.end() and m.start() < b for a, b in spans) and any(c.isdigit() for c in m[0]) and self.novelty(text, *m.span()) >= NOVELTY:
+                if not any(a < m.end() and m.start() < b for a, b in spans) and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) and self.novelty(text, *m.span()) >= NOVELTY:
                     found.append((m.start(), 3, m.end()))
         return found
 

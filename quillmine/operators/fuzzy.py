@@ -36,32 +36,32 @@ def title_pairs(papers: DataFrame, threshold: float = 0.95) -> DataFrame:
     whole = F.col("n") - GRAM + 1 <= F.col("k") * GRAM
     prefix = F.slice("grams", 1, F.col("k") * GRAM + 1)
     needed = F.col("k") >= 1  # else only equal titles match
-    equal = _pairs(low.withColumn("key", F.col("t")), ["year", "key"])
-    near = _pairs(marked.filter(needed & ~whole).withColumn("key", F.explode(prefix)), ["year", "key"])
+    # papers with two different DOIs never match, and those with the same one are joined below: here one has none
+    bare, keyed = F.col("doi").isNull(), low.withColumn("key", F.col("t"))
+    equal = _join(keyed.filter(bare), keyed, ["year", "key"])
+    spread = marked.filter(needed & ~whole).withColumn("key", F.explode(prefix))
+    near = _join(spread.filter(bare), spread, ["year", "key"])
     # ... with titles of the lengths that it may reach
     short = marked.filter(needed & whole).withColumn("key", F.explode(F.sequence(F.greatest(F.col("n") - F.col("k"), F.lit(0)), F.col("n") + F.col("k"))))
-    beside = _join(short, marked.filter(needed).withColumn("key", F.col("n")), ["year", "key"])
+    other = marked.filter(needed).withColumn("key", F.col("n"))
+    beside = _join(short.filter(bare), other, ["year", "key"]).unionByName(_join(short.filter(~bare), other.filter(bare), ["year", "key"]))
     found = equal.unionByName(near).unionByName(beside)
-    longer = F.greatest("na", "nb")
-    close = found.filter(F.abs(F.col("na") - F.col("nb")) <= allowed(longer, threshold)).dropDuplicates(["a", "b"]).filter(F.expr(f"levenshtein(ta, tb, cast(floor(greatest(na, nb) * (1.0D - {float(threshold)}D)) as int)) >= 0"))
-    same = _pairs(low.filter("doi is not null").withColumn("key", F.col("doi")), ["year", "key"])
-    compatible = F.col("da").isNull() | F.col("db").isNull() | (F.col("da") == F.col("db"))
-    titled = close.filter(compatible).select("a", "b", F.lit(True).alias("titled"))
-    return titled.unionByName(same.select("a", "b", F.lit(False).alias("titled"))).groupBy("a", "b").agg(F.bool_or("titled").alias("titled"))
+    within = F.abs(F.col("na") - F.col("nb")) <= allowed(F.greatest("na", "nb"), threshold)
+    alike = F.expr(f"levenshtein(ta, tb, cast(floor(greatest(na, nb) * (1.0D - {float(threshold)}D)) as int)) >= 0")
+    titled = found.filter(within).dropDuplicates(["a", "b"]).filter(alike).select("a", "b", F.lit(True).alias("titled"))
+    known = low.filter(~bare).withColumn("key", F.col("doi"))
+    same = _join(known, known, ["year", "key"]).dropDuplicates(["a", "b"]).select("a", "b", F.coalesce(within & alike, F.lit(False)).alias("titled"))
+    return titled.unionByName(same)
 
 
 def _join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs of different papers, the earlier one first; a pair may come twice."""
     side = lambda df, s: df.select(*on, *(F.col(c).alias(x + s) for c, x in (("id", ""), ("t", "t"), ("n", "n"), ("doi", "d"))))
     both = side(left, "a").join(side(right, "b"), on).filter(F.col("a") != F.col("b"))
     flip = F.col("a") > F.col("b")
     return both.select(*(F.when(flip, F.col(x + t)).otherwise(F.col(x + s)).alias(x + s) for s, t in (("a", "b"), ("b", "a")) for x in ("", "t", "n", "d")))
 
 
-def _pairs(df: DataFrame, on: list[str]) -> DataFrame:
-    side = lambda s: df.select(*on, *(F.col(c).alias(x + s) for c, x in (("id", ""), ("t", "t"), ("n", "n"), ("doi", "d"))))
-    return side("a").join(side("b"), on).filter(F.col("a") < F.col("b")).drop(*on)
-
-
 def leaders(papers: DataFrame, threshold: float = 0.95) -> DataFrame:
     """id, leader of papers(id, year, doi, title); ids are in arrival order.
 

@@ -16,22 +16,37 @@ ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from labels of the documents that are there."""
+    """Documents that the quality classifier accepts; it learns from labels of the documents that are there.
+
+    Null and empty texts are scored like others, null doc_ids too; rows that repeat are judged each (and alike); without
+    labels nothing is rejected; an empty table stays empty; other columns pass through.
+    """
     return quality.filter_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: shingles of five words, a similarity of 0.8 or more."""
+    """One document of each group, that with the smallest doc_id: shingles of five words, a similarity of 0.8 or more.
+
+    Texts that are null or without words, and rows with a null doc_id, stay; rows that repeat doc_id and text are one; an
+    empty table stays empty; other columns pass through.
+    """
     return minhash.keep_one(docs, size=5, percent=80)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, found secrets replaced in their texts."""
+    """All documents, found secrets replaced in their texts, n_chars following.
+
+    Null texts stay null; rows that repeat stay; an empty table stays empty; other columns pass through.
+    """
     return secrets.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token pieces with their places in sequences."""
+    """The documents' token pieces with their places in sequences.
+
+    Null texts count as empty (one piece with the end id), null doc_ids stay null, rows that repeat are packed each, and an
+    empty table gives an empty result.
+    """
     return packing.pack(docs)
 
 

@@ -43,40 +43,48 @@ def hyperplanes(dim: int, count: int) -> np.ndarray:
     return np.random.default_rng(7_919 + dim).normal(size=(dim, count))
 
 
+def stored_as(embeddings: DataFrame) -> str:
+    """How a component is stored: single precision if it comes so, which loses nothing and halves what is moved."""
+    return "<f4" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+
+
 def readable(embeddings: DataFrame) -> DataFrame:
-    """vec_id and vec: the components as little-endian doubles; null where the vector links with nothing."""
-    narrow = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    """vec_id and vec: the components as bytes; null where the vector links with nothing."""
+    single = stored_as(embeddings)
+    narrow = embeddings.select("vec_id", F.col("embedding").cast("array<float>" if single == "<f4" else "array<double>").alias("embedding"))
     kind = narrow.schema["vec_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for value in batch.column(1):
-                x = None if value.as_py() is None or value.values.null_count else value.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
+                x = None if value.as_py() is None or value.values.null_count else value.values.to_numpy(zero_copy_only=False) + np.float32(0)
                 ok = x is not None and len(x) and np.isfinite(x).all() and x.any()
-                out.append(x.astype("<f8").tobytes() if ok else None)
+                out.append(x.astype(single).tobytes() if ok else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "vec"])
 
     return narrow.mapInArrow(run, f"vec_id {kind}, vec binary")
 
 
-def unit(vectors: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(vectors), "<f8").reshape(len(vectors), -1)
+def unit(vectors: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors in doubles."""
+    x = np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)  # squares neither overflow nor vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def codes(classes: DataFrame, tables: int, bits: int) -> DataFrame:
+def codes(classes: DataFrame, tables: int, bits: int, kind: str) -> DataFrame:
     """A row for each class and table: dim, place (table), key, id, n, vec, code, factor, and the keys of all tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ns, vecs = (batch.column(i).to_pylist() for i in range(3))
-            for dim in sorted({len(v) // 8 for v in vecs}):
-                at = [i for i, v in enumerate(vecs) if len(v) == 8 * dim]
+            size = np.dtype(kind).itemsize
+            for dim in sorted({len(v) // size for v in vecs}):
+                at = [i for i, v in enumerate(vecs) if len(v) == size * dim]
                 for part in (at[k : k + 256] for k in range(0, len(at), 256)):
                     own = [vecs[i] for i in part]
-                    x = unit(own)
+                    x = unit(own, kind)
                     y = x @ rotation(dim).T
                     code, factor = np.packbits(y > 0, axis=1), np.abs(y).sum(1) / math.sqrt(dim)
                     sides = (x @ hyperplanes(dim, max(1, tables * bits)) > 0)[:, : tables * bits].reshape(len(part), tables, bits)
@@ -94,11 +102,11 @@ def codes(classes: DataFrame, tables: int, bits: int) -> DataFrame:
     return classes.select("id", "n", "vec").mapInArrow(run, "dim int, place int, key int, id bigint, n bigint, vec binary, code binary, factor double, keys binary")
 
 
-def links_in_block(t: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def links_in_block(t: pa.Table, threshold: float, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a group's rows: ids, how many vectors each links with here, and the smallest id it is linked to through others."""
     dim, place, i, j = (t.column(c)[0].as_py() for c in ("dim", "place", "i", "j"))
     slot, ids, n = (t.column(c).to_numpy() for c in ("slot", "id", "n"))
-    x = unit(t.column("vec").to_pylist())
+    x = unit(t.column("vec").to_pylist(), kind)
     keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), "<i4").reshape(len(ids), -1)
     sign = np.unpackbits(np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(ids), -1), axis=1, count=dim).astype(np.float32) * 2 - 1
     factor = t.column("factor").to_numpy()
@@ -146,19 +154,19 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9) -> DataFrame:
     expected to be unique: rows that repeat one count as vectors each. An empty table gives an empty result;
     other columns (labels too) aren't read.
     """
-    scratch = Scratch(embeddings.sparkSession, "embeddings")
+    scratch, single = Scratch(embeddings.sparkSession, "embeddings"), stored_as(embeddings)
     rows = scratch.save(readable(embeddings), "rows")
     classes = scratch.save(rows.filter("vec is not null and vec_id is not null").groupBy("vec").agg(F.min("vec_id").cast("long").alias("id"), F.count("*").alias("n")), "classes")
     total = classes.count()
     tables, bits = tables_for(total, threshold)
-    coded = scratch.save(codes(classes.repartition(max(1, -(-total // 4096))), tables, bits), "codes")
+    coded = scratch.save(codes(classes.repartition(max(1, -(-total // 4096))), tables, bits, single), "codes")
     sizes = coded.groupBy("dim", "place", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")).filter("size > 1").drop("size")
     sized = coded.join(scratch.save(sizes, "sizes"), ["dim", "place", "key"])
     slotted = sized.withColumn("slot", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = slotted.withColumn("i", F.least("slot", "other")).withColumn("j", F.greatest("slot", "other")).drop("blocks", "other")
 
     def run(t: pa.Table) -> pa.Table:
-        ids, links, root = links_in_block(t, threshold)
+        ids, links, root = links_in_block(t, threshold, single)
         there = np.flatnonzero(links)
         return pa.table({"id": pa.array(ids[there], pa.int64()), "links": pa.array(links[there], pa.int64()), "root": pa.array(root[there], pa.int64())})
 

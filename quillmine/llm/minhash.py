@@ -245,6 +245,8 @@ class Search:
             left, most = self.undecided(f"pivot{k}")
         if most:
             self.add(self.block_links(left), "blocks")
+        for name in ("texts", "near", "reps", "buckets"):  # the result needs none of these
+            self.scratch.drop(name)
         whole = self.rows.join(self.classes, ["h1", "h2"], "left").join(self.labels.withColumnRenamed("component", "label"), "id", "left")
         component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", F.when(F.col("n_shingles") > 0, F.col("id")), "doc_id"))
         return whole.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one slice inside a Python worker; bounds the memory of a vectorised step on usual texts.
-SLICE_ROWS = 2_000
+SLICE_ROWS = 1_000
 #: Bytes of text of one slice; a single text above it makes a slice of its own.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, index = np.zeros((SLOTS, WIDTH), np.float32), index_vectors()
         for batch in batches:
-            for part in slices(batch, rows=500):
+            for part in slices(batch, rows=100):
                 add_contexts(total, index, part.column(1))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
 

@@ -25,6 +25,8 @@ from ..scratch import Scratch
 BUCKET, BLOCK = 1024, 2048
 #: Chance, at most, that a pair at the threshold meets in no table; standard errors that the confidence bound allows.
 MISS, SIGMAS = 1e-5, 5.0
+#: Candidate pairs of a block that are recomputed at once.
+PAIRS = 100_000
 
 
 def tables_for(vectors: int, threshold: float) -> tuple[int, int]:
@@ -125,14 +127,16 @@ def links_in_block(t: pa.Table, threshold: float, kind: str) -> tuple[np.ndarray
         pairs.append(p * np.int64(len(ids)) + q)
     both = np.unique(np.concatenate(pairs))  # either direction's bound lets a pair through
     p, q = both // len(ids), both % len(ids)
-    for a in range(0, len(p), 100_000):
-        u, v = p[a : a + 100_000], q[a : a + 100_000]
+    for a in range(0, len(p), PAIRS):
+        u, v = p[a : a + PAIRS], q[a : a + PAIRS]
         hit = np.einsum("ij,ij->i", x[u], x[v]) >= threshold
         u, v = u[hit], v[hit]
         hit = (keys[u] == keys[v]).argmax(1) == place
         u, v = u[hit], v[hit]
         np.add.at(links, u, n[v])
         np.add.at(links, v, n[u])
+        moved = np.flatnonzero(root != np.arange(len(ids)))  # earlier pairs' links: a root that moves takes them along
+        u, v = np.concatenate([u, moved]), np.concatenate([v, root[moved]])
         while True:  # the least rank among linked vectors, until nothing changes
             before = root.copy()
             low = np.where(rank[root[u]] < rank[root[v]], root[u], root[v])

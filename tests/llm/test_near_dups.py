@@ -175,3 +175,22 @@ def test_rotated_codes_estimate_without_bias():
         bound = embedding_dups.SIGMAS * np.sqrt((1 - factor**2) / factor**2 / 63)
         assert (np.abs(errors[-1]) <= bound + 1e-9).mean() > 0.99999
     assert abs(np.mean(errors)) < 1e-3
+
+
+@pytest.mark.parametrize("pairs", [1, 3, 5, 100_000])
+def test_links_are_carried_over_parts_of_a_block(monkeypatch, pairs):
+    monkeypatch.setattr(embedding_dups, "PAIRS", pairs)
+    rng = np.random.default_rng(5)
+    blocks = [(np.array([2, 1, 3, 0, 4]), np.array([2, 3, 4, 1, 0]))] + [(rng.permutation(16), rng.permutation(16)) for _ in range(40)]
+    for place, ids in blocks:  # a chain: each vector links with those beside it only
+        n, angles = len(ids), np.deg2rad(20 * place)
+        x = np.stack([np.cos(angles), np.sin(angles)], 1).astype("<f4")
+        y = x @ embedding_dups.rotation(2).T
+        column = lambda v: [v] * n  # noqa: E731, B023
+        t = pa.table({
+            "dim": column(2), "place": column(0), "i": column(0), "j": column(0), "slot": column(0), "id": ids, "n": np.ones(n, np.int64), "vec": [v.tobytes() for v in x],
+            "code": [c.tobytes() for c in np.packbits(y > 0, axis=1)], "factor": np.abs(y).sum(1) / np.sqrt(2), "keys": column(np.zeros(1, "<i4").tobytes()),
+        })
+        got, links, root = embedding_dups.links_in_block(t, 0.9, "<f4")
+        assert (got == ids).all() and (links == np.where((place == 0) | (place == n - 1), 1, 2)).all()
+        assert set(root) == {0}

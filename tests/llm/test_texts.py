@@ -131,6 +131,24 @@ def test_neighbours_lose_shared_lines(spark):
     assert html_text.extract(df).count() == 7 and html_text.extract(df.limit(0)).count() == 0
 
 
+def test_copies_and_quotes_keep_their_text(spark):
+    frame = "<body><div id=top><p>Menu of the site</div><div id=content>{}</div><div>Shared tail</div></body>"
+    story = lambda k: [f"{k} begins with a first sentence of some length", f"{k} goes on with another one, also of some length", f"{k} ends here and has nothing more to say"]
+    page = lambda *ps: frame.format("".join(f"<p>{p}" for p in ps))
+    one, two, three, four = map(story, ("One", "Two", "Three", "Four"))
+    rows = [
+        (1, "https://a.org/1", page(*one)), (2, "https://a.org/1", page(*one)), (3, "https://a.org/1?print=1", page("Print", *one)), (4, "https://a.org/1b", page(*one)),  # a host's first pages
+        (5, "https://a.org/2", page(*two)), (6, "https://a.org/3", page(*three, *two[:2])), (7, "https://a.org/4", page(*four)), (8, "https://a.org/4", page(*four)), (9, "https://a.org/4/", page(*four, "Print")),
+        (10, "https://b.org/1", page(*one)), (11, "https://b.org/1", page(*one)), (12, "https://c.org/1", page(*one)), (13, "https://c.org/2", page(*one, *two)),
+    ]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in html_text.extract(df.coalesce(1)).collect()}
+    framed = lambda *ps: ["Menu of the site", *ps, "Shared tail"]
+    assert got[1] == got[2] == got[4] == one and got[3] == ["Print", *one]
+    assert got[5] == two and got[6] == [*three, *two[:2]] and got[7] == got[8] == four and got[9] == [*four, "Print"]
+    assert got[10] == got[11] == got[12] == framed(*one) and got[13] == framed(*one, *two)  # nothing tells the menu from the text
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=14), st.lists(st.sampled_from("abcde"), max_size=14))
 def test_common_subsequences(a, b):

@@ -3,12 +3,15 @@
 A string near a sensitive word is compressed behind its surroundings, with a dictionary of identifiers. What it
 adds to the compressed size, per character, tells a random key (which nothing before it predicts) from a name, a
 path or a word (which repeat pieces of the context or the dictionary). Incompressible strings are reported.
+What is near a reported string counts as near the word, on either side, so that wrapped keys and lists are followed
+to their ends.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +23,20 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_WORDS = ("passw", "secret", "token", "api")
-#: Words that make the text after them sensitive.
+#: Words that make the text around them sensitive.
 SENSITIVE = re.compile(r"(?ai:pass(?:word|wd|phrase)|secret|token|api[ _-]?key|credential|authorization|bearer|private[ _-]?key|access[ _-]?key|signature)")
 SENSITIVE_WORDS = (*ASSIGN_WORDS, "credential", "authoriz", "bearer", "private", "access", "signature", "passphrase")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Characters after a sensitive word in which a candidate may begin, and characters before it that prime the compressor.
-REACH, CONTEXT = 48, 400
+SHORTEST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
+#: A candidate with what parts it from the next one of a list.
+LISTED = re.compile(rf"({CANDIDATE.pattern})[\s,;'\"]*")
+#: What may follow the last full line of a wrapped key, and the line that ends a block of them.
+REST = re.compile(rf"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_=-]{{1,{SHORTEST - 1}}})[ \t]*(?:\r?\n[ \t]*(-----END)|\r?\n|\Z)")
+#: Characters between a candidate and the sensitive word or the secret that makes it one, and characters around it that
+#: prime the compressor.
+REACH = CONTEXT = 400
+#: Characters of a piece that two candidates must share for one to predict the other.
+PIECE = 6
 #: Compressed bytes a character must add. A string that nothing before it predicts adds about 1.
 NOVELTY = 0.8
 #: What identifiers, paths and settings are made of; primes the compressor.
@@ -60,25 +71,74 @@ class Scanner:
         return found
 
     def novelty(self, text: str, start: int, end: int) -> float:
-        """Bytes that text[start:end] adds behind its surroundings, per byte of it."""
-        before = (text[max(0, start - CONTEXT) : start] + "\n" + text[end : end + CONTEXT]).encode("utf-8", "replace")
+        """Bytes that text[start:end] adds behind its surroundings, per byte of it.
+
+        Other candidates there count only if they share a piece with it: the lines of one key don't predict each
+        other, but their letters' frequencies alone would make each line look compressible.
+        """
+        pieces = {text[i : i + PIECE] for i in range(start, end - PIECE + 1)}
+        kept = lambda m: m[0] if any(m[1][i : i + PIECE] in pieces for i in range(len(m[1]) - PIECE + 1)) else ""
+        around = (LISTED.sub(kept, part) for part in (text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]))
+        before = "\n".join(around).encode("utf-8", "replace")
         own = text[start:end].encode("utf-8", "replace")
         return (self.size(before + b"\n" + own) - self.size(before + b"\n")) / len(own)
 
     def added(self, text: str, lower: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         if not any(w in lower for w in SENSITIVE_WORDS):
             return []
-        spans = sorted((a, b) for a, _, b in taken)
-        found, seen = [], -1
-        for word in SENSITIVE.finditer(text):
-            at = max(word.end(), seen)
-            while (m := CANDIDATE.search(text, at, word.end() + REACH + 1_000)) and m.start() <= word.end() + REACH:
-                if m.end() == word.end() + REACH + 1_000:  # the window cut it: take the whole run
+        spans = merged(sorted(taken))
+        starts = [a for a, _, _ in spans]
+
+        def secret(start: int, end: int) -> bool:
+            i = bisect_left(starts, end)
+            if i and spans[i - 1][2] > start:  # a base pattern reports it
+                return True
+            own = text[start:end]
+            if any(c.isdigit() for c in own) and any(c.isalpha() for c in own) and self.novelty(text, start, end) >= NOVELTY:
+                found.append((start, 3, end))
+                return True
+            return False
+
+        found: list[tuple[int, int, int]] = []
+        words = [m.span() for m in SENSITIVE.finditer(text)]
+        tested: list[tuple[int, int, bool]] = []  # the candidates behind a word, in order
+        seen, limit = -1, -1
+        for _, end in words:
+            at, limit = max(end, seen), max(limit, end + REACH)
+            while (m := CANDIDATE.search(text, at, limit + 1_000)) and m.start() <= limit:
+                if m.end() == limit + 1_000:  # the window cut it: take the whole run
                     m = CANDIDATE.match(text, m.start())
                 at = seen = m.end()
-                if not any(a < m.end() and m.start() < b for a, b in spans) and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) and self.novelty(text, *m.span()) >= NOVELTY:
-                    found.append((m.start(), 3, m.end()))
-        return found
+                tested.append((*m.span(), secret(*m.span())))
+                if tested[-1][2]:
+                    limit = max(limit, seen + REACH)
+        limit = cut = len(text) + REACH + 1
+        for m in reversed(list(CANDIDATE.finditer(text)) if words else []):
+            start, end = m.span()
+            while words and words[-1][0] > start:
+                cut = words.pop()[0]
+                limit = min(limit, cut - REACH)
+            end = min(end, cut)
+            while tested and tested[-1][1] > start:
+                a, _, known = tested.pop()
+                end = min(end, a)
+                if known:
+                    limit = min(limit, a - REACH)
+            if limit <= end and end - start >= SHORTEST and secret(start, end):
+                limit = min(limit, start - REACH)
+        return found + self.rests(text, sorted(found), starts, spans)
+
+    def rests(self, text: str, found: list[tuple[int, int, int]], starts: list[int], spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Last lines of wrapped keys that are too short for candidates: behind two lines of one length, or before an END line."""
+        out, before = [], (0, 3, 0)
+        for span in found:
+            wrapped = before[2] - before[0] == span[2] - span[0] and text[before[2] : span[0]].strip() == "" and "\n" in text[before[2] : span[0]]
+            if (m := REST.match(text, span[2])) and (m[2] or wrapped and not m[1].isalpha()):
+                i = bisect_left(starts, m.end(1))
+                if not i or spans[i - 1][2] <= m.start(1):
+                    out.append((m.start(1), 3, m.end(1)))
+            before = span
+        return out
 
     def __call__(self, text: str) -> list[tuple[int, int, int]]:
         lower = text.lower()

@@ -4,7 +4,8 @@ A string near a sensitive word is compressed behind its surroundings, with a dic
 adds to the compressed size, per character, tells a random key (which nothing before it predicts) from a name, a
 path or a word (which repeat pieces of the context or the dictionary). Incompressible strings are reported.
 What is near a reported string counts as near the word, on either side, so that wrapped keys and lists are followed
-to their ends.
+to their ends. Strings of digits alone or letters alone are measured in ordinary text besides their own, in which words
+and names are compressible; numbers of less than 20 digits (ids, times, card numbers) are no secrets.
 """
 
 from __future__ import annotations
@@ -39,6 +40,14 @@ REACH = CONTEXT = 400
 PIECE = 6
 #: Compressed bytes a character must add. A string that nothing before it predicts adds about 1.
 NOVELTY = 0.8
+#: Digits that a string of digits alone must have: shorter ones are 64-bit ids, times, card and account numbers.
+LONG_NUMBER = 20
+#: Text with the usual frequencies of letters and digits, in which strings of digits or letters alone are measured.
+ORDINARY = (
+    "When we moved the old ledger to another building in March 1987, nobody could say how many volumes there were: 213 by one count, 240 by the next. Most had been bound "
+    "before 1956, and a few still smelled of smoke. Quite often a page was missing; Jack Fox, Eva Zhou and I kept a list, which grew to 65 lines. On 9 July the rain came through "
+    "the roof, just above the shelves for X, Y and Z, so that we carried everything downstairs again. Do not expect a happy end. Half of it is gone, but what remains tells us plenty. "
+)
 #: What identifiers, paths and settings are made of; primes the compressor.
 IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0000000000000000 1111111111111111 xxxxxxxxxxxxxxxx XXXXXXXXXXXXXXXX "
@@ -70,7 +79,7 @@ class Scanner:
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
         return found
 
-    def novelty(self, text: str, start: int, end: int) -> float:
+    def novelty(self, text: str, start: int, end: int, reach: int = CONTEXT) -> float:
         """Bytes that text[start:end] adds behind its surroundings, per byte of it.
 
         Other candidates there count only if they share a piece with it: the lines of one key don't predict each
@@ -78,11 +87,27 @@ class Scanner:
         """
         pieces = {text[i : i + PIECE] for i in range(start, end - PIECE + 1)}
         kept = lambda m: m[0] if any(m[1][i : i + PIECE] in pieces for i in range(len(m[1]) - PIECE + 1)) else ""
-        around = (LISTED.sub(kept, part) for part in (text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]))
+        around = (LISTED.sub(kept, part) for part in (text[max(0, start - reach) : start], text[end : end + CONTEXT]))
         before = "\n".join(around).encode("utf-8", "replace")
         own = text[start:end].encode("utf-8", "replace")
         return (self.size(before + b"\n" + own) - self.size(before + b"\n")) / len(own)
 
+    def novel(self, text: str, start: int, end: int) -> bool:
+        """Whether a candidate's novelty makes it a secret. Numbers and letters alone are measured in ordinary text, in which
+        names and words are compressible, however short the text is; letters of one case count as small ones."""
+        own = text[start:end]
+        digits, letters = any(c.isdigit() for c in own), any(c.isalpha() for c in own)
+        if digits and letters:
+            return self.novelty(text, start, end) >= NOVELTY
+        if not letters and sum(c.isdigit() for c in own) < LONG_NUMBER:
+            return False
+        before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
+        whole = f"{ORDINARY}{before}{own}{after}"
+        if letters and (own.isupper() or own.islower()) and len(low := whole.lower()) == len(whole):
+            whole = low
+        start = len(ORDINARY) + len(before)
+        return self.novelty(whole, start, start + len(own), len(ORDINARY) + CONTEXT) >= NOVELTY
+
     def added(self, text: str, lower: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         if not any(w in lower for w in SENSITIVE_WORDS):
             return []
@@ -93,8 +118,7 @@ class Scanner:
             i = bisect_left(starts, end)
             if i and spans[i - 1][2] > start:  # a base pattern reports it
                 return True
-            own = text[start:end]
-            if any(c.isdigit() for c in own) and any(c.isalpha() for c in own) and self.novelty(text, start, end) >= NOVELTY:
+            if self.novel(text, start, end):
                 found.append((start, 3, end))
                 return True
             return False

@@ -272,6 +272,18 @@ def test_wrapped_and_listed_keys_are_followed_to_their_ends():
     assert found("getUserByNameAndUpdateAccount2 is a name\nthe token getUserByNameAndUpdateAccount2 is a name\nThanks\n") == []
 
 
+def test_novelty_decides_for_digits_or_letters_alone():
+    rng = np.random.default_rng(12)
+    key = lambda n, kind: "".join(rng.choice(list(kind), n))
+    found = lambda t: [t[a:b] for a, _, b in SCANNER(t)]
+    for key_, least in ((lambda: key(20, "0123456789"), 38), (lambda: key(32, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), 36)):
+        keys = [key_() for _ in range(40)]
+        for text in ("the client secret is {} ok", "the client secret of the service that we have described above is {} and must not be shown"):
+            assert sum(found(text.format(k)) == [k] for k in keys) >= least
+    for word in ("internationalizationconfiguration", "Donaudampfschifffahrtsgesellschaft", "MAXIMUM_CONNECTION_POOL", "GetAuthenticationProvider", "12345678901234567890", "00000000000000000000", "4916635284019372", "----------------"):
+        assert found(f"the token {word} is a name") == []
+
+
 def test_scan_tables(edge, empty, documents):
     for df, texts in ((documents, [(r.doc_id, r.text) for r in documents.collect()]), (edge, edge_texts())):
         got = secrets.scan(df).collect()

@@ -272,4 +272,6 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     dropped = Scratch(docs.sparkSession, "dropped").save(found.filter("not kept").select("doc_id").distinct(), "ids")
     left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return left.dropDuplicates(["doc_id", "text"]) if repeated else left
+    if not repeated:
+        return left
+    return left.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(left.filter("doc_id is null"))

@@ -86,6 +86,14 @@ def test_odd_rows(edge, empty, make):
     assert minhash.near_duplicates(make([(1, "a b c d")]), 3, 85).collect()[0].component_id == 1
 
 
+def test_rows_without_ids_stay_beside_repeated_ids(make):
+    rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (None, None), (None, None), (3, "one two"), (3, "one two"), (4, None), (4, None)]
+    left = minhash.keep_one(make(rows))
+    assert left.columns == make(rows).columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([*rows[:4], rows[4], rows[6]], key=str)
+    assert minhash.keep_one(make(rows[:5])).count() == 5
+
+
 def test_estimates_are_unbiased(spark):
     """The estimate by equal lanes, corrected for chance, is near the true similarity on average."""
     rng = np.random.default_rng(2)

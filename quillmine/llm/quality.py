@@ -1,7 +1,7 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer network.
 
 Words and word shapes hash into a fixed number of slots. A slot's index vector is a sparse random one; its
-context vector sums the index vectors of what stands beside it in the fitted rows. A document is pooled from the
+context vector sums the index vectors of what stands beside it in all documents. A document is pooled from the
 context vectors of its words and the index vectors of its shapes. The network is trained with numpy on the
 driver, over at most `sample` pooled rows of fixed width; a temperature, fitted on rows that training left out,
 calibrates its probabilities. Every row of the table is then scored from its whole text.
@@ -66,7 +66,10 @@ def add_contexts(total: np.ndarray, index: np.ndarray, column: pa.Array) -> None
     same = np.flatnonzero(row[1:] == row[:-1])
     near[same] += index[shape[same + 1]] + index[word[same + 1]]
     near[same + 1] += index[shape[same]] + index[word[same]]
-    np.add.at(total, word, near)
+    order = np.argsort(word, kind="stable")
+    starts = np.flatnonzero(np.r_[True, word[order][1:] != word[order][:-1]][: len(word)])
+    if len(starts):
+        total[word[order][starts]] += np.add.reduceat(near[order], starts)
 
 
 def pool(column: pa.Array, index: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -148,25 +151,42 @@ def train(context: np.ndarray, x: np.ndarray, y: np.ndarray, hidden: int = 32, e
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on at most `sample` labelled rows outside the held-out fifth, chosen by a hash of doc_id.
+    """Fits the network on at most `sample` labelled rows outside the held-out fifth, chosen by a hash of doc_id.
 
-    Labels that are null are left out; of several labels for a doc_id the mean decides.
+    The word vectors are those of all documents. Labels that are null or have no document are left out; of several
+    labels for a doc_id the mean decides.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = scratch.save(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text").repartition(8), "sample")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, index = np.zeros((SLOTS, WIDTH), np.float32), index_vectors()
+        total, index = np.zeros((SLOTS, WIDTH)), index_vectors()
         for batch in batches:
             for part in slices(batch, rows=100):
-                add_contexts(total, index, part.column(1))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+                add_contexts(total, index, part.column(0))
+        yield sent(total)
 
-    total = np.zeros((SLOTS, WIDTH), np.float64)
-    for r in rows.mapInArrow(contexts, "total binary").toLocalIterator():  # a few rows of 2 MB: SLOTS x WIDTH each
-        total += np.frombuffer(r["total"], np.float32).reshape(SLOTS, WIDTH)
+    def sent(total: np.ndarray) -> pa.RecordBatch:
+        halves = np.rint(total * np.sqrt(SPARSE)).astype("<i8")  # whole numbers: sums don't depend on their order
+        small = halves.astype("<i4")
+        return pa.RecordBatch.from_arrays([pa.array([(small if (small == halves).all() else halves).tobytes()], pa.binary())], names=["total"])
+
+    def read(total: bytes) -> np.ndarray:
+        return np.frombuffer(total, "<i4" if len(total) == 4 * SLOTS * WIDTH else "<i8").reshape(SLOTS, WIDTH) / np.sqrt(SPARSE)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((SLOTS, WIDTH))
+        for batch in batches:
+            for one in batch.column(0):
+                total += read(one.as_py())
+        yield sent(total)
+
+    totals = scratch.save(docs.select("text").mapInArrow(contexts, "total binary"), "totals")  # a row of some 2 MB for each task
+    total = np.zeros((SLOTS, WIDTH))
+    for r in totals.repartition(8).mapInArrow(summed, "total binary").collect():
+        total += read(r["total"])
     context = (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1)).astype(np.float32)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

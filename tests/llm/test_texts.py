@@ -208,6 +208,21 @@ def test_quality_of_odd_rows(spark, edge, empty):
     assert {r.quality_score for r in kept.collect()} == {"clash"}
 
 
+def test_word_vectors_are_of_all_documents(spark, make, monkeypatch):
+    import pyarrow as pa
+
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda context, x, y: seen.append((context, len(y))))
+    texts = [(i, f"text number w{i} of many") for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200, 3_000)], "doc_id bigint, quality int")
+    for docs in (make(texts), make(texts).repartition(7)):
+        quality.fit(docs, labels, sample=40)
+    word = quality.tokens(pa.array(["w5"]))[0]  # of a document without a label
+    assert np.abs(seen[0][0][word]).sum() > 0
+    assert [n for _, n in seen] == [40, 40]  # labels without a document use up no places
+    assert (seen[0][0] == seen[1][0]).all()
+
+
 def test_pooling_is_the_same_in_any_slices():
     import pyarrow as pa
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
+from ..operators.components import connected_components, fewer_links
 from ..scratch import Scratch
 from . import _words
 from ._shared import slices
@@ -29,8 +29,10 @@ BITS, MISS = 2, 1e-6
 LANES = 64 // BITS
 #: Standard deviations that an estimate may lie under the threshold and still be confirmed on full sets.
 SLACK = 6
-#: Members of a family in one slot. Buckets above LARGE get rounds of pivots before their pairs are gone through.
-BLOCK, LARGE, PIVOTS = 1024, 16_384, 3
+#: Members of a family, and shingles of theirs, in one slot (about).
+BLOCK, SHINGLES = 1024, 400_000
+#: Buckets above LARGE get rounds of pivots, PIVOTS at most, before their pairs are gone through; results are the same.
+LARGE, PIVOTS = 16_384, 3
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -40,9 +42,14 @@ def bands_for(percent: int) -> tuple[int, int]:
     return math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** rows))), rows
 
 
+def row_hash() -> Column:
+    """What tells rows that repeat a doc_id apart: a hash of the text as it is."""
+    return F.xxhash64("text")
+
+
 def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, set hash h1 and h2, band keys and packed low bits of the minima, for every row."""
-    narrow = docs.select("doc_id", "text")
+    """doc_id, row, n_shingles, set hash h1 and h2, band keys and packed low bits of the minima, for every row."""
+    narrow = docs.select("doc_id", "text", row_hash().alias("row"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     rng = np.random.default_rng(1_997)
     count = bands * rows
@@ -74,9 +81,9 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                         packed[:, k // LANES] |= (least & np.uint64((1 << BITS) - 1)) << np.uint64(BITS * (k % LANES))
                 at = np.r_[0, np.cumsum(n > 0)]
                 lists = [pa.ListArray.from_arrays(pa.array(at * x.shape[1], pa.int32()), pa.array(x.ravel().view(np.int64))) for x in (keys, packed)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *lists], names=["doc_id", "n_shingles", "h1", "h2", "bands", "packed"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *lists], names=["doc_id", "row", "n_shingles", "h1", "h2", "bands", "packed"])
 
-    return narrow.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, packed array<bigint>")
+    return narrow.mapInArrow(run, f"doc_id {kind}, row bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, packed array<bigint>")
 
 
 def least_estimate(percent: int, lanes: int) -> float:
@@ -168,7 +175,11 @@ def links_in_block(t: pa.Table, size: int, percent: int, lanes: int, within: boo
 
 
 class Search:
-    """State of one run: classes with their signatures, members of buckets, and the links so far."""
+    """State of one run: classes with their signatures, members of buckets, and the links so far.
+
+    A class is a set of shingles; its number is h1, the first half of its set hash, so that rows that repeat a doc_id
+    stay apart.
+    """
 
     def __init__(self, docs: DataFrame, size: int, percent: int):
         self.size, self.percent = size, percent
@@ -178,20 +189,27 @@ class Search:
         save = self.scratch.save
         self.rows = save(signatures(docs, size, bands, rows), "rows")
         full = self.rows.filter("n_shingles > 0 and doc_id is not null")
-        self.classes = save(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("id")), "classes")
-        same = [full["h1"] == self.classes["h1"], full["h2"] == self.classes["h2"], full["doc_id"] == self.classes["id"]]
-        self.reps = save(full.join(self.classes, same).select("id", "n_shingles", "bands", "packed"), "reps")
+        same = [F.first(c).alias(c) for c in ("n_shingles", "bands", "packed")]  # alike in all rows of a class
+        reps = full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row")).alias("one"), *same)
+        self.reps = save(reps.select(F.col("h1").alias("id"), "h2", F.col("one.doc_id").alias("least"), F.col("one.row").alias("row"), "n_shingles", "bands", "packed"), "reps")
         members = self.reps.select("id", F.explode("bands").alias("key"))
         buckets = save(members.groupBy("key").agg(F.min_by("id", F.xxhash64("id")).alias("pivot"), F.count("*").alias("n")).filter("n > 1"), "buckets")
         self.near = save(members.join(buckets, "key"), "near")
-        self.texts = save(docs.select("doc_id", "text").join(self.near.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").toDF("id", "text"), "texts")
+        shared = self.near.select("id").distinct().join(self.reps.select("id", F.col("least").alias("doc_id"), "row"), "id")
+        texts = docs.select("doc_id", "text", row_hash().alias("row")).join(shared, ["doc_id", "row"]).select("id", "text")
+        self.texts = save(texts.dropDuplicates(["id"]) if self.repeats() else texts, "texts")
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
+    def repeats(self) -> bool:
+        """Whether rows repeat doc_id and text, so that a class may have several rows with its text."""
+        twice = self.rows.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id", "row").count().filter("count > 1")
+        return twice.limit(1).count() > 0
+
     def add(self, links: DataFrame, name: str) -> None:
         """Takes confirmed links (a, b) and finds the components of all links so far."""
-        links = self.scratch.save(links.select("a", "b"), f"{name}-links")
-        self.links = links if self.links is None else self.links.union(links)
+        links = self.scratch.save(fewer_links(links.select("a", "b")), f"{name}-links")
+        self.links = links if self.labels is None else links.union(self.labels.toDF("a", "b"))
         self.labels = connected_components(self.links, self.scratch, f"{name}-components")
 
     def check(self, pairs: DataFrame, name: str) -> None:
@@ -219,13 +237,17 @@ class Search:
         """Links between members of undecided buckets that are in different components.
 
         Buckets with a common member are one family, so that a text is moved once and not for each band. A family
-        above BLOCK is cut into slots; each pair of its slots is a group of its own. Groups send back links only.
+        above BLOCK members or SHINGLES shingles is cut into slots; each pair of its slots is a group of its own, so
+        that no group is larger than two slots. Groups send back links only.
         """
-        family = connected_components(left.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), self.scratch, "families").withColumnRenamed("component", "family")
-        members = self.scratch.save(left.select("id", "component").distinct().join(family, "id"), "members")
-        sizes = self.scratch.save(members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slots")), "sizes")
-        own = members.join(sizes, "family").withColumn("slot", F.pmod(F.xxhash64("id", F.lit(17)), F.col("slots")).cast("int"))
-        whole = own.join(self.reps.select("id", "packed"), "id").join(self.texts, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+        own = fewer_links(left.select(F.col("id").alias("a"), F.col("first").alias("b")))
+        family = connected_components(own, self.scratch, "families").withColumnRenamed("component", "family")
+        members = left.select("id", "component").distinct().join(self.reps.select("id", "n_shingles", "packed"), "id").join(family, "id")
+        members = self.scratch.save(members, "members")
+        slots = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / SHINGLES)).cast("int")
+        sizes = self.scratch.save(members.groupBy("family").agg(slots.alias("slots")), "sizes")
+        dealt = members.join(sizes, "family").withColumn("slot", F.pmod(F.xxhash64("id", F.lit(17)), F.col("slots")).cast("int"))
+        whole = dealt.join(self.texts, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
         spread = whole.select("family", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "id", "component", "packed", "text")
         size, percent, lanes = self.size, self.percent, self.lanes
 
@@ -233,9 +255,10 @@ class Search:
             a, b = links_in_block(t, size, percent, lanes, t.column("i")[0] == t.column("j")[0])
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-        return spread.groupBy("family", "i", "j").applyInArrow(run, "a bigint, b bigint")
+        return confirm(self.scratch.save(spread.groupBy("family", "i", "j").applyInArrow(run, "a bigint, b bigint"), "found"), self.texts, size, percent)
 
     def run(self) -> DataFrame:
+        """The rows with h1, row (a hash of the text) and component: the smallest doc_id that can be reached."""
         self.check(self.near.select(F.col("id").alias("a"), F.col("pivot").alias("b")), "first")
         left, most = self.undecided("first")
         for k in range(1, PIVOTS + 1):
@@ -245,11 +268,15 @@ class Search:
             left, most = self.undecided(f"pivot{k}")
         if most:
             self.add(self.block_links(left), "blocks")
-        for name in ("texts", "near", "reps", "buckets"):  # the result needs none of these
+        for name in ("texts", "near", "buckets"):  # the result needs none of these
             self.scratch.drop(name)
-        whole = self.rows.join(self.classes, ["h1", "h2"], "left").join(self.labels.withColumnRenamed("component", "label"), "id", "left")
-        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", F.when(F.col("n_shingles") > 0, F.col("id")), "doc_id"))
-        return whole.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        linked = self.scratch.save(self.reps.select("id", "h2", "least").join(self.labels, "id"), "linked")
+        low = linked.groupBy("component").agg(F.min("least").alias("low"))
+        heads = self.reps.select("id", "h2", "least").join(linked.join(low, "component").select("id", "h2", "low"), ["id", "h2"], "left")
+        heads = heads.select(F.col("id").alias("h1"), "h2", F.coalesce("low", "least").alias("head"))
+        whole = self.rows.join(heads, ["h1", "h2"], "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("head")).otherwise(F.col("doc_id")))
+        return whole.select("doc_id", "n_shingles", "row", component.alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -257,21 +284,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     Texts that are null or have no words have an empty set and link with nothing. A row with a null doc_id links
     with nothing, has a null component and is kept. doc_id is expected to be unique: rows that repeat one are
-    compared like other rows, and all of them are kept if the id is its component's smallest. An empty table
-    gives an empty result; other columns aren't read. Sets are compared on whole texts.
+    compared like other rows, each by its own text, and a row is kept if its doc_id is its component's smallest. An
+    empty table gives an empty result; other columns aren't read. Sets are compared on whole texts; the links that
+    pivots and blocks find are confirmed word by word, while sets are taken as equal by a hash of 128 bits.
     """
-    return Search(docs, size, percent).run()
+    found = Search(docs, size, percent).run().drop("row")
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs, with their columns, less all but the smallest doc_id of each component of near-duplicates.
+    """docs, with their columns, less all rows of each component of near-duplicates but one.
 
-    Rows without words or with a null doc_id stay. Rows that repeat both doc_id and text are one document.
+    That one has the component's smallest doc_id and, of rows that repeat it with different texts, the text with the
+    smallest hash. Rows that repeat both doc_id and text are one document: the one whose columns have the smallest
+    hash stays. Rows without words stay (one of those that repeat doc_id and text), and all rows with a null doc_id.
     """
-    found = near_duplicates(docs, size, percent)
-    dropped = Scratch(docs.sparkSession, "dropped").save(found.filter("not kept").select("doc_id").distinct(), "ids")
-    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if not repeated:
-        return left
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(left.filter("doc_id is null"))
+    scratch = Scratch(docs.sparkSession, "dropped")
+    found = scratch.save(Search(docs, size, percent).run().filter("doc_id is not null"), "found")
+    worded = found.filter("n_shingles > 0")
+    stays = worded.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("stays"))
+    others = worded.join(stays, "component_id").filter((F.col("doc_id") != F.col("stays.doc_id")) | (F.col("row") != F.col("stays.row")))
+    dropped = scratch.save(others.select("doc_id", "row").distinct(), "ids")
+    repeated = found.groupBy("doc_id", "row").count().filter("count > 1").select("doc_id", "row")
+    repeated = scratch.save(repeated.join(dropped, ["doc_id", "row"], "left_anti"), "repeated")
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    keyed, on = docs.withColumn(row, row_hash()), ["doc_id", row]
+    left = keyed.join(dropped.toDF(*on), on, "left_anti")
+    if not repeated.limit(1).count():
+        return left.select(*docs.columns)
+    again = left.join(repeated.toDF(*on), on, "left_semi")
+    least = again.groupBy(*on).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("one")).select("one.*")
+    return left.join(repeated.toDF(*on), on, "left_anti").select(*docs.columns).unionByName(least)

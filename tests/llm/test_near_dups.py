@@ -8,8 +8,6 @@ import pyarrow as pa
 import pytest
 
 from quillmine.llm import _words, embedding_dups, minhash
-from quillmine.scratch import Scratch
-from quillmine.operators.components import connected_components
 
 from .conftest import edge_texts
 
@@ -50,9 +48,10 @@ def families(seed, n=150):
     return out
 
 
-@pytest.mark.parametrize("size, percent, block", [(3, 85, 1024), (5, 80, 1024), (3, 85, 16), (2, 60, 8)])
-def test_links_of_edited_copies(make, monkeypatch, size, percent, block):
+@pytest.mark.parametrize("size, percent, block, shingles", [(3, 85, 1024, 400_000), (5, 80, 1024, 500), (3, 85, 16, 400_000), (2, 60, 8, 400_000)])
+def test_links_of_edited_copies(make, monkeypatch, size, percent, block, shingles):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "SHINGLES", shingles)
     rows = families(size * 100 + percent + block)
     got = minhash.near_duplicates(make(rows), size, percent).collect()
     assert sorted(tuple(r) for r in got) == brute(rows, size, percent)
@@ -94,6 +93,39 @@ def test_rows_without_ids_stay_beside_repeated_ids(make):
     assert minhash.keep_one(make(rows[:5])).count() == 5
 
 
+def test_repeated_ids_lose_no_text(make):
+    """Rows are kept by their own texts, whatever other row has their doc_id."""
+    a, b, c = "a b c d e f g h", "one two three four five six", "x y z u v w"
+    left = lambda rows: sorted(((r.doc_id, r.text) for r in minhash.keep_one(make(rows)).collect()), key=str)
+    assert left([(1, a), (5, a), (5, b)]) == [(1, a), (5, b)]
+    assert left([(5, a), (5, b), (3, a), (7, b)]) == [(3, a), (5, b)]  # row (5, b) leads its own group
+    assert left([(5, a), (5, a + " i"), (5, c), (2, c)]) in ([(2, c), (5, a)], [(2, c), (5, a + " i")])
+    assert left([(1, a)] * 3 + [(None, a)] * 2 + [(2, None)] * 2 + [(2, "")]) == sorted([(1, a), (None, a), (None, a), (2, None), (2, "")], key=str)
+    got = minhash.near_duplicates(make([(5, a), (5, b), (3, a), (7, b)])).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 5, False)]
+
+
+def test_repeats_with_other_columns_keep_one_of_them(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (2, "a b c d e f", "z"), (3, None, "p"), (3, None, "q"), (4, "other words altogether", "r")]
+    schema = "doc_id bigint, text string, row string"
+    kept = [sorted(map(tuple, minhash.keep_one(spark.createDataFrame(order, schema).repartition(n)).collect()), key=str) for order, n in ((rows, 1), (rows[::-1], 3))]
+    assert kept[0] == kept[1] and [r[0] for r in kept[0]] == [1, 3, 4]
+    assert minhash.keep_one(spark.createDataFrame([], schema)).columns == ["doc_id", "text", "row"]
+
+
+def test_links_for_each_member_are_few_in_families_of_any_size(spark, monkeypatch):
+    rng, rows = random.Random(8), []
+    passed = {}
+    whole = minhash.connected_components
+    monkeypatch.setattr(minhash, "connected_components", lambda links, scratch, name: passed.setdefault(name, []).append(links.count()) or whole(links, scratch, name))
+    for n in (200, 800):
+        base = [f"w{i}" for i in range(120)]
+        rows = [(i, " ".join(w if rng.random() > 0.02 else f"x{rng.randrange(10**6)}" for w in base)) for i in range(n)]
+        passed.clear()
+        minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 80)
+        assert passed["first-components"][0] <= 1.7 * n
+
+
 def test_estimates_are_unbiased(spark):
     """The estimate by equal lanes, corrected for chance, is near the true similarity on average."""
     rng = np.random.default_rng(2)
@@ -130,15 +162,6 @@ def test_words_on_bytes():
     assert (sliced[0] == whole[0][: sliced[1].sum()]).all()
 
 
-def test_components(spark):
-    rng = random.Random(4)
-    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(500 + i, 501 + i) for i in range(64)] + [(900, 900 + i) for i in range(1, 50)]
-    df = spark.createDataFrame([*links, (None, 1), (5, None), (7, 7)], "a bigint, b bigint")
-    got = {r.id: r.component for r in connected_components(df, Scratch(spark, "test"), "c").collect()}
-    want = components(1_000, links)
-    assert got == {x: want[x] for pair in links if pair[0] != pair[1] for x in pair}
-
-
 def brute_vectors(rows, threshold):
     ok = lambda v: v is not None and len(v) and None not in v and all(map(math.isfinite, v)) and any(v)
     unit = [np.array(v, np.float64) / np.linalg.norm(v) if ok(v) else None for _, v in rows]

@@ -21,6 +21,8 @@ from ._shared import map_text, tokenizer_path
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words remembered by a worker; the memory is emptied when full, which changes no result.
 REMEMBERED = 200_000
+#: Bytes of a word above which its places are matched together, not its bytes one after another, and places at a time.
+STEPPED, PLACES = 64, 1 << 16
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -33,8 +35,7 @@ def byte_alphabet() -> dict[str, int]:
 class Vocabulary:
     """Tables of a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, file: str, tables: bool = True):
-        """tables: also those for encoding; else only the tokens' bytes."""
+    def __init__(self, file: str):
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"]
@@ -49,8 +50,6 @@ class Vocabulary:
             self.bytes[i] = bytes(map(alphabet.__getitem__, text))
         for text, i in self.special.items():
             self.bytes[i] = text.encode()
-        if not tables:
-            return
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left, right, made = (np.array([ids[x] for x in side], np.int64) for side in ([a for a, _ in pairs], [b for _, b in pairs], [a + b for a, b in pairs]))
         self.rank = np.full(self.size, -1, np.int64)  # -1: a byte, made by no merge
@@ -89,10 +88,50 @@ class Vocabulary:
                 accepts[node] = i
         node, byte = np.array(list(steps), np.int64).T
         self.accepts = np.array(accepts, np.int64)
+        self.longest = max(len(self.bytes[i]) for i in own)
         self.steps = PairTable(byte, node, np.array(list(steps.values())), np.zeros(len(accepts), np.int64), len(accepts))
 
     def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest matches of all words, and the word of each; every byte is a token, so a match exists."""
+        long = [i for i, w in enumerate(words) if len(w) > STEPPED]
+        if not long:
+            return self.stepped(words)
+        out = [self.everywhere(words[i], i) for i in long]
+        short = np.array([i for i, w in enumerate(words) if len(w) <= STEPPED], np.int64)
+        if len(short):
+            tokens, seq = self.stepped([words[i] for i in short])
+            out.append((tokens, short[seq]))
+        tokens, seq = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.argsort(seq, kind="stable")
+        return tokens[order], seq[order]
+
+    def everywhere(self, word: bytes, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """propose() for one long word: the longest matches at all its places, which step together; then a walk over them."""
+        tokens: list[int] = []
+        start = 0
+        for a in range(0, len(word), PLACES):
+            data = np.frombuffer(word[a : a + PLACES + self.longest], np.uint8).astype(np.int64)
+            n = min(PLACES, len(word) - a)
+            at, node, going = np.arange(n), np.zeros(n, np.int64), np.arange(n)
+            token, size = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+            depth = 0
+            while len(going):
+                rank, node = self.steps.join(data[at], node)
+                there = rank == 0
+                depth += 1
+                going, at, node = going[there], at[there] + 1, node[there]
+                whole = self.accepts[node] >= 0
+                token[going[whole]], size[going[whole]] = self.accepts[node[whole]], depth
+                inside = at < len(data)
+                going, at, node = going[inside], at[inside], node[inside]
+            token, size = token.tolist(), size.tolist()
+            while start < a + n:
+                tokens.append(token[start - a])
+                start += size[start - a]
+        return np.array(tokens, np.int64), np.full(len(tokens), number, np.int64)
+
+    def stepped(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """propose() for words of like lengths: all go through the trie together, byte by byte."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         data = np.r_[np.frombuffer(b"".join(words), np.uint8).astype(np.int64), 0]
         end = np.cumsum(lengths)
@@ -143,24 +182,51 @@ class Vocabulary:
         return ok
 
 
-class Encoder:
-    """Token ids of texts, as little-endian unsigned 32-bit integers; special strings in a text are their own token."""
+class Words:
+    """Cuts texts where no merge crosses; special strings in a text are words of their own."""
 
-    def __init__(self, file: str):
+    def __init__(self, special: dict[str, int]):
         import regex
 
-        self.vocabulary = Vocabulary(file)
         self.cut = regex.compile(PATTERN).findall
-        self.special = {s: np.array([i], "<u4").tobytes() for s, i in self.vocabulary.special.items()}
-        self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.known: dict[str, bytes] = dict(self.special)
-        self.proposed = self.failed = 0
+        self.special = {s: np.array([i], "<u4").tobytes() for s, i in special.items()}
+        self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
 
-    def words(self, text: str) -> list[str]:
+    def __call__(self, text: str) -> list[str]:
         if self.split and any(s in text for s in self.special):
             return [w for part in self.split(text) for w in ([part] if part in self.special else self.cut(part))]
         return self.cut(text)
 
+
+class Remembering:
+    """Token ids of texts, as little-endian unsigned 32-bit integers, from those of their words; learn() adds new words."""
+
+    def __init__(self, special: dict[str, int]):
+        self.words = Words(special)
+        self.known: dict[str, bytes] = dict(self.words.special)
+
+    def learn(self, words: list[str]) -> None:
+        raise NotImplementedError
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        cut = [self.words(t) for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known = dict(self.words.special)
+        new = set().union(*cut) - self.known.keys()
+        if new:
+            self.learn(list(new))
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) for words in cut]
+
+
+class Encoder(Remembering):
+    """Encodes by speculation; words that fail the check are merged exactly."""
+
+    def __init__(self, file: str):
+        self.vocabulary = Vocabulary(file)
+        super().__init__(self.vocabulary.special)
+        self.proposed = self.failed = 0
+
     def learn(self, words: list[str]) -> None:
         v, raw = self.vocabulary, [w.encode() for w in words]
         tokens, seq = v.propose(raw)
@@ -177,16 +243,6 @@ class Encoder:
         data, ends = tokens.astype("<u4").tobytes(), (4 * np.cumsum(np.bincount(seq, minlength=len(words)))).tolist()
         self.known.update((w, data[a:b]) for w, a, b in zip(words, [0, *ends], ends, strict=False))
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [self.words(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = dict(self.special)
-        new = set().union(*cut) - self.known.keys()
-        if new:
-            self.learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
-
     def decode(self, ids: bytes) -> str:
         """The text of token ids, special tokens included; bytes that are no UTF-8 become replacement characters."""
         return b"".join(map(self.vocabulary.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")

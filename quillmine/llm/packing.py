@@ -11,7 +11,7 @@ among the pieces of that length, which salted groups count out, so that a hot le
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from ._shared import slices, tokenizer_path
-from .bpe import PATTERN, Vocabulary
+from .bpe import Remembering
 
 #: Pieces of one length that one task numbers, about.
 GROUP_ROWS = 20_000
@@ -99,14 +99,20 @@ def best_fit(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]
     return np.array(rows, np.int64).reshape(-1, 5), bins
 
 
-def fast_ids(file: str) -> Callable[[str], bytes]:
-    """The ids that the tokenizers library gives, by tiktoken over the same vocabulary file."""
-    import tiktoken
+class LibraryIds(Remembering):
+    """Token ids by the tokenizers library, asked once for each word that a worker meets."""
 
-    v = Vocabulary(file, tables=False)
-    ranks = {b: i for i, b in enumerate(v.bytes) if b and i not in set(v.special.values())}
-    encoding = tiktoken.Encoding("from file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=v.special)
-    return lambda text: encoding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+    def __init__(self, file: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(file)
+        self.library.no_padding()
+        self.library.no_truncation()
+        super().__init__({t.content: i for i, t in self.library.get_added_tokens_decoder().items()})
+
+    def learn(self, words: list[str]) -> None:
+        got = self.library.encode_batch_fast(words, add_special_tokens=False)
+        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, got, strict=True))
 
 
 def cut_pieces(docs: DataFrame, capacity: int, vocabulary: str, end_id: int) -> DataFrame:
@@ -115,12 +121,15 @@ def cut_pieces(docs: DataFrame, capacity: int, vocabulary: str, end_id: int) ->
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = fast_ids(tokenizer_path(vocabulary)), np.array([end_id], "<u4").tobytes()
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        encode, end = LibraryIds(tokenizer_path(vocabulary)), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch):
                 row, piece, start, length, crc = [], [], [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    ids = encode(text or "") + end
+                for i, ids in enumerate(encode([t or "" for t in part.column(1).to_pylist()])):
+                    ids += end
                     n = len(ids) // 4
                     at = 0
                     for k in range(-(-n // capacity)):

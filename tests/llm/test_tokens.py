@@ -19,7 +19,7 @@ from .conftest import edge_texts
 
 PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 SP, TK = sentencepiece.SentencePieceProcessor(model_file=PIECES), Tokenizer.from_file(BYTES)
-COUNTER, ENCODER = token_counts.Counter(PIECES), bpe.Encoder(BYTES)
+COUNTER, ENCODER, LIBRARY = token_counts.Counter(PIECES), bpe.Encoder(BYTES), packing.LibraryIds(BYTES)
 
 
 def ids_of(text):
@@ -50,6 +50,37 @@ def test_long_words():
     assert [np.frombuffer(x, "<u4").tolist() for x in ENCODER(texts)] == [ids_of(t) for t in texts]
 
 
+def test_very_long_runs():
+    """A million white-space characters and more: the ids of the library, in bounded time, in op5 and in op9 (and so the pipeline)."""
+    library = packing.LibraryIds(BYTES)
+    rng = random.Random(2)
+    for text in (" " * 2_000_000, "\n" * 2_000_000, " \n" * 500_000 + "a", "ab" * 40_000, "word " + " " * 1_000_001 + "x", "".join(rng.choices("aeinrst", k=70_000))):
+        want = ids_of(text)
+        assert np.frombuffer(library([text])[0], "<u4").tolist() == want
+        assert np.frombuffer(ENCODER([text])[0], "<u4").tolist() == want
+    library, encoder = packing.LibraryIds(BYTES), ENCODER
+    text = "<|endoftext|> a<|endoftext|>\n  b " * 3
+    assert np.frombuffer(library([text])[0], "<u4").tolist() == np.frombuffer(encoder([text])[0], "<u4").tolist() == ids_of(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=12), min_size=1, max_size=60))
+def test_places_matched_together_are_those_met_one_by_one(words):
+    v, joined = ENCODER.vocabulary, b"".join(words)
+    kept, bpe.PLACES = bpe.PLACES, 7
+    try:
+        tokens, seq = v.everywhere(joined, 3)
+    finally:
+        bpe.PLACES = kept
+    assert tokens.tolist() == v.stepped([joined])[0].tolist() and set(seq.tolist()) == {3}
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXTS)
+def test_ids_by_the_library_any_text(text):
+    assert np.frombuffer(LIBRARY([text])[0], "<u4").tolist() == ids_of(text)
+
+
 def test_every_border_check_agrees_with_merging():
     """compatible() says yes just where merging the joined bytes gives the two tokens back."""
     v, rng = ENCODER.vocabulary, np.random.default_rng(0)

@@ -28,7 +28,8 @@ ASSIGN_WORDS = ("passw", "secret", "token", "api")
 SENSITIVE = re.compile(r"(?ai:pass(?:word|wd|phrase)|secret|token|api[ _-]?key|credential|authorization|bearer|private[ _-]?key|access[ _-]?key|signature)")
 SENSITIVE_WORDS = (*ASSIGN_WORDS, "credential", "authoriz", "bearer", "private", "access", "signature", "passphrase")
 SHORTEST = 16
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
+#: Marks like . ! @ are no part of it: with them mail addresses and ends of sentences would be reported (README).
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{{{SHORTEST - 1},}}")
 #: A candidate with what parts it from the next one of a list.
 LISTED = re.compile(rf"({CANDIDATE.pattern})[\s,;'\"]*")
 #: What may follow the last full line of a wrapped key, and the line that ends a block of them.
@@ -68,6 +69,7 @@ class Scanner:
         import zstandard
 
         primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.measured = 0  # candidates whose novelty was asked for
         self.size = lambda data, c=zstandard.ZstdCompressor(level=19, dict_data=primed, write_checksum=False, write_content_size=False): len(c.compress(data))
 
     def base(self, text: str, lower: str) -> list[tuple[int, int, int]]:
@@ -85,6 +87,7 @@ class Scanner:
         Other candidates there count only if they share a piece with it: the lines of one key don't predict each
         other, but their letters' frequencies alone would make each line look compressible.
         """
+        self.measured += 1
         pieces = {text[i : i + PIECE] for i in range(start, end - PIECE + 1)}
         kept = lambda m: m[0] if any(m[1][i : i + PIECE] in pieces for i in range(len(m[1]) - PIECE + 1)) else ""
         around = (LISTED.sub(kept, part) for part in (text[max(0, start - reach) : start], text[end : end + CONTEXT]))
@@ -108,49 +111,40 @@ class Scanner:
         start = len(ORDINARY) + len(before)
         return self.novelty(whole, start, start + len(own), len(ORDINARY) + CONTEXT) >= NOVELTY
 
+    def candidates(self, text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+        """The sensitive words, and the runs of SHORTEST characters and more between them, wherever they stand."""
+        words = [m.span() for m in SENSITIVE.finditer(text)]
+        gaps = zip([0, *(b for _, b in words)], [*(a for a, _ in words), len(text)], strict=True) if words else ()
+        return words, [m.span() for a, b in gaps for m in CANDIDATE.finditer(text, a, b)]
+
     def added(self, text: str, lower: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Candidates that are novel and near a sensitive word or another such candidate, those in base spans too.
+
+        One pass forward and one back find all of them: what a string found on the way back lies near to is near, too,
+        to that which made it one.
+        """
         if not any(w in lower for w in SENSITIVE_WORDS):
             return []
+        words, runs = self.candidates(text)
+        novel: dict[tuple[int, int], bool] = {}
+
+        def measured(run: tuple[int, int]) -> bool:
+            if run not in novel:
+                novel[run] = self.novel(text, *run)
+            return novel[run]
+
+        both = sorted([(*w, True) for w in words] + [(*r, False) for r in runs])
+        limit = -1
+        for a, b, word in both:
+            if word or (a <= limit and measured((a, b))):
+                limit = b + REACH
+        limit = len(text) + 1
+        for a, b, word in reversed(both):
+            if word or novel.get((a, b)) or (b >= limit and measured((a, b))):
+                limit = a - REACH
+        found = sorted((a, 3, b) for (a, b), yes in novel.items() if yes)
         spans = merged(sorted(taken))
-        starts = [a for a, _, _ in spans]
-
-        def secret(start: int, end: int) -> bool:
-            i = bisect_left(starts, end)
-            if i and spans[i - 1][2] > start:  # a base pattern reports it
-                return True
-            if self.novel(text, start, end):
-                found.append((start, 3, end))
-                return True
-            return False
-
-        found: list[tuple[int, int, int]] = []
-        words = [m.span() for m in SENSITIVE.finditer(text)]
-        tested: list[tuple[int, int, bool]] = []  # the candidates behind a word, in order
-        seen, limit = -1, -1
-        for _, end in words:
-            at, limit = max(end, seen), max(limit, end + REACH)
-            while (m := CANDIDATE.search(text, at, limit + 1_000)) and m.start() <= limit:
-                if m.end() == limit + 1_000:  # the window cut it: take the whole run
-                    m = CANDIDATE.match(text, m.start())
-                at = seen = m.end()
-                tested.append((*m.span(), secret(*m.span())))
-                if tested[-1][2]:
-                    limit = max(limit, seen + REACH)
-        limit = cut = len(text) + REACH + 1
-        for m in reversed(list(CANDIDATE.finditer(text)) if words else []):
-            start, end = m.span()
-            while words and words[-1][0] > start:
-                cut = words.pop()[0]
-                limit = min(limit, cut - REACH)
-            end = min(end, cut)
-            while tested and tested[-1][1] > start:
-                a, _, known = tested.pop()
-                end = min(end, a)
-                if known:
-                    limit = min(limit, a - REACH)
-            if limit <= end and end - start >= SHORTEST and secret(start, end):
-                limit = min(limit, start - REACH)
-        return found + self.rests(text, sorted(found), starts, spans)
+        return found + self.rests(text, found, [a for a, _, _ in spans], spans)
 
     def rests(self, text: str, found: list[tuple[int, int, int]], starts: list[int], spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Last lines of wrapped keys that are too short for candidates: behind two lines of one length, or before an END line."""
@@ -177,6 +171,10 @@ def show(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row.
 
+    novel spans are the runs of 16 letters, digits and +/_=- (none starts with =; sensitive words part them) that are at
+    most 400 characters from a sensitive word or from another novel run, on either side, and that add 0.8 compressed
+    bytes a character at least; numbers of less than 20 digits are none. Runs inside base spans are measured like
+    others, so a novel span may lie in a base span. The short last line of a wrapped key goes with the lines before.
     Null texts count as empty: no spans, and base_sha256 is that of the empty string. A null doc_id stays null;
     repeated rows are scanned each; an empty table gives an empty result; other columns of docs aren't read.
     """

@@ -131,6 +131,35 @@ def test_neighbours_lose_shared_lines(spark):
     assert html_text.extract(df).count() == 7 and html_text.extract(df.limit(0)).count() == 0
 
 
+def stripped(spark, sf):
+    """The pages of a table without their article tags, and the text that the tags marked."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    want = {r.page_id: (r.text, r.url) for r in html_text.extract(pages).collect()}
+    bare = pages.withColumn("html", F.regexp_replace("html", "</?article>", "")).withColumn("url", F.regexp_replace("url", "//[^/]*/", "//one.example.org/"))
+    return bare, want
+
+
+@pytest.mark.parametrize("frame", ["", "<div>Menu of the site</div><p>{}</p><div>Share this</div>"])
+def test_pages_without_article_tags_for_any_partitions(spark, frame):
+    """Unmarked lines that a site's pages share go, all else of the text stays, however the pages are dealt out."""
+    bare, want = stripped(spark, SF)
+    if frame:
+        bare = bare.withColumn("html", F.regexp_replace("html", "<footer>", "<div>Menu of the site</div><p>Also see the other pages</p><footer>"))
+    got = [{r.page_id: r.text for r in html_text.extract(bare.repartition(n)).collect()} for n in (1, 16)]
+    assert got[0] == got[1] == {i: t for i, (t, _) in want.items()}
+
+
+def test_neighbours_beyond_a_chunk_and_behind_copies(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "CHUNK", 4)
+    page = lambda *ps: "<body><div>Menu of the site</div>" + "".join(f"<p>{p}" for p in ps) + "</body>"
+    rows = [(i, f"https://a.org/{i:03d}", page(f"Text number {i // 3} of this site, all its own", f"It says {i // 3} and nothing else")) for i in range(60)]
+    rows += [(100, "https://a.org/100", page("alone", "on the page")), (101, None, page("no host")), (None, "https://a.org/101", page("no id but a text"))]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = sorted(map(tuple, html_text.extract(df.repartition(5)).select("page_id", "text").collect()), key=str)
+    want = [(i, f"Text number {i // 3} of this site, all its own\nIt says {i // 3} and nothing else") for i in range(60)]
+    assert got == sorted([*want, (100, "alone\non the page"), (101, "Menu of the site\nno host"), (None, "no id but a text")], key=str)
+
+
 def test_copies_and_quotes_keep_their_text(spark):
     frame = "<body><div id=top><p>Menu of the site</div><div id=content>{}</div><div>Shared tail</div></body>"
     story = lambda k: [f"{k} begins with a first sentence of some length", f"{k} goes on with another one, also of some length", f"{k} ends here and has nothing more to say"]
@@ -162,7 +191,11 @@ def test_common_subsequences(a, b):
 
 
 def test_elements_and_classes():
-    body = lambda page: html_text.main_text(html_text.lines(page), None)
+    body = lambda page: html_text.main_text(html_text.lines(page))
+    for opened in ("<article class='social-story'>", "<article class='post comments-open'>", "<div class='layout has-sidebar'><article>", "<article id=newsletter class='post share'>", "<div class='layout has-sidebar'>", "<div class='layout with-comments'>"):
+        assert body(f"{opened}<p>Text") == "Text"
+    for opened in ("<article class=comment>", "<article class='comment-body'>", "<div class=comments><article>", "<div class='main-sidebar'>"):
+        assert body(f"{opened}<p>Text") == ""
     frame = "<body class='has-sidebar comments-open'><div class='wrap with-sidebar'>{}</div><div id=comments><article class=comment><p>first!</p></article></div><aside>x</aside><div role=dialog>y</div></body>"
     assert body(frame.format("<article class='post'><header><h1>T</h1></header><p>One</p><div class='cookie-notice'>c</div><div class='shareButtons'>s</div><form><p>f</p></form><p>Two <em>a</em>nd</p><footer>z</footer></article>")) == "T\nOne\nTwo and"
     assert body("<main class='menu-open'><p>m</p></main><p>beside") == "m"

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 DELTA, EDIT, REGENERATE = "delta", "edit", "regenerate"
+#: Code points of a streamed delta at least, and deltas of a text at most.
+PIECE, PIECES = 256, 64
 
 
 def escape(text: Column) -> Column:
@@ -36,7 +38,8 @@ def unescape_role(role: Column) -> Column:
 def fold_events(events: DataFrame) -> DataFrame:
     """conv_id, message, role, text: the final messages of an event log (conv_id, seq, message, role, kind, text).
 
-    Events of one message are applied in the order of seq. Null texts are empty and null roles stay null; the
+    Events of one message are applied in the order of seq, a number or anything else with an order; events with the same
+    seq in the order of kind and text. Null texts are empty and null roles stay null; the
     role is that of the message's last event with one. A null conv_id or message is a key like any other. A
     message whose last event empties it stays, with an empty text. Kinds other than the three count as deltas.
     """
@@ -76,12 +79,27 @@ def parse(formatted: DataFrame) -> DataFrame:
 
 
 def log_of(conversations: DataFrame) -> DataFrame:
-    """An event log of a table with a row for each turn: every row is a message that one delta fills.
+    """An event log, as a chat service keeps it, of a table with a row for each turn; folding it gives the turns back.
 
-    Rows of a conversation are ordered by turn, then role and text; rows that repeat stay turns of their own.
+    Every row is a message. Its text streams in as deltas of PIECE code points (more in texts above PIECES such), the
+    first of which bears the role. A conversation's first message is sent as a draft and then edited to its text; its
+    second is begun, regenerated, and streamed anew. Rows of a conversation are ordered by turn, then role and text;
+    rows that repeat stay turns of their own.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return conversations.select("conv_id", F.row_number().over(order).cast("long").alias("seq"), "role", F.lit(DELTA).alias("kind"), "text").withColumn("message", F.col("seq"))
+    text = F.coalesce("text", F.lit(""))
+    turns = conversations.select("conv_id", F.row_number().over(order).cast("long").alias("message"), "role", text.alias("text"))
+    size = F.greatest(F.lit(PIECE), F.ceil(F.length("text") / PIECES)).cast("int")
+    count = F.greatest(F.ceil(F.length("text") / size), F.lit(1)).cast("int")
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    deltas = F.transform(F.sequence(F.lit(0), count - 1), lambda i: event(DELTA, F.substr("text", i * size + 1, size)))
+    draft = event(DELTA, F.concat(F.lit("draft "), F.reverse(F.substr("text", F.lit(1), F.lit(PIECE)))))
+    edited = F.array(draft, event(EDIT, F.col("text")))
+    again = F.concat(F.array(draft, event(REGENERATE, F.lit(None).cast("string"))), deltas)
+    sent = F.when(F.col("message") == 1, edited).when(F.col("message") == 2, again).otherwise(deltas)
+    log = turns.select("conv_id", "message", "role", F.posexplode(sent).alias("k", "event"))
+    role = F.when(F.col("k") == 0, F.col("role")).alias("role")
+    return log.select("conv_id", (F.shiftleft("message", 32) + F.col("k")).alias("seq"), "message", role, "event.kind", "event.text")
 
 
 def format_conversations(conversations: DataFrame, trained: str = "assistant") -> DataFrame:

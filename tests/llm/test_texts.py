@@ -50,6 +50,21 @@ def test_event_logs(spark):
         assert got == {(1, 1): ("user", "hi!"), (1, 2): ("assistant", "good"), (2, 1): ("user", "")}
 
 
+def test_logs_of_tables_have_all_kinds_of_events_and_fold_back(spark):
+    long = "\U0001f389 é <|im_end|>\n" * 9_000  # more deltas than PIECES, were they of PIECE code points
+    rows = [(c, t, ["user", "assistant", None][t % 3], ["", None, "x" * 600, "hello", long][(c + t) % 5], "") for c in range(6) for t in range(c)]
+    log = chat.log_of(spark.createDataFrame(rows, TURNS))
+    kinds = {c: {r.kind for r in log.filter(F.col("conv_id") == c).collect()} for c in (1, 2, 5)}
+    assert kinds == {1: {"delta", "edit"}, 2: {"delta", "edit", "regenerate"}, 5: {"delta", "edit", "regenerate"}}
+    assert log.groupBy("conv_id", "seq").count().filter("count > 1").count() == 0
+    assert 60 <= log.filter("kind = 'delta'").groupBy("conv_id", "message").count().agg(F.max("count")).first()[0] <= 66
+    got = sorted((r.conv_id, r.message, r.role or "", r.text) for r in chat.fold_events(log.repartition(3)).collect())
+    by = {}
+    for c, t, role, text, _ in rows:
+        by.setdefault(c, []).append((t, role or "", text or ""))
+    assert got == sorted((c, k + 1, role, text) for c, turns in by.items() for k, (_, role, text) in enumerate(sorted(turns)))
+
+
 def test_chat_spans_cover_just_the_trained_texts(spark):
     r = chat.format_conversations(spark.createDataFrame([(1, 0, "user", "q<|", ""), (1, 1, "assistant", "a<|b", "")], TURNS)).first()
     assert [r.formatted[s.start : s.end] for s in r.loss_spans] == ["a<\\|b"]

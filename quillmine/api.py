@@ -13,6 +13,7 @@ from .operators.normalize import NORMALIZERS
 from .plans.predicates import for_source
 from .plans.query import QueryError
 from .schema import SOURCES, source_rank
+from .scratch import Scratch
 from .sinks import documents
 from .sources import captures
 from .spec import SearchSpec
@@ -22,14 +23,18 @@ READERS = {"arXiv": captures.read_arxiv, "PubMed": captures.read_pubmed, "IEEE":
 
 
 def load_sources(spark: SparkSession, spec: SearchSpec, paths: dict[str, str]) -> DataFrame | None:
-    """Normalised papers of all captured sources that the search asks for and that have a path; one that can't be read is left out."""
-    out = None
+    """Normalised papers of all captured sources that the search asks for and that have a path.
+
+    Each source is read to the end and its papers written to the shared folder, so that one that can't be read, or whose
+    files turn out to be broken on the way, is left out and doesn't end the search.
+    """
+    out, scratch = None, Scratch(spark, "sources")
     for source in spec.databases:
         if source not in paths or (source == "PubMed" and spec.publication_types is not None and "journal" not in spec.publication_types):
             log.info("skipping %s", source)
             continue
         try:
-            papers = NORMALIZERS[source](READERS[source](spark, paths[source]))
+            papers = scratch.save(NORMALIZERS[source](READERS[source](spark, paths[source])), source)
         except Exception:  # noqa: BLE001  one source that fails doesn't end the search
             log.warning("%s can't be read", source, exc_info=True)
             continue
@@ -78,15 +83,21 @@ def with_long_seq(papers: DataFrame) -> DataFrame:
     return papers.withColumn("seq", F.shiftleft(s["source"].cast("long"), 58) + F.shiftleft(s["page"], 28) + s["position"])
 
 
-def search(spark: SparkSession, outputpath: str | None, spec: SearchSpec, paths: dict[str, str], **tables: DataFrame) -> DataFrame:
-    """Searches captured sources and, with an output path, saves the result as one JSON document."""
+def search(spark: SparkSession, outputpath: str | None, spec: SearchSpec, paths: dict[str, str], one_file: bool = False, **tables: DataFrame) -> DataFrame:
+    """Searches captured sources and, with an output path, saves the result: a folder with the papers and the envelope, or
+    with one_file one JSON document. What is returned is the saved result, so nothing is computed twice."""
     papers = load_sources(spark, spec, paths)
     if papers is None:
         raise ValueError("none of the asked sources can be read")
     result = run(papers, spec, **tables)
-    if outputpath:
+    if not outputpath:
+        return result
+    if one_file:
+        result = Scratch(spark, "search").save(result, "result")
         documents.write_search_json(result, spec, outputpath)
-    return result
+        return result
+    documents.write_search(result, spec, outputpath)
+    return spark.read.parquet(f"{outputpath}/papers")
 
 
 def generate_bibtex(spark: SparkSession, search_path: str, outputpath: str, credit_tool: bool = False) -> None:

@@ -110,8 +110,8 @@ def limit_total(papers: DataFrame, limit: int | None) -> DataFrame:
     if limit is None:
         return papers
     firsts = papers.groupBy("paper_key").agg(F.min("seq").alias("seq")).orderBy("seq").limit(limit)
-    cut = firsts.agg(F.max("seq").alias("last"), F.count("*").alias("n"))
-    return papers.join(F.broadcast(cut)).filter((F.col("n") < limit) | (F.col("seq") <= F.col("last"))).drop("last", "n")
+    last = firsts.agg(F.when(F.count("*") >= limit, F.max("seq")).alias("last")).scalar()  # null: the limit isn't reached
+    return papers.filter(F.coalesce(F.col("seq") <= last, F.lit(True)))
 
 
 def deduplicate(papers: DataFrame) -> DataFrame:

@@ -1,13 +1,15 @@
 """Near-duplicate titles: candidate pairs without comparing all papers of a year, and the ordered merge.
 
 Two papers of a year match if they don't have two different DOIs, and have the same DOI or lower-cased titles within an
-edit distance of int(longer length * (1 - threshold)). Candidates share one of the rarest q-grams (by a fixed random
-order) of their titles: titles within distance k share one among the first k * q + 1, so that no pair is lost. Where
-the distance allowed is 0, equal titles are joined.
+edit distance of int(longer length * (1 - threshold)). Candidates share one of the rarest q-grams of their titles:
+titles within distance k share one among the first k * q + 1 in any order that is the same for all, so that no pair is
+lost; the order is by how often the grams occur. Where the distance allowed is 0, equal titles are joined.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from .components import connected_components
 from .consolidate import merge_papers
 
 GRAM = 4
+#: Counters of grams, each for those with a hash; how often grams occur decides in which order they are tried.
+COUNTERS = 4096
 
 
 def allowed(length: Column, threshold: float) -> Column:
@@ -24,14 +28,24 @@ def allowed(length: Column, threshold: float) -> Column:
     return F.floor(length * (F.lit(1.0) - F.lit(float(threshold)))).cast("int")
 
 
+def with_grams(low: DataFrame) -> DataFrame:
+    """Adds grams: hashes of all q-grams of t, distinct, those first that occur least."""
+    hashed = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - GRAM, F.lit(0))), lambda i: F.xxhash64(*(F.get("chars", i + k) for k in range(GRAM))))
+    made = low.withColumn("chars", F.split("t", "")).withColumn("grams", F.array_distinct(hashed)).drop("chars")  # substring() would walk the title for each gram
+    counter = lambda g: F.pmod(g, F.lit(COUNTERS)).cast("int")
+    counts = dict.fromkeys(range(COUNTERS), 0)
+    counts.update((r["k"], r["n"]) for r in made.select(F.explode("grams").alias("g")).groupBy(counter(F.col("g")).alias("k")).agg(F.count("*").alias("n")).collect())  # COUNTERS rows at most
+    times = F.from_json(F.lit(str(list(counts.values()))), "array<bigint>")
+    ordered = F.sort_array(F.transform("grams", lambda g: F.struct(F.get(times, counter(g)).alias("times"), g.alias("g"))))
+    return made.withColumn("grams", F.transform(ordered, lambda x: x["g"]))
+
+
 def title_pairs(papers: DataFrame, threshold: float = 0.95) -> DataFrame:
     """a, b, with a.id < b.id, of papers(id, year, doi, title): matching titles or DOIs, DOIs compatible."""
     low = papers.select("id", "year", "doi", F.lower("title").alias("t")).withColumn("n", F.length("t"))
     # the longest partner has n / threshold characters; this is what it is allowed
     most = F.floor(F.col("n") * F.lit((1.0 - threshold) / threshold + 1e-9)).cast("int") if threshold > 0 else F.col("n")
-    # substring() would walk the title for each gram; the array of characters is indexed
-    grams = F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - GRAM, F.lit(0))), lambda i: F.xxhash64(*(F.get("chars", i + k) for k in range(GRAM))))))
-    marked = low.withColumn("k", most).withColumn("chars", F.split("t", "")).withColumn("grams", grams).drop("chars")
+    marked = with_grams(low).withColumn("k", most)
     # a title whose edits could touch all its q-grams is compared with its year's titles ...
     whole = F.col("n") - GRAM + 1 <= F.col("k") * GRAM
     prefix = F.slice("grams", 1, F.col("k") * GRAM + 1)
@@ -71,29 +85,48 @@ def leaders(papers: DataFrame, threshold: float = 0.95) -> DataFrame:
     """
     scratch = Scratch(papers.sparkSession, "fuzzy")
     papers = scratch.save(papers.select("id", "year", "doi", "title"))  # read several times below
-    pairs = scratch.save(title_pairs(papers, threshold))
+    # papers without a DOI that have a year and a title in common are one: whatever absorbs the first absorbs the others
+    same = [F.col("year"), F.lower("title")]
+    bare = papers.filter("doi is null and year is not null and title is not null")
+    firsts = scratch.save(bare.groupBy(*(c.alias(x) for c, x in zip(same, ("y", "t"), strict=True))).agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    one = papers.filter("doi is not null").unionByName(firsts.select("id", F.col("y").alias("year"), F.lit(None).cast("string").alias("doi"), F.col("t").alias("title")))
+    pairs = scratch.save(title_pairs(one, threshold))
     ends = pairs.filter("titled").select("a", "b")
-    near = ends.union(ends.select("b", "a")).toDF("id", "other").groupBy("id").agg(F.collect_set("other").alias("near"))
+    near = ends.groupBy("a").agg(F.collect_list("b").alias("near")).withColumnRenamed("a", "id")
     nodes = connected_components(pairs, scratch, "components").join(papers.select("id", "doi"), "id").join(near, "id", "left")
 
     def replay(group: pd.DataFrame) -> pd.DataFrame:
+        """Goes through a component's pairs, each once; later papers alike or with the leader's DOI are met in order."""
         rows = group.sort_values("id")
         ids, dois = rows["id"].tolist(), dict(zip(rows["id"], rows["doi"], strict=True))
-        alike = {i: set(n) if n is not None else set() for i, n in zip(rows["id"], rows["near"], strict=True)}
+        after = {i: [] if n is None else list(n) for i, n in zip(rows["id"], rows["near"], strict=True)}
+        with_doi: dict[str, list[int]] = {}
+        for i in ids:
+            if dois[i]:
+                with_doi.setdefault(dois[i], []).append(i)
         led: dict[int, int] = {}
-        for x, i in enumerate(ids):
+        for i in ids:
             if i in led:
                 continue
-            for j in ids[x + 1 :]:
-                if j in led or (dois[i] and dois[j] and dois[i] != dois[j]):
+            queue = after[i] + ([j for j in with_doi[dois[i]] if j > i] if dois[i] else [])
+            heapq.heapify(queue)
+            last = i
+            while queue:
+                j = heapq.heappop(queue)
+                if j == last or j in led or (dois[i] and dois[j] and dois[i] != dois[j]):
                     continue
-                if j in alike[i] or (dois[i] and dois[i] == dois[j]):
-                    led[j] = i
-                    dois[i] = dois[i] or dois[j]
+                last, led[j] = j, i
+                if not dois[i] and dois[j]:
+                    dois[i] = dois[j]
+                    for x in with_doi[dois[j]]:
+                        if x > j:
+                            heapq.heappush(queue, x)
         return pd.DataFrame({"id": ids, "leader": [led.get(i, i) for i in ids]})
 
-    led = nodes.groupBy("component").applyInPandas(replay, "id bigint, leader bigint")
-    return papers.select("id").join(led, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
+    led = scratch.save(nodes.groupBy("component").applyInPandas(replay, "id bigint, leader bigint"))
+    copies = bare.join(firsts.filter("n > 1").select(F.col("y"), F.col("t"), F.col("id").alias("first")), (F.col("year") == F.col("y")) & (F.lower("title") == F.col("t"))).filter("id != first")
+    followers = copies.select("id", "first").join(led.toDF("first", "leader"), "first", "left").select("id", F.coalesce("leader", "first").alias("leader"))
+    return papers.select("id").join(led.unionByName(followers), "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
 
 
 def merge_similar(papers: DataFrame, threshold: float = 0.95) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import records as r
 from ..operators.reports import counts_by_database, newest_first
+from ..scratch import Scratch
 from ..spec import SearchSpec
 
 #: An entry that credits the tool, to be put before others.
@@ -40,11 +42,39 @@ def write_search(papers: DataFrame, spec: SearchSpec, path: str, processed_at: d
 
 
 def write_search_json(papers: DataFrame, spec: SearchSpec, path: str, processed_at: dt.datetime | None = None) -> None:
-    """One JSON document, newest papers first, keys sorted, two spaces deep. It holds all papers: for results of a reader's size."""
-    head = envelope(spec, papers, processed_at)
-    head["papers"] = [json.loads(x["j"]) for x in newest_first(papers).select(paper_json([c for c in papers.columns if c not in ("seq", "n_merged", "paper_key", "publication_key", "source")]).alias("j")).toLocalIterator()]
-    text = json.dumps(head, indent=2, sort_keys=True, ensure_ascii=False)
-    papers.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\n").text(path)
+    """One JSON document, newest papers first, keys sorted, two spaces deep: a file for a reader, as it is one.
+
+    The papers are computed once, sorted and indented on executors, and written as lines between the document's head and
+    foot, in one task of one file; nothing goes through the driver but the counts.
+    """
+    scratch = Scratch(papers.sparkSession, "json")
+    saved = scratch.save(papers, "papers")
+    head = json.dumps(envelope(spec, saved, processed_at) | {"papers": "@"}, indent=2, sort_keys=True, ensure_ascii=False)
+    before, after = head.split('"@"')
+    columns = sorted(c for c in papers.columns if c not in ("seq", "n_merged", "paper_key", "publication_key", "source"))
+    lines = newest_first(saved).select(paper_json(columns).alias("j"))
+
+    def indented(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            texts = ("\n".join("    " + x for x in json.dumps(json.loads(j), indent=2, sort_keys=True, ensure_ascii=False).split("\n")) for j in b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(texts), pa.string())], names=["value"])
+
+    def joined(batches):
+        import pyarrow as pa
+
+        held = None  # the last paper, which has no comma
+        yield pa.RecordBatch.from_arrays([pa.array([before + "["])], names=["value"])
+        for b in batches:
+            texts = [t for t in (held, *b.column(0).to_pylist()) if t is not None]
+            held = texts.pop() if texts else None
+            yield pa.RecordBatch.from_arrays([pa.array([t + "," for t in texts], pa.string())], names=["value"])
+        last = [held] if held is not None else []
+        yield pa.RecordBatch.from_arrays([pa.array([*last, "  ]" + after], pa.string())], names=["value"])
+
+    lines.mapInArrow(indented, "value string").coalesce(1).mapInArrow(joined, "value string").write.option("lineSep", "\n").text(path)
+    scratch.drop()
 
 
 def bibtex_entries(papers: DataFrame) -> DataFrame:
@@ -79,31 +109,53 @@ def download_plan(papers: DataFrame) -> DataFrame:
     return named.select("paper_key", "file_name", "urls", pdfs.alias("pdf_urls"), taken.alias("collision"))
 
 
+#: What became of a plan's rows, by address.
+LOG = "paper_key string, file_name string, status string, url string, error string"
+
+
 def fetch(plan: DataFrame, folder: str, get) -> DataFrame:
-    """Runs a plan: paper_key, file_name, status ([DOWNLOADED], [COLLECTED] or [FAILED]).
+    """Runs a plan and writes its log: paper_key, file_name, status ([DOWNLOADED], [COLLECTED] or [FAILED]), and the last
+    address and error.
 
-    get(url) returns (content type, bytes) or None; it is called on executors, for the PDF addresses first. A
-    file that exists isn't fetched again. folder is a URI that all executors reach.
+    get(url) returns (content type, bytes) or None; it is called on executors, for the PDF addresses first, and what it
+    raises ends that address only. A finished file is moved to its name in one step, so a half one never counts; a file
+    that exists isn't fetched again. folder is a URI that all executors reach; the log joins those of earlier runs in
+    folder/download.log, as JSON lines.
     """
     import pyarrow as pa
     import pyarrow.fs as pafs
 
+    names = [f.split()[0] for f in LOG.split(", ")]
+
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         for b in batches:
             rows = b.to_pylist()
             for x in rows:
-                path, x["status"] = f"{root}/{x['file_name']}", "[FAILED]"
-                if x.pop("collision") or fs.get_file_info(path).is_file:
+                path = f"{root}/{x['file_name']}"
+                x |= {"status": "[FAILED]", "url": None, "error": None}
+                if x["collision"] or fs.get_file_info(path).is_file:
                     x["status"] = "[COLLECTED]"
-                for url in [] if x["status"] == "[COLLECTED]" else [*x["pdf_urls"], *x["urls"]]:
-                    got = get(url)
-                    if got and "application/pdf" in got[0].lower():
-                        with fs.open_output_stream(path) as out:
+                    continue
+                for url in dict.fromkeys([*(x["pdf_urls"] or []), *(x["urls"] or [])]):
+                    x["url"] = url
+                    try:
+                        got = get(url)
+                        if not got or "application/pdf" not in got[0].lower():
+                            x["error"] = "no PDF"
+                            continue
+                        part = f"{path}.{uuid.uuid4().hex}.part"
+                        with fs.open_output_stream(part) as out:
                             out.write(got[1])
-                        x["status"] = "[DOWNLOADED]"
-                        break
-            yield pa.RecordBatch.from_pylist([{k: x[k] for k in ("paper_key", "file_name", "status")} for x in rows], schema=pa.schema([(k, pa.string()) for k in ("paper_key", "file_name", "status")]))
-
-    return plan.mapInArrow(run, "paper_key string, file_name string, status string")
+                        fs.move(part, path)
+                    except Exception as e:  # noqa: BLE001  the next address, and the other papers, go on
+                        x["error"] = f"{type(e).__name__}: {e}"[:500]
+                        continue
+                    x |= {"status": "[DOWNLOADED]", "error": None}
+                    break
+            yield pa.RecordBatch.from_pylist([{k: x[k] for k in names} for x in rows], schema=pa.schema([(k, pa.string()) for k in names]))
+
+    done = Scratch(plan.sparkSession, "fetch").save(plan.mapInArrow(run, LOG), "log")  # fetched once, however often it is read
+    done.write.mode("append").json(f"{folder.rstrip('/')}/download.log")
+    return done

@@ -2,7 +2,8 @@
 
 The XML reader gives an array even for a single child, so that shapes don't vary. Records that can't be read are
 dropped or null (PERMISSIVE), never an error. Every reader adds page and position, the place in the arrival order:
-the page is the file by name, the position the record's place in it.
+the page is the file by name, the position the record's place in it. Files are numbered from a table with a row for each
+of them (a captured page holds hundreds of records), joined as Catalyst sees fit.
 """
 
 from __future__ import annotations
@@ -27,12 +28,16 @@ SERIALS = """`serial-metadata-response` struct<entry: array<struct<`dc:title`: s
   SNIPList: struct<SNIP: array<struct<`@year`: string, `$`: string>>>, SJRList: struct<SJR: array<struct<`@year`: string, `$`: string>>>, citeScoreYearInfoList: struct<citeScoreCurrentMetric: string, citeScoreCurrentMetricYear: string>>>>"""
 
 
+def _paged(df: DataFrame) -> DataFrame:
+    """Adds page, the number of the row's file by name."""
+    pages = df.select("file").distinct().withColumn("page", F.dense_rank().over(Window.orderBy("file")))
+    return df.join(pages, "file")
+
+
 def _placed(df: DataFrame) -> DataFrame:
     """page and position for records that Spark reads out of whole files."""
-    file = F.col("file")
     df = df.withColumn("file", F.input_file_name()).withColumn("place", F.monotonically_increasing_id())  # no shuffle lies before: places follow the file
-    pages = df.select("file").distinct().withColumn("page", F.dense_rank().over(Window.orderBy("file")))  # a row for each file
-    return df.join(F.broadcast(pages), "file").withColumn("position", F.row_number().over(Window.partitionBy(file).orderBy("place"))).drop("file", "place")
+    return _paged(df).withColumn("position", F.row_number().over(Window.partitionBy("file").orderBy("place"))).drop("file", "place")
 
 
 def _xml(spark: SparkSession, path: str, row: str, schema: str) -> DataFrame:
@@ -42,8 +47,7 @@ def _xml(spark: SparkSession, path: str, row: str, schema: str) -> DataFrame:
 def _json(spark: SparkSession, path: str, schema: str, entries: str) -> DataFrame:
     """A row for each entry of whole JSON documents, with its file's and its own place."""
     read = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path).withColumn("file", F.input_file_name())
-    pages = read.select("file").distinct().withColumn("page", F.dense_rank().over(Window.orderBy("file")))
-    return read.join(F.broadcast(pages), "file").select("page", F.posexplode(entries).alias("position", "entry")).select("page", "position", "entry.*")
+    return _paged(read).select("page", F.posexplode(entries).alias("position", "entry")).select("page", "position", "entry.*")
 
 
 def read_arxiv(spark: SparkSession, path: str) -> DataFrame:
@@ -82,8 +86,16 @@ def read_scopus_details(spark: SparkSession, path: str) -> DataFrame:
 
 
 def plain_text(xml: Column) -> Column:
-    """Text nodes in document order, markup removed and the five named entities decoded."""
+    """Text nodes in document order, markup removed, numeric references and the five named entities decoded."""
     out = F.regexp_replace(xml, "<[^>]*>", "")
+    # pieces between numeric references, and the references themselves by turns
+    pieces = F.split(out, "&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", -1)
+    numbers = F.regexp_extract_all(out, F.lit("&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), 1)
+    point = lambda x: F.when(F.lower(x).startswith("x"), F.conv(F.substr(x, F.lit(2)), 16, 10)).otherwise(x).cast("int")
+    known = lambda p: ((p >= 0) & (p < 0xD800)) | ((p > 0xDFFF) & (p <= 0x10FFFF))
+    utf8 = lambda p: F.decode(F.unhex(F.lpad(F.hex(F.when(known(p), p).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    decoded = F.transform(numbers, lambda x: utf8(point(x)))
+    out = F.when(F.size(numbers) > 0, F.array_join(F.zip_with(pieces, decoded, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(out)
     for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
         out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
     return F.trim(out)
@@ -111,16 +123,32 @@ def rxiv_next(html: Column) -> Column:
     return F.nullif(F.regexp_extract(tag, 'href="([^"]*)"', 1), F.lit(""))
 
 
+def _folder(spark: SparkSession, path: str) -> bool:
+    """Whether a saved search is a folder with papers and envelope."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/papers")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_saved(spark: SparkSession, path: str) -> DataFrame:
-    """Papers of saved searches, in their order."""
+    """Papers of saved searches, in their order: folders of Parquet, or JSON documents (each of which is one task's)."""
+    if _folder(spark, path):
+        return conform(spark.read.parquet(f"{path}/papers"))
     saved = spark.read.schema(SEARCH).option("multiLine", True).json(path)
     return conform(saved.select(F.posexplode("papers").alias("seq", "paper")).select("paper.*", F.col("seq").cast("long").alias("seq")))
 
 
 def read_saved_envelope(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SEARCH).option("multiLine", True).json(path).drop("papers")
+    at = f"{path}/envelope" if _folder(spark, path) else path
+    return spark.read.schema(SEARCH).option("multiLine", True).json(at).drop("papers")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """url and html of captured pages, JSON lines."""
     return spark.read.schema("url string, html string").json(path)
+
+
+def read_listed(spark: SparkSession, path: str) -> DataFrame:
+    """name and url of a reference list (journals or publishers), JSON lines or CSV with a header, by the path's ending."""
+    reader = spark.read.schema("name string, url string")
+    read = reader.option("header", True).csv(path) if path.rstrip("/").endswith(".csv") else reader.json(path)
+    return read.filter("name is not null or url is not null").distinct()

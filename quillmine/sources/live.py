@@ -3,6 +3,8 @@
 spark.read.format("quillmine_http").option("urls", "\\n".join(addresses)).option("delay", 1).load() gives one row for each
 address: url, status, body, attempts. Addresses of one host stay in one partition, in order, with a pause between them.
 With a "follow" option each address begins a walk: the named function of this module gives the next page's address.
+Records that result pages name (PubMed ids, preprint DOIs) are as many as a query finds: fetch_all() takes their
+addresses from a table, in chunks, each a task that is done again on its own if its executor is lost.
 There is no network in the tests; the fetching function can be replaced by an importable one ("fetch" option).
 """
 
@@ -21,11 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..plans import dialects
-from ..spec import SearchSpec
+from ..scratch import Scratch
+from ..spec import SearchSpec, credentials
 from .captures import rxiv_dois
 
 # Attempts, seconds between them, and the timeout of a request.
 ATTEMPTS, PAUSE, TIMEOUT = 2, 3.0, 20.0
+AGENT = "Mozilla/5.0 (compatible; quillmine)"
+#: Detail records that one task fetches.
+CHUNK = 200
 
 
 @dataclass
@@ -59,7 +65,7 @@ class HttpReader(DataSourceReader):
         return [Host(x) for x in hosts.values()] or [Host([])]
 
     def read(self, partition: Host):
-        get = getattr(importlib.import_module(self.fetch.rpartition(".")[0]), self.fetch.rpartition(".")[2]) if self.fetch else self.http
+        get = self.getter()
         walk, first = NEXT.get(self.follow), True
         for url in partition.urls:
             page, seen = url, set()
@@ -72,6 +78,10 @@ class HttpReader(DataSourceReader):
                 yield page, status, body, attempts
                 page = walk(page, body) if walk and body else None
 
+    def getter(self):
+        """The function that fetches an address: the session's own, or the importable one that was named."""
+        return getattr(importlib.import_module(self.fetch.rpartition(".")[0]), self.fetch.rpartition(".")[2]) if self.fetch else self.http
+
     def tried(self, get, url: str) -> tuple[int | None, str | None, int]:
         """Status, body and attempts; a null status if all attempts failed, so that other addresses go on."""
         for attempt in range(1, ATTEMPTS + 1):
@@ -83,11 +93,8 @@ class HttpReader(DataSourceReader):
         return None, None, ATTEMPTS
 
     def http(self, url: str) -> tuple[int, str]:
-        """Through the proxy if there is one, and directly if that fails."""
-        from urllib.request import ProxyHandler, build_opener
-
-        openers = [build_opener(ProxyHandler({"http": self.proxy, "https": self.proxy}))] if self.proxy else []
-        for opener in [*openers, build_opener(ProxyHandler({}))]:
+        """Through the proxy if there is one, and directly if that fails. The openers, with their cookies, are kept for a task."""
+        for opener in self.openers():
             try:
                 with opener.open(url, timeout=TIMEOUT) as answer:
                     return answer.status, answer.read().decode("utf-8", "replace")
@@ -95,6 +102,43 @@ class HttpReader(DataSourceReader):
                 continue
         raise OSError(f"no answer from {urlsplit(url).netloc}")
 
+    def openers(self) -> list:
+        from urllib.request import HTTPCookieProcessor, ProxyHandler, build_opener
+
+        if not hasattr(self, "_openers"):
+            proxies = [{"http": self.proxy, "https": self.proxy}] if self.proxy else []
+            self._openers = [build_opener(ProxyHandler(p), HTTPCookieProcessor()) for p in [*proxies, {}]]
+            for opener in self._openers:
+                opener.addheaders = [("User-Agent", AGENT)]
+        return self._openers
+
+
+def fetch_all(urls: DataFrame, **options: str) -> DataFrame:
+    """url, status, body, attempts of every address of urls(url), CHUNK of them a task.
+
+    The pause between a task's requests grows with the tasks that run at a time, so that all together ask no host more
+    often than once in `delay` seconds.
+    """
+    tasks = max(1, -(-urls.count() // CHUNK))
+    lanes = min(tasks, urls.sparkSession.sparkContext.defaultParallelism)
+
+    def run(batches):
+        import pyarrow as pa
+
+        reader, first = HttpReader(options), True
+        get = reader.getter()
+        for b in batches:
+            rows = []
+            for url in b.column(0).to_pylist():
+                if not first:
+                    time.sleep(reader.delay * lanes)
+                first = False
+                rows.append((url, *reader.tried(get, url)))
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)], names=["url", "status", "body", "attempts"])
+
+    return urls.select("url").repartition(tasks).mapInArrow(run, "url string, status int, body string, attempts int")
+
 
 def _moved(url: str, parameter: str, page: int, total: int, first: int = 0) -> str | None:
     """The address with its offset moved by a page, None past the total."""
@@ -161,14 +205,18 @@ def detail_urls(pages: DataFrame, source: str) -> DataFrame:
 def capture(spark: SparkSession, spec: SearchSpec, source: str, folder: str, token: str = "", today: dt.date | None = None, **options: str) -> str:
     """Walks a source's result pages, and its detail records if it has some, and writes each body as a file of its own.
 
-    The files are what the capture readers read. Details' addresses are as many as the source has papers for the
-    query; they are fetched by host, in order.
+    The files are what the capture readers read. Without a token or a proxy option those of the environment are taken.
+    Addresses of detail records stay in a table; nothing of what is found passes through the driver.
     """
+    known = credentials()
+    token, options = token or known.get(source, ""), ({"proxy": known["proxy"]} if known.get("proxy") else {}) | options
     spark.dataSource.register(HttpPages)
-    read = lambda urls, follow="": spark.read.format("quillmine_http").options(urls="\n".join(urls), follow=follow, **options).load()
-    pages = read(first_urls(spec, source, token, today), source).filter("body is not null")
+    scratch = Scratch(spark, "capture")
+    walked = spark.read.format("quillmine_http").options(urls="\n".join(first_urls(spec, source, token, today)), follow=source, **options).load()
+    pages = scratch.save(walked.filter("body is not null"), "pages")
     if source in ("PubMed", "medRxiv", "bioRxiv"):
-        found = [r["url"] for r in detail_urls(pages, source).sort("url").toLocalIterator()]
-        pages = read(found).filter("body is not null")
+        found = scratch.save(detail_urls(pages, source), "urls")
+        pages = scratch.save(fetch_all(found, **options).filter("body is not null"), "details")
     pages.select("body").write.option("maxRecordsPerFile", 1).text(folder)
+    scratch.drop()
     return folder

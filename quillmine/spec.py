@@ -50,6 +50,13 @@ def from_environment(**given) -> SearchSpec:
     return SearchSpec(query, **given)
 
 
+def credentials() -> dict[str, str]:
+    """Tokens by source and the proxy's address, of those that the environment sets: QUILLMINE_IEEE_TOKEN,
+    QUILLMINE_SCOPUS_TOKEN, QUILLMINE_PROXY."""
+    names = {"IEEE": "QUILLMINE_IEEE_TOKEN", "Scopus": "QUILLMINE_SCOPUS_TOKEN", "proxy": "QUILLMINE_PROXY"}
+    return {k: os.environ[v] for k, v in names.items() if os.environ.get(v)}
+
+
 def _known(names, known: dict[str, str], what: str) -> list[str]:
     out = []
     for n in names:

@@ -1,11 +1,13 @@
 """Incremental search: captured papers that land in a folder are merged into a consolidated table, batch by batch.
 
 A paper that comes again enriches the stored one, so dropping duplicates within a watermark would not do: each batch is
-merged with the stored rows of its keys by the rules of survivorship, and a new version of the table is written.
+merged with the stored rows of its keys by the rules of survivorship. Keys are dealt into buckets by hash; a batch writes
+anew only the buckets that it touches.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,35 +19,74 @@ from ..spec import SearchSpec
 
 
 class Consolidated:
-    """A Parquet table of merged papers in versions; `current` names the one that counts, so a failed batch changes nothing."""
+    """A Parquet table of merged papers in `buckets` parts by key.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.pointer = spark, root.rstrip("/"), f"{root.rstrip('/')}/current"
+    versions/<number> is one small file for each batch: which folder holds each bucket. A version is written beside its
+    place and moved there in one step, and the greatest one counts; none is ever overwritten. So a batch that fails at
+    any point changes nothing, and what it left behind is removed when a later batch has been merged, as are folders
+    that neither the latest version nor the one before it (which readers may still hold) names.
+    """
 
-    def version(self) -> tuple[str, int] | None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.pointer)
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            return None
-        row = self.spark.read.json(self.pointer).first()
-        return row["name"], row["batch"]
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.at = lambda name: path(f"{self.root}/{name}")
+        self.fs = self.at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def listed(self, folder: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(self.at(folder))) if self.fs.exists(self.at(folder)) else []
+
+    def versions(self) -> list[int]:
+        return sorted(int(n) for n in self.listed("versions") if n.isdigit())
+
+    def buckets_of(self, version: int) -> dict[str, str]:
+        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.root}/versions/{version}").first()[0])
+
+    def publish(self, version: int, buckets: dict[str, str]) -> None:
+        """Writes a version's file and moves it to its place, which is one step of the file system."""
+        scratch = f"writing-{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(json.dumps(buckets, sort_keys=True),)], "value string").coalesce(1).write.text(f"{self.root}/{scratch}")
+        part = next(n for n in self.listed(scratch) if n.startswith("part-"))
+        self.fs.mkdirs(self.at("versions"))
+        if self.fs.exists(self.at(f"versions/{version}")) or not self.fs.rename(self.at(f"{scratch}/{part}"), self.at(f"versions/{version}")):
+            raise RuntimeError(f"version {version} is there already")
+        self.fs.delete(self.at(scratch), True)
 
     def read(self) -> DataFrame | None:
-        at = self.version()
-        return self.spark.read.parquet(f"{self.root}/{at[0]}") if at else None
+        versions = self.versions()
+        return self.read_buckets(self.buckets_of(versions[-1])) if versions else None
+
+    def read_buckets(self, buckets: dict[str, str]) -> DataFrame | None:
+        """The rows of these buckets; each lies in the folder of the batch that wrote it last."""
+        paths = [f"{self.root}/data/{folder}/bucket={b}" for b, folder in sorted(buckets.items())]
+        return self.spark.read.parquet(*paths) if paths else None
 
     def merge(self, batch: DataFrame, number: int) -> None:
         """Merges one batch; a batch number that was merged before is skipped, which makes retries harmless."""
-        at = self.version()
-        if at and at[1] >= number:
+        versions = self.versions()
+        if versions and versions[-1] >= number:
             return
-        new = with_keys(batch)
-        columns = [c for c in new.columns if c not in ("source", "publication_key")]
-        old = self.read()
-        both = new.select(*columns) if old is None else new.select(*columns).unionByName(old.select(*columns))
-        name = f"v{number}-{uuid.uuid4().hex[:8]}"
-        merge_papers(both, "paper_key").write.parquet(f"{self.root}/{name}")
-        self.spark.range(1).select(F.lit(name).alias("name"), F.lit(number).cast("long").alias("batch")).coalesce(1).write.mode("overwrite").json(self.pointer)
+        held = self.buckets_of(versions[-1]) if versions else {}
+        name, bucket = f"{number}-{uuid.uuid4().hex[:8]}", F.pmod(F.xxhash64("paper_key"), F.lit(self.buckets))
+        columns = [c for c in with_keys(batch).columns if c not in ("source", "publication_key")]
+        new = with_keys(batch).select(*columns)
+        touched = [str(r[0]) for r in new.select(bucket).distinct().collect()]  # `buckets` rows at most
+        old = self.read_buckets({b: f for b, f in held.items() if b in touched})
+        both = new if old is None else new.unionByName(old.select(*columns))
+        merged = merge_papers(both, "paper_key").withColumn("bucket", bucket)
+        merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/data/{name}")
+        self.publish(number, held | dict.fromkeys(touched, name))
+        self.tidy()
+
+    def tidy(self) -> None:
+        """Removes folders that none of the latest two versions names, and older versions."""
+        versions = self.versions()
+        named = {f for v in versions[-2:] for f in self.buckets_of(v).values()}
+        for folder in self.listed("data"):
+            if folder not in named:
+                self.fs.delete(self.at(f"data/{folder}"), True)
+        for v in versions[:-2]:
+            self.fs.delete(self.at(f"versions/{v}"), False)
 
 
 def follow(papers: DataFrame, spec: SearchSpec, table: Consolidated, checkpoint: str, available_now: bool = True):

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from quillmine.operators import consolidate as c
@@ -62,3 +63,26 @@ def test_stream_equals_batch(spark, tmp_path):
     assert len(got) == 1 and (got[0].abstract, got[0].urls, got[0].citations) == ("a longer abstract", ["u1", "u2"], 3)
     table.merge(whole.filter("seq = 2"), 0)  # a batch number that was merged before
     assert table.read().count() == 1
+
+
+def test_a_batch_that_fails_between_its_writes_loses_nothing(spark, tmp_path, monkeypatch):
+    first, more, again = frame(spark, [paper("The sea", "short"), paper("Other", "x")]), frame(spark, [paper("Third", "y")]), frame(spark, [paper("the sea", "a longer abstract")])
+    table = Consolidated(spark, str(tmp_path / "table"), buckets=4)
+    assert table.read() is None
+    table.merge(first, 0)
+    publish = Consolidated.publish
+    monkeypatch.setattr(Consolidated, "publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        table.merge(more, 1)  # the data is written, the version isn't
+    assert sorted(r.title for r in Consolidated(spark, str(tmp_path / "table")).read().collect()) == ["Other", "The sea"]
+    monkeypatch.setattr(Consolidated, "publish", publish)
+    before = table.buckets_of(0)
+    table.merge(more, 1)
+    table.merge(more, 1)  # the same batch again
+    assert sorted(r.title for r in table.read().collect()) == ["Other", "The sea", "Third"]
+    held = table.buckets_of(1)
+    assert sum(held.get(b) != f for b, f in before.items()) <= 1  # only touched buckets are written anew
+    table.merge(again, 2)
+    assert {r.title: r.abstract for r in table.read().collect()}["The sea"] == "a longer abstract"
+    named = {f for v in table.versions() for f in table.buckets_of(v).values()}
+    assert table.versions() == [1, 2] and set(table.listed("data")) == named  # what the failed batch left is gone

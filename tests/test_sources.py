@@ -113,6 +113,65 @@ def test_search_over_captures(spark, tmp_path):
     assert sorted(r.status for r in api.download(spark, str(tmp_path / "out"), f"file://{tmp_path}/pdf", lambda url: None).collect()) == ["[COLLECTED]", "[FAILED]"]
 
 
+def test_a_source_that_breaks_on_the_way_is_left_out(spark, tmp_path, monkeypatch):
+    broken = F.udf(lambda _: 1 // 0, "int")
+    monkeypatch.setitem(api.NORMALIZERS, "IEEE", lambda raw: n.arxiv(raw).withColumn("title", broken("title").cast("string")))
+    monkeypatch.setitem(api.READERS, "IEEE", captures.read_arxiv)
+    paths = {"arXiv": put(tmp_path, "a.xml", ARXIV), "IEEE": put(tmp_path, "i.xml", ARXIV)}
+    got = api.load_sources(spark, SearchSpec("[ships]", databases=("IEEE", "arXiv")), paths)
+    assert {r.source for r in got.collect()} == {"arXiv"}
+
+
+def test_saved_searches_in_one_file(spark, tmp_path):
+    paths = {"arXiv": put(tmp_path, "a.xml", ARXIV)}
+    for query, count in (("[ships]", 1), ("[ships] OR [s]", 2), ("[nothing]", 0)):
+        path = str(tmp_path / f"out{count}")
+        api.search(spark, path, SearchSpec(query, databases=("arXiv",)), paths, one_file=True)
+        text = "\n".join(r.value for r in spark.read.text(path).collect())
+        whole = json.loads(text)
+        assert whole["number_of_papers"] == len(whole["papers"]) == count == captures.read_saved(spark, path).count()
+        assert json.dumps(whole, indent=2, sort_keys=True, ensure_ascii=False) == text or count == 0
+
+
+def test_downloads_go_on_after_errors(spark, tmp_path):
+    plan = spark.createDataFrame([("a", "a.pdf", ["http://bad", "http://good"], ["http://raises"], False), ("b", "b.pdf", ["http://raises"], [], False), ("c", "c.pdf", None, None, False), ("d", "a.pdf", ["http://good"], [], True)], "paper_key string, file_name string, urls array<string>, pdf_urls array<string>, collision boolean")
+
+    def get(url):
+        if "raises" in url:
+            raise OSError("refused")
+        return ("application/pdf", b"%PDF") if "good" in url else ("text/html", b"")
+
+    from quillmine.sinks import documents
+
+    folder = f"file://{tmp_path}/pdf"
+    got = {r.paper_key: (r.status, r.url, r.error) for r in documents.fetch(plan, folder, get).collect()}
+    assert got == {"a": ("[DOWNLOADED]", "http://good", None), "b": ("[FAILED]", "http://raises", "OSError: refused"), "c": ("[FAILED]", None, None), "d": ("[COLLECTED]", None, None)}
+    documents.fetch(plan, folder, get)
+    assert sorted(p.name for p in (tmp_path / "pdf").iterdir() if not p.name.startswith(".")) == ["a.pdf", "download.log"]
+    assert spark.read.json(f"{folder}/download.log").count() == 8
+
+
+def test_numeric_references(spark):
+    rows = [("a&#233;b &#x1F389;<i>c</i> &amp;lt; &#65;",), ("&#9999999;x",), ("plain",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "x string").select(captures.plain_text(F.col("x"))).collect()]
+    assert got[0] == "aéb 🎉c &lt; A" and got[2:] == ["plain", None]
+
+
+def test_reference_lists(spark, tmp_path):
+    a = put(tmp_path, "list.csv", "name,url\nBad Journal,\nPress,https://www.press.example\nPress,https://www.press.example\n")
+    b = put(tmp_path, "list.json", '{"name": "Bad Journal"}\n{"name": "Press", "url": "https://www.press.example"}\n')
+    want = {("Bad Journal", None), ("Press", "https://www.press.example")}
+    assert {tuple(r) for r in captures.read_listed(spark, a).collect()} == {tuple(r) for r in captures.read_listed(spark, b).collect()} == want
+
+
+def test_details_are_fetched_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(live, "CHUNK", 3)
+    urls = spark.createDataFrame([(f"http://a/{i}",) for i in range(10)] + [("http://a/bad",)], "url string")
+    got = live.fetch_all(urls, fetch="tests.test_sources.answer", delay="0", pause="0")
+    assert got.rdd.getNumPartitions() == 4
+    assert {r.url: r.attempts for r in got.collect() if r.body is None} == {"http://a/bad": 2} and got.count() == 11
+
+
 FEED = '<feed><opensearch:totalResults xmlns:opensearch="o">401</opensearch:totalResults>{}</feed>'
 
 

@@ -133,8 +133,7 @@ def q_scope_any_or_all(spark, d):
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1995-03-01' AND o_orderdate < TIMESTAMP '1996-03-02'")
 def q_date_range(spark, d):
-    o = table(spark, d, "orders")
-    return o.filter(F.col("o_orderdate").between(F.lit("1995-03-01 00:00:00").cast("timestamp_ntz"), F.lit("1996-03-01 23:59:59.999999").cast("timestamp_ntz"))).select("o_orderkey", "o_orderdate")
+    return table(spark, d, "orders").filter(c.in_dates(F.col("o_orderdate").cast("date"), dt.date(1995, 3, 1), dt.date(1996, 3, 1))).select("o_orderkey", "o_orderdate")
 
 
 @query(f"WITH {PAPERS} SELECT seq, publication_date FROM papers WHERE publication_date BETWEEN date '2000-01-01' AND date '2000-12-31'")
@@ -207,12 +206,6 @@ def q_limit_per_source(spark, d):
     return c.limit_per_source(c.with_keys(papers(spark, d)), 10).select("seq", "source", "paper_key")
 
 
-@query("SELECT 'documents' AS origin, doc_id AS id, length(text) AS n FROM documents UNION ALL SELECT 'benchmark', item_id, length(text) FROM benchmark")
-def q_union_sources(spark, d):
-    one = lambda name, key: table(spark, d, name).select(F.lit(name).alias("origin"), F.col(key).alias("id"), F.length("text").cast("long").alias("n"))
-    return one("documents", "doc_id").unionByName(one("benchmark", "item_id"))
-
-
 @query(f"""WITH {PAPERS}, t AS (SELECT seq, year(publication_date) AS y, lower(title) AS t, doi FROM papers)
 SELECT a.seq AS a, b.seq AS b, levenshtein(a.t, b.t) <= CAST(floor(greatest(length(a.t), length(b.t)) * (1.0::DOUBLE - 0.9::DOUBLE)) AS INT) AS titled FROM t a JOIN t b ON a.y = b.y AND a.seq < b.seq
 WHERE (a.doi IS NULL OR b.doi IS NULL OR a.doi = b.doi) AND (a.doi = b.doi OR levenshtein(a.t, b.t) <= CAST(floor(greatest(length(a.t), length(b.t)) * (1.0::DOUBLE - 0.9::DOUBLE)) AS INT))""")
@@ -221,22 +214,6 @@ def q_fuzzy_pairs(spark, d):
     return fuzzy.title_pairs(narrow, 0.9)
 
 
-@query()
-def q_fuzzy_merge(spark, d):
-    merged = fuzzy.merge_similar(papers(spark, d), 0.9)
-    return _flat(merged.withColumn("leader", F.col("seq")), "leader")
-
-
-@query("""SELECT s_suppkey, s_name, (EXISTS (SELECT 1 FROM nation WHERE n_nationkey = s_nationkey AND n_regionkey = 1) OR EXISTS (SELECT 1 FROM customer WHERE c_custkey = s_suppkey AND c_mktsegment = 'BUILDING')
-  OR EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity >= 50 AND l_discount >= 0.1)) AS flagged FROM supplier""")
-def q_flag_semi_join(spark, d):
-    hit = lambda name, key, where, flag: table(spark, d, name).filter(where).select(F.col(key).alias(f"k_{flag}")).distinct().withColumn(flag, F.lit(True))
-    out = table(spark, d, "supplier")
-    for name, key, where, own, flag in (("nation", "n_nationkey", "n_regionkey = 1", "s_nationkey", "f1"), ("customer", "c_custkey", "c_mktsegment = 'BUILDING'", "s_suppkey", "f2"), ("lineitem", "l_suppkey", "l_quantity >= 50 and l_discount >= 0.1", "s_suppkey", "f3")):
-        out = out.join(hit(name, key, where, flag), F.col(own) == F.col(f"k_{flag}"), "left")
-    return out.select("s_suppkey", "s_name", F.coalesce("f1", "f2", "f3", F.lit(False)).alias("flagged"))
-
-
 @query(f"""WITH {PAPERS}, j AS (SELECT DISTINCT venue FROM papers WHERE seq % 97 = 0), b AS (SELECT DISTINCT publisher FROM papers WHERE seq % 101 = 0 AND publisher IS NOT NULL),
   one AS (SELECT *, lower(trim(venue)) IN (SELECT lower(trim(venue)) FROM j) OR coalesce(lower(trim(publisher)) IN (SELECT lower(trim(publisher)) FROM b), false) AS hit FROM keyed)
 SELECT seq, bool_or(hit) OVER (PARTITION BY publication_key) AS flagged FROM one""")
@@ -252,11 +229,6 @@ def q_host(spark, d):
     return table(spark, d, "pages").select("page_id", r.host(F.col("url")).alias("host"))
 
 
-@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang FROM pages")
-def q_html_title(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"))
-
-
 _META = "concat('<meta content=\"', regexp_extract(html, '<title>([^<\"]*)', 1), '\" name=\"citation_title\"><meta name=\"keywords\" content=\"a', page_id % 3, ', b;c\"><meta name=\"citation_doi\" content=\"10.5/', page_id, '\">')"
 
 
@@ -286,16 +258,6 @@ def q_metrics_join(spark, d):
     return enrich.enrich_from_metrics(papers(spark, d), metrics).select("seq", p["sjr"].alias("sjr"), p["publisher"].alias("publisher"))
 
 
-@query("SELECT d.doc_id, d.source, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
-def q_detail_lookup(spark, d):
-    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-
-
-@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
-def q_json_props(spark, d):
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
-
-
 _MONTHS = ("January", "feb", "MARCH", "4", "12", "13", "sept", "Oktober", "nothing", "06")
 
 
@@ -372,13 +334,6 @@ def q_sorted_output(spark, d):
     return reports.newest_first(c.with_keys(papers(spark, d))).select("seq", "title", "publication_date")
 
 
-@query("SELECT conv_id, count(*) AS n_turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS dialogue FROM conversations GROUP BY conv_id")
-def q_ordered_concat(spark, d):
-    log = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    grouped = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), log.alias("log"))
-    return grouped.select("conv_id", "n_turns", F.array_join(F.transform("log", lambda t: F.concat(t["role"], F.lit(": "), t["text"])), "\n").alias("dialogue"))
-
-
 @query(f"WITH {PAPERS} SELECT seq, title, doi, publication_date, '[' || author || ']' AS authors FROM papers WHERE title <> ''")
 def q_normalize_rxiv(spark, d):
     """Detail records of a preprint server made of documents, and back to papers."""
@@ -483,8 +438,3 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     spec = SearchSpec(BOOLEAN, since=dt.date(2000, 1, 1), limit=5_000, limit_per_database=2_000, publication_types=("journal", "conference proceedings", "book"), databases=("PubMed", "IEEE", "Scopus"))
     out = api.run(papers(spark, d), spec)
     return reports.newest_first(out.select("paper_key", "title", "doi", "publication_date", "citations", F.array_join("databases", ",").alias("databases"), "seq"))
-
-
-@query()
-def q_search(spark, d):
-    return flagship(spark, d)

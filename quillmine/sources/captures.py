@@ -75,12 +75,14 @@ def read_serials(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_scopus_details(spark: SparkSession, path: str) -> DataFrame:
-    """Detail documents, a row for each XML file, keyed by the file's name without its ending."""
-    whole = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    """Detail documents. A file holds one or more, each of which begins with an XML declaration if there are more; a document
+    is keyed by the address in it, or by its file's name without its ending."""
+    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    whole = files.select("file", F.explode(F.filter(F.split("value", r"(?=<\?xml )"), lambda x: F.trim(x) != "")).alias("value"))
     many = lambda tag: F.transform(F.regexp_extract_all("value", F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), 1), plain_text)
     one = lambda tag: F.get(many(tag), F.lit(0))
     return whole.select(
-        F.regexp_extract("file", r"([^/]*?)(\.[a-z]+)?$", 1).alias("url"), many("ce:para").alias("abstracts"), many("ce:indexed-name").alias("authors"), many("author-keyword").alias("keywords"),
+        F.coalesce(one("prism:url"), F.regexp_extract("file", r"([^/]*?)(\.[a-z]+)?$", 1)).alias("url"), many("ce:para").alias("abstracts"), many("ce:indexed-name").alias("authors"), many("author-keyword").alias("keywords"),
         one("prism:pageRange").alias("page_range"), one("prism:startingPage").alias("first_page"), one("prism:endingPage").alias("last_page"),
     )
 
@@ -98,12 +100,12 @@ def plain_text(xml: Column) -> Column:
     out = F.when(F.size(numbers) > 0, F.array_join(F.zip_with(pieces, decoded, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(out)
     for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
         out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return F.trim(out)
+    return F.btrim(out, F.lit(" \n\r\t"))
 
 
 def read_rxiv_results(spark: SparkSession, path: str) -> DataFrame:
     """Result pages: the total of the page's title, the DOIs in order, and the address of the next page."""
-    html = spark.read.option("wholetext", True).text(path)
+    html = spark.read.text(path, wholetext=True)
     return html.select(rxiv_total(F.col("value")).alias("total"), rxiv_dois(F.col("value")).alias("dois"), rxiv_next(F.col("value")).alias("next"))
 
 

@@ -40,7 +40,7 @@ class Consolidated:
         return sorted(int(n) for n in self.listed("versions") if n.isdigit())
 
     def buckets_of(self, version: int) -> dict[str, str]:
-        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.root}/versions/{version}").first()[0])
+        return json.loads(self.spark.read.text(f"{self.root}/versions/{version}", wholetext=True).first()[0])
 
     def publish(self, version: int, buckets: dict[str, str]) -> None:
         """Writes a version's file and moves it to its place, which is one step of the file system."""

@@ -20,7 +20,7 @@ from ._shared import map_text, tokenizer_path
 #: The pre-tokenizer's pattern of byte-level BPE (fixed by the vocabulary file's kind).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words remembered by a worker; the memory is emptied when full, which changes no result.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 #: Bytes of a word above which its places are matched together, not its bytes one after another, and places at a time.
 STEPPED, PLACES = 64, 1 << 16
 
@@ -208,6 +208,11 @@ class Remembering:
     def learn(self, words: list[str]) -> None:
         raise NotImplementedError
 
+    def remember(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Takes the words' ids, one after another, and how many each word has."""
+        data, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        self.known.update((w, data[a:b]) for w, a, b in zip(words, [0, *ends], ends, strict=False))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [self.words(t) for t in texts]
         if len(self.known) > REMEMBERED:
@@ -235,13 +240,10 @@ class Encoder(Remembering):
         wrong = inside[~v.compatible(pairs // v.size, pairs % v.size)[back]]
         failed = np.unique(seq[wrong])
         self.proposed, self.failed = self.proposed + len(words), self.failed + len(failed)
-        self.remember(words, tokens, seq)
+        self.remember(words, tokens, np.bincount(seq, minlength=len(words)))
         if len(failed):
-            self.remember([words[i] for i in failed], *v.exact([raw[i] for i in failed]))
-
-    def remember(self, words: list[str], tokens: np.ndarray, seq: np.ndarray) -> None:
-        data, ends = tokens.astype("<u4").tobytes(), (4 * np.cumsum(np.bincount(seq, minlength=len(words)))).tolist()
-        self.known.update((w, data[a:b]) for w, a, b in zip(words, [0, *ends], ends, strict=False))
+            tokens, seq = v.exact([raw[i] for i in failed])
+            self.remember([words[i] for i in failed], tokens, np.bincount(seq, minlength=len(failed)))
 
     def decode(self, ids: bytes) -> str:
         """The text of token ids, special tokens included; bytes that are no UTF-8 become replacement characters."""

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from ._shared import slices, tokenizer_path
-from .bpe import Remembering
+from .bpe import Remembering, byte_alphabet
 
 #: Pieces of one length that one task numbers, about.
 GROUP_ROWS = 20_000
@@ -100,19 +100,19 @@ def best_fit(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]
 
 
 class LibraryIds(Remembering):
-    """Token ids by the tokenizers library, asked once for each word that a worker meets."""
+    """Token ids by the tokenizers library, whose model is asked once for each word that a worker meets."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(file)
-        self.library.no_padding()
-        self.library.no_truncation()
-        super().__init__({t.content: i for i, t in self.library.get_added_tokens_decoder().items()})
+        library = Tokenizer.from_file(file)
+        self.model = library.model
+        self.shown = {b: c for c, b in byte_alphabet().items()}  # as the model spells bytes
+        super().__init__({t.content: i for i, t in library.get_added_tokens_decoder().items()})
 
     def learn(self, words: list[str]) -> None:
-        got = self.library.encode_batch_fast(words, add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, got, strict=True))
+        found = [self.model.tokenize(w.encode().decode("latin-1").translate(self.shown)) for w in words]
+        self.remember(words, np.array([t.id for tokens in found for t in tokens], np.int64), np.fromiter(map(len, found), np.int64, len(found)))
 
 
 def cut_pieces(docs: DataFrame, capacity: int, vocabulary: str, end_id: int) -> DataFrame:
@@ -121,9 +121,6 @@ def cut_pieces(docs: DataFrame, capacity: int, vocabulary: str, end_id: int) ->
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         encode, end = LibraryIds(tokenizer_path(vocabulary)), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch):

@@ -1,6 +1,6 @@
 """Media columns: payloads as grayscale PNG images in archives, read back by a custom data source.
 
-write_archives() stores every payload as 8-bit samples, 64 to a row, in one ZIP archive for each task in the shared
+write_archives() stores every payload as 8-bit samples, 64 to a row, in ZIP archives of bounded size in the shared
 folder. The data source plans byte ranges over the folder's archives from their sizes alone; a partition reads its
 archive's central directory, takes the members that begin in its range, and streams them in Arrow batches. Each member
 is read on its own, by its offset, checked against its CRC and read again if that fails.
@@ -11,6 +11,7 @@ from __future__ import annotations
 import binascii
 import contextlib
 import hashlib
+import re
 import struct
 import uuid
 import zipfile
@@ -30,6 +31,8 @@ from ..scratch import Scratch
 ROW = 64
 #: Bytes of an archive that one partition reads, and of members that one Arrow batch holds, about.
 RANGE, BATCH = 16 << 20, 4 << 20
+#: Bytes after which a task begins a new archive.
+ARCHIVE = 64 << 20
 #: Times that a member is read before its partition fails.
 ATTEMPTS = 4
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -76,27 +79,32 @@ def features(samples: np.ndarray) -> str:
     return f"rows={len(samples)};mean={samples.mean():.3f};ahash={np.packbits(columns > columns.mean()).tobytes().hex()}"
 
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The store of a folder that Spark writes to, for Python workers; Spark's names of S3 are one to pyarrow."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def write_archives(docs: DataFrame, folder: str) -> DataFrame:
-    """Writes one archive for each task and returns their paths; doc_id and the unpadded size name a member.
+    """Writes archives of ARCHIVE bytes, about, and returns their names; doc_id and the unpadded size name a member.
 
     An archive's name is new for each attempt, and it counts only if the attempt's row does, so that lost
-    executors leave no half archives in the result. Null texts are empty payloads.
+    executors leave no half archives in the result. Its size bounds its directory, which each range reads. Null texts
+    are empty payloads.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
-        path, k = f"{root}/{uuid.uuid4().hex}.zip", 0
-        with fs.open_output_stream(path) as raw, zipfile.ZipFile(Unseekable(raw), "w", zipfile.ZIP_STORED) as archive:
-            for batch in batches:
-                for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    data = (text.as_py() or "").encode()
+        rows = ((i, (text.as_py() or "").encode()) for batch in batches for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        row = next(rows, None)
+        while row:
+            name, k = f"{uuid.uuid4().hex}.zip", 0
+            with fs.open_output_stream(f"{root}/{name}") as raw, zipfile.ZipFile(Unseekable(raw), "w", zipfile.ZIP_STORED) as archive:
+                while row and raw.tell() < ARCHIVE:
+                    i, data = row
                     archive.writestr(f"{k:09d}_{'' if i is None else i}_{len(data)}.png", encode_png(pad(data)))
-                    k += 1
-        if k:
-            yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[1]]), pa.array([k], pa.int64())], names=["archive", "members"])
-        else:
-            fs.delete_file(path)
+                    k, row = k + 1, next(rows, None)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64())], names=["archive", "members"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "archive string, members bigint")
 
@@ -137,7 +145,7 @@ class MediaReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         """One for each byte range of each archive, from the folder's listing; no directory is read here."""
-        fs, root = pafs.FileSystem.from_uri(self.folder)
+        fs, root = filesystem(self.folder)
         wanted = None if self.names is None else set(self.names.split("\n"))
         infos = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
         files = sorted((i.base_name, i.size) for i in infos if i.extension == "zip" and (wanted is None or i.base_name in wanted))
@@ -146,7 +154,7 @@ class MediaReader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.uri:
             return
-        fs, path = pafs.FileSystem.from_uri(partition.uri)
+        fs, path = filesystem(partition.uri)
         with fs.open_input_file(path) as raw, zipfile.ZipFile(raw) as archive:
             members = [m for m in archive.infolist() if partition.start <= m.header_offset < partition.end]
         rows: list[tuple] = []
@@ -202,7 +210,7 @@ def media_features(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "media")
     folder = scratch.path("archives")
     written = scratch.save(write_archives(docs, folder), "written")
-    names = [r["archive"] for r in written.select("archive").toLocalIterator()]  # one for each task
+    names = [r["archive"] for r in written.select("archive").toLocalIterator()]  # one for each 64 MB, or each task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -113,6 +113,13 @@ def test_media_reads_by_offset_and_again(spark, tmp_path, make, monkeypatch):
         media.read_member(raw, lambda: fs.open_input_file(path), member.header_offset, member.file_size, 1)
 
 
+def test_archives_are_of_bounded_size(make, tmp_path, monkeypatch):
+    monkeypatch.setattr(media, "ARCHIVE", 2_000)
+    made = media.write_archives(make([(i, "é" * i) for i in range(50)]).coalesce(1), f"file://{tmp_path}").collect()
+    assert len(made) > 3 and sum(r.members for r in made) == 50
+    assert sorted(r["doc_id"] for p in media.MediaReader({"path": f"file://{tmp_path}"}).partitions() for b in media.MediaReader({"path": f"file://{tmp_path}"}).read(p) for r in b.to_pylist()) == list(range(50))
+
+
 def test_images_are_png():
     data = media.encode_png(media.pad(b"hello"))
     assert data.startswith(b"\x89PNG") and media.decode_png(data).shape == (1, 64)
@@ -238,6 +245,41 @@ def test_quality_on_held_out_rows(spark):
     assert {r.doc_id for r in scored.filter("held_out").select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
 
 
+def test_scores_equal_a_plain_computation(spark, monkeypatch):
+    """Word vectors, pooling and the network again, word by word over whole texts, in doubles and without slices."""
+    import pyarrow as pa
+
+    models, train = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda *a: models.append(train(*a)) or models[-1])
+    odd = spark.createDataFrame([(900_001, None), (900_002, ""), (900_003, "One"), (900_004, "a b " * 30_000), (900_004, "a b " * 30_000)], "doc_id bigint, text string")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd)
+    got = quality.score(docs.repartition(5), spark.read.parquet(f"{SF}/labels.parquet")).collect()
+    model, index = models[0], quality.index_vectors().astype(np.float64)
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    cut = {t: tuple(x.tolist() for x in quality.tokens(pa.array([t], pa.string()))[:3]) for _, t in texts}
+    total = np.zeros((quality.SLOTS, quality.WIDTH))
+    for _, t in texts:
+        words, shapes, _ = cut[t]
+        for i, w in enumerate(words):
+            total[w] += index[shapes[i]]
+            for j in (i - 1, i + 1):
+                if 0 <= j < len(words):
+                    total[w] += index[words[j]] + index[shapes[j]]
+    context = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1)
+    w1, b1, w2, b2 = (np.asarray(x, np.float64) for x in model.layers)
+    want = {}
+    for i, t in texts:
+        words, shapes, repeats = cut[t]
+        n = max(len(words), 1)
+        x = np.concatenate([sum((context[w] for w in words), np.zeros(quality.WIDTH)) / n, sum((index[s] for s in shapes), np.zeros(quality.WIDTH)) / n, [sum(repeats) / n, np.log1p(len(words)) / 10, not words]])
+        hidden = [max(0.0, float((x - model.mean) / model.scale @ w1[:, k] + b1[k])) for k in range(len(b1))]
+        want[i] = 1 / (1 + np.exp(-(np.dot(hidden, w2) + b2) / model.temperature))
+    assert len(got) == len(texts)
+    for r in got:
+        assert abs(r.score - want[r.doc_id]) < 2e-3 and (r.predicted == int(want[r.doc_id] >= 0.3) or abs(want[r.doc_id] - 0.3) < 2e-3)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_quality_does_not_read_held_out_labels(spark, documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     flipped = labels.withColumn("quality", F.when(quality.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
@@ -467,15 +509,42 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     assert got.select("sequence_id").distinct().count() == expected_rows.select("sequence_id").distinct().count()
 
 
-def test_stages_keep_the_columns_and_stand_empty_tables(spark, edge, tmp_path):
-    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for df in (docs.limit(0), edge.drop("n_tokens"), docs):
-        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            out = stage(spark, df, str(tmp_path))
-            if k < len(corpus_pipeline.STAGES) - 1:
-                assert out.columns == df.columns
-            assert out.count() >= 0
+def test_stages_of_odd_rows(spark, edge, tmp_path):
+    """Each stage on nulls, empty and very long texts, repeats, clashing columns and an empty table, row by row."""
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    df = edge.drop("n_tokens")
+    texts = edge_texts()
+    by_stage = {
+        "quality classifier": texts,  # without labels nothing is rejected
+        "near-duplicates": [t for k, t in enumerate(texts) if t[1] != "one" or k == 2],
+        "secret scans": texts,  # nothing in them is secret
+    }
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns and key_of([(r.doc_id, r.text) for r in out.collect()]) == key_of(by_stage[name])
+        assert {r.component_id for r in out.select("component_id").collect()} == {"clash"}
+        empty = stage(spark, df.limit(0), str(tmp_path))
+        assert empty.columns == df.columns and empty.collect() == []
+    last = corpus_pipeline.STAGES[-1][1]
+    pieces = last(spark, df, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in pieces if r.piece == 0) == sorted(str(i) for i, _ in texts)
+    assert [(r.start, r.length) for r in pieces if r.doc_id == 1] == [(0, 1)] and sum(r.doc_id == 4 for r in pieces) > 50
+    assert last(spark, df.limit(0), str(tmp_path)).collect() == []
+
+
+def key_of(texts):
+    return sorted(texts, key=str)
+
+
+def test_stages_take_a_million_spaces_and_long_words(spark, tmp_path):
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    texts = [(1, " " * 1_000_000), (2, "\n" * 1_000_000 + "x"), (3, "y" * 300_000)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert key_of([(r.doc_id, r.text) for r in docs.collect()]) == texts
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == {1, 2, 3}
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))

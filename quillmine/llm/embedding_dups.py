@@ -2,9 +2,10 @@
 
 Equal vectors are one class from the start. Each class's vector is rotated at random and keeps the signs as its code,
 with the inner product of code and vector as its correction factor: <rotated query, code> / factor is an unbiased
-estimate of a cosine, and the factor bounds its error. Hyperplane tables give the candidates; in a bucket all pairs are
-estimated at once, and only those whose upper confidence bound reaches the threshold are recomputed exactly in doubles.
-A pair that meets in several tables counts in the first one. Buckets send back a count and a link to a root for each
+estimate of a cosine, and the factor bounds its error. Hyperplane tables give the candidates. They hold the rotated
+vectors in steps of a byte, whose signs are the codes: in a bucket all pairs are estimated at once, and only rows with a
+pair whose upper confidence bound reaches the threshold fetch their vectors, to be recomputed exactly in doubles. A
+pair that meets in several tables counts in the first one. Buckets send back rows, counts and a link to a root for each
 vector, never pairs, and a bucket above BLOCK vectors is cut into pairs of blocks.
 """
 
@@ -76,32 +77,57 @@ def unit(vectors: list[bytes], kind: str) -> np.ndarray:
 
 
 def codes(classes: DataFrame, tables: int, bits: int, kind: str) -> DataFrame:
-    """A row for each class and table: dim, place (table), key, id, n, vec, code, factor, and the keys of all tables."""
+    """A row for each class: id, n, vec, dim, its key in every table, and what its cosines are estimated by.
+
+    levels is the rotated vector in 256 steps of size step, whose signs are its binary code; gap is the length of what
+    the steps leave out, factor the correction factor of the code.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ns, vecs = (batch.column(i).to_pylist() for i in range(3))
+            vecs = batch.column(2).to_pylist()
             size = np.dtype(kind).itemsize
             for dim in sorted({len(v) // size for v in vecs}):
                 at = [i for i, v in enumerate(vecs) if len(v) == size * dim]
                 for part in (at[k : k + 256] for k in range(0, len(at), 256)):
-                    own = [vecs[i] for i in part]
-                    x = unit(own, kind)
+                    x = unit([vecs[i] for i in part], kind)
                     y = x @ rotation(dim).T
-                    code, factor = np.packbits(y > 0, axis=1), np.abs(y).sum(1) / math.sqrt(dim)
+                    step = np.abs(y).max(1) / 127.5
+                    levels = np.clip(np.floor(y / step[:, None]), -128, 127)
+                    gap = np.linalg.norm(y - (levels + 0.5) * step[:, None], axis=1)
                     sides = (x @ hyperplanes(dim, max(1, tables * bits)) > 0)[:, : tables * bits].reshape(len(part), tables, bits)
-                    keys = (sides @ (1 << np.arange(bits, dtype=np.int64))).astype("<i4")
-                    m = len(part) * tables
-                    rep = lambda c: [v for v in c for _ in range(tables)]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(m, dim, np.int32)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(part))), pa.array(keys.ravel()), pa.array(rep([ids[i] for i in part]), pa.int64()), pa.array(rep([ns[i] for i in part]), pa.int64()),
-                            pa.array(rep(own), pa.binary()), pa.array(rep([c.tobytes() for c in code]), pa.binary()), pa.array(np.repeat(factor, tables)), pa.array(rep([k.tobytes() for k in keys]), pa.binary()),
-                        ],
-                        names=["dim", "place", "key", "id", "n", "vec", "code", "factor", "keys"],
-                    )
-
-    return classes.select("id", "n", "vec").mapInArrow(run, "dim int, place int, key int, id bigint, n bigint, vec binary, code binary, factor double, keys binary")
+                    keys = (sides @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * tables, pa.int32()), pa.array(keys.ravel()))
+                    made = [pa.array([r.tobytes() for r in levels.astype(np.int8)], pa.binary()), pa.array(step), pa.array(gap), pa.array(np.abs(y).sum(1) / math.sqrt(dim))]
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(part)) for c in batch.columns), pa.array(np.full(len(part), dim, np.int32)), lists, *made], names=["id", "n", "vec", "dim", "keys", "levels", "step", "gap", "factor"])
+
+    return classes.select("id", "n", "vec").mapInArrow(run, "id bigint, n bigint, vec binary, dim int, keys array<int>, levels binary, step double, gap double, factor double")
+
+
+def error(factor: np.ndarray, dim: int) -> np.ndarray:
+    """How far an estimate by a code with this factor may lie under the cosine."""
+    return SIGMAS * np.sqrt(np.maximum(1 - factor**2, 0) / factor**2 / max(dim - 1, 1)) + 1e-5
+
+
+def near_in_block(t: pa.Table, threshold: float) -> np.ndarray:
+    """Places of those rows of a group that have a pair in it whose bounds reach the threshold: that of the estimate by
+    either's binary code, and that of the steps."""
+    dim, i, j = (t.column(c)[0].as_py() for c in ("dim", "i", "j"))
+    slot, step, gap, factor = (t.column(c).to_numpy() for c in ("slot", "step", "gap", "factor"))
+    levels = np.frombuffer(b"".join(t.column("levels").to_pylist()), np.int8).reshape(len(slot), -1)
+    y = ((levels + np.float32(0.5)) * step[:, None].astype(np.float32)).astype(np.float32)
+    sign = np.where(levels >= 0, np.float32(1), np.float32(-1))
+    there = np.zeros(len(slot), bool)
+    for a in range(0, len(slot), 512):
+        part = slice(a, a + 512)
+        upper = (y[part] @ sign.T) / (math.sqrt(dim) * factor) + error(factor, dim) + gap[part, None] / factor
+        other = (sign[part] @ y.T) / (math.sqrt(dim) * factor[part, None]) + error(factor, dim)[part, None] + gap / factor[part, None]
+        close = y[part] @ y.T + gap[part, None] + gap * (1 + gap[part, None]) + 1e-4
+        fit = (slot[part, None] != slot) if i != j else (np.arange(a, min(a + 512, len(slot)))[:, None] != np.arange(len(slot)))
+        hit = fit & (np.maximum(upper, other) >= threshold) & (close >= threshold)
+        there[part] |= hit.any(1)
+        there |= hit.any(0)
+    return np.flatnonzero(there)
 
 
 def links_in_block(t: pa.Table, threshold: float, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,16 +135,15 @@ def links_in_block(t: pa.Table, threshold: float, kind: str) -> tuple[np.ndarray
     dim, place, i, j = (t.column(c)[0].as_py() for c in ("dim", "place", "i", "j"))
     slot, ids, n = (t.column(c).to_numpy() for c in ("slot", "id", "n"))
     x = unit(t.column("vec").to_pylist(), kind)
-    keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), "<i4").reshape(len(ids), -1)
-    sign = np.unpackbits(np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(ids), -1), axis=1, count=dim).astype(np.float32) * 2 - 1
-    factor = t.column("factor").to_numpy()
-    y = (x @ rotation(dim).T).astype(np.float32)
-    error = SIGMAS * np.sqrt(np.maximum(1 - factor**2, 0) / factor**2 / max(dim - 1, 1)) + 1e-5
+    keys = np.array(t.column("keys").to_pylist(), np.int32).reshape(len(ids), -1)
+    y = x @ rotation(dim).T
+    sign, factor = np.where(y > 0, np.float32(1), np.float32(-1)), np.abs(y).sum(1) / math.sqrt(dim)
+    y, off = y.astype(np.float32), error(factor, dim)
     links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
     rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
     pairs = []
     for a in range(0, len(ids), 512):
-        upper = (y[a : a + 512] @ sign.T) / (math.sqrt(dim) * factor) + error
+        upper = (y[a : a + 512] @ sign.T) / (math.sqrt(dim) * factor) + off
         p, q = np.nonzero(upper >= threshold)
         p = p + a
         fit = (slot[p] != slot[q]) if i != j else (p != q)
@@ -164,17 +189,25 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9) -> DataFrame:
     total = classes.count()
     tables, bits = tables_for(total, threshold)
     coded = scratch.save(codes(classes.repartition(max(1, -(-total // 4096))), tables, bits, single), "codes")
-    sizes = coded.groupBy("dim", "place", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    sized = coded.join(scratch.save(sizes, "sizes"), ["dim", "place", "key"])
+    placed = coded.select("dim", "id", "levels", "step", "gap", "factor", F.posexplode("keys").alias("place", "key"))
+    group = ["dim", "place", "key"]
+    sizes = placed.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    sized = placed.join(scratch.save(sizes, "sizes"), group)
     slotted = sized.withColumn("slot", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = [*group, "i", "j"]
     spread = slotted.withColumn("i", F.least("slot", "other")).withColumn("j", F.greatest("slot", "other")).drop("blocks", "other")
 
+    def near(t: pa.Table) -> pa.Table:
+        return t.select([*group, "slot", "id"]).take(pa.array(near_in_block(t, threshold), pa.int64()))
+
     def run(t: pa.Table) -> pa.Table:
         ids, links, root = links_in_block(t, threshold, single)
         there = np.flatnonzero(links)
         return pa.table({"id": pa.array(ids[there], pa.int64()), "links": pa.array(links[there], pa.int64()), "root": pa.array(root[there], pa.int64())})
 
-    found = scratch.save(spread.groupBy("dim", "place", "key", "i", "j").applyInArrow(run, "id bigint, links bigint, root bigint"), "found")
+    kept = scratch.save(spread.groupBy(*group).applyInArrow(near, "dim int, place int, key int, i int, j int, slot int, id bigint"), "near")
+    whole = kept.join(coded.select("id", "n", "vec", "keys"), "id")
+    found = scratch.save(whole.groupBy(*group).applyInArrow(run, "id bigint, links bigint, root bigint"), "found")
     scratch.drop("codes")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     labels = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).distinct(), scratch, "components")

@@ -216,12 +216,28 @@ def test_links_are_carried_over_parts_of_a_block(monkeypatch, pairs):
     for place, ids in blocks:  # a chain: each vector links with those beside it only
         n, angles = len(ids), np.deg2rad(20 * place)
         x = np.stack([np.cos(angles), np.sin(angles)], 1).astype("<f4")
-        y = x @ embedding_dups.rotation(2).T
         column = lambda v: [v] * n  # noqa: E731, B023
         t = pa.table({
-            "dim": column(2), "place": column(0), "i": column(0), "j": column(0), "slot": column(0), "id": ids, "n": np.ones(n, np.int64), "vec": [v.tobytes() for v in x],
-            "code": [c.tobytes() for c in np.packbits(y > 0, axis=1)], "factor": np.abs(y).sum(1) / np.sqrt(2), "keys": column(np.zeros(1, "<i4").tobytes()),
+            "dim": column(2), "place": column(0), "i": column(0), "j": column(0), "slot": column(0), "id": ids, "n": np.ones(n, np.int64), "vec": [v.tobytes() for v in x], "keys": column([0]),
         })
         got, links, root = embedding_dups.links_in_block(t, 0.9, "<f4")
         assert (got == ids).all() and (links == np.where((place == 0) | (place == n - 1), 1, 2)).all()
         assert set(root) == {0}
+
+
+def test_rows_that_fetch_their_vectors_lose_no_pair():
+    """Every row with a pair at the threshold is there; of rows far from all others few are."""
+    rng = np.random.default_rng(3)
+    for dim in (8, 64):
+        base = rng.normal(size=(300, dim))
+        near = base[:40] + rng.normal(size=(40, dim)) * 0.3 * np.linalg.norm(base[:40], axis=1, keepdims=True) / np.sqrt(dim)
+        x = np.concatenate([base, near])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y = x @ embedding_dups.rotation(dim).T
+        step = np.abs(y).max(1) / 127.5
+        levels = np.clip(np.floor(y / step[:, None]), -128, 127)
+        n, gap = len(x), np.linalg.norm(y - (levels + 0.5) * step[:, None], axis=1)
+        t = pa.table({"dim": [dim] * n, "i": [0] * n, "j": [0] * n, "slot": [0] * n, "step": step, "gap": gap, "factor": np.abs(y).sum(1) / np.sqrt(dim), "levels": [r.tobytes() for r in levels.astype(np.int8)]})
+        cosines = x @ x.T - np.eye(n)
+        got, want = set(embedding_dups.near_in_block(t, 0.9)), set(np.flatnonzero((cosines >= 0.9).any(1)))
+        assert want <= got and len(want) > 30 and got <= set(np.flatnonzero((cosines >= 0.85).any(1)))

@@ -1,9 +1,9 @@
 """Near-duplicate titles: candidate pairs without comparing all papers of a year, and the ordered merge.
 
 Two papers of a year match if they don't have two different DOIs, and have the same DOI or lower-cased titles within an
-edit distance of int(longer length * (1 - threshold)). Candidates share one of the rarest q-grams of their titles:
-titles within distance k share one among the first k * q + 1 in any order that is the same for all, so that no pair is
-lost; the order is by how often the grams occur. Where the distance allowed is 0, equal titles are joined.
+edit distance of int(longer length * (1 - threshold)). Candidates share one of the first q-grams of their titles by
+hash: titles within distance k share one among the first k * q + 1 in any order that is the same for all, so that no
+pair is lost. Where the distance allowed is 0, equal titles are joined.
 """
 
 from __future__ import annotations
@@ -19,33 +19,20 @@ from .components import connected_components
 from .consolidate import merge_papers
 
 GRAM = 4
-#: Counters of grams, each for those with a hash; how often grams occur decides in which order they are tried.
-COUNTERS = 4096
-
 
 def allowed(length: Column, threshold: float) -> Column:
     """Edits allowed between titles of which the longer has this length; computed in doubles and truncated."""
     return F.floor(length * (F.lit(1.0) - F.lit(float(threshold)))).cast("int")
 
 
-def with_grams(low: DataFrame) -> DataFrame:
-    """Adds grams: hashes of all q-grams of t, distinct, those first that occur least."""
-    hashed = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - GRAM, F.lit(0))), lambda i: F.xxhash64(*(F.get("chars", i + k) for k in range(GRAM))))
-    made = low.withColumn("chars", F.split("t", "")).withColumn("grams", F.array_distinct(hashed)).drop("chars")  # substring() would walk the title for each gram
-    counter = lambda g: F.pmod(g, F.lit(COUNTERS)).cast("int")
-    counts = dict.fromkeys(range(COUNTERS), 0)
-    counts.update((r["k"], r["n"]) for r in made.select(F.explode("grams").alias("g")).groupBy(counter(F.col("g")).alias("k")).agg(F.count("*").alias("n")).collect())  # COUNTERS rows at most
-    times = F.from_json(F.lit(str(list(counts.values()))), "array<bigint>")
-    ordered = F.sort_array(F.transform("grams", lambda g: F.struct(F.get(times, counter(g)).alias("times"), g.alias("g"))))
-    return made.withColumn("grams", F.transform(ordered, lambda x: x["g"]))
-
-
 def title_pairs(papers: DataFrame, threshold: float = 0.95) -> DataFrame:
     """a, b, with a.id < b.id, of papers(id, year, doi, title): matching titles or DOIs, DOIs compatible."""
     low = papers.select("id", "year", "doi", F.lower("title").alias("t")).withColumn("n", F.length("t"))
     # the longest partner has n / threshold characters; this is what it is allowed
     most = F.floor(F.col("n") * F.lit((1.0 - threshold) / threshold + 1e-9)).cast("int") if threshold > 0 else F.col("n")
-    marked = with_grams(low).withColumn("k", most)
+    # substring() would walk the title for each gram; the array of characters is indexed
+    grams = F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - GRAM, F.lit(0))), lambda i: F.xxhash64(*(F.get("chars", i + k) for k in range(GRAM))))))
+    marked = low.withColumn("k", most).withColumn("chars", F.split("t", "")).withColumn("grams", grams).drop("chars")
     # a title whose edits could touch all its q-grams is compared with its year's titles ...
     whole = F.col("n") - GRAM + 1 <= F.col("k") * GRAM
     prefix = F.slice("grams", 1, F.col("k") * GRAM + 1)

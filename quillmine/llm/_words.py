@@ -63,9 +63,9 @@ def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix(np.add.reduceat(values * powers(int(lengths.max()))[at], firsts) ^ (lengths.astype(np.uint64) << np.uint64(48)))
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of all words; a word doesn't cross from one row into the next."""
-    inside = ~BLANK[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all words, between bytes that are blank; a word doesn't cross from one row into the next."""
+    inside = ~blank[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.r_[False, inside[:-1]]
@@ -75,8 +75,8 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
-    """Cuts the bytes into parts of about CHUNK that end at a blank or at a row's end; no word is cut."""
+def chunks(data: np.ndarray, offsets: np.ndarray, ends: np.ndarray = BLANK) -> list[tuple[int, int]]:
+    """Cuts the bytes into parts of about CHUNK that end at one of the bytes `ends` (blanks) or at a row's end; no word is cut."""
     cuts, at = [], 0
     row_ends = offsets[1:]
     while at < len(data):
@@ -86,7 +86,7 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
             step = 1 << 16
             found = -1
             while found < 0 and to < nearest:
-                blank = np.flatnonzero(BLANK[data[to : min(to + step, nearest)]])
+                blank = np.flatnonzero(ends[data[to : min(to + step, nearest)]])
                 found = to + int(blank[0]) if len(blank) else -1
                 to = min(to + step, nearest)
             to = found if found >= 0 else int(nearest)

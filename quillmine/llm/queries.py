@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dups, html_text, media, minhash, packing, quality, secrets, token_counts
+from . import bpe, chat, collocations, embedding_dups, exact_dups, hard_negatives, html_text, media, minhash, packing, quality, secrets, token_counts
 from ._shared import table
 
 
@@ -57,6 +57,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), relabel=moved, anchors=F.col("vec_id") % 50 == 0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dups.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -69,6 +82,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_packing": op9_packing,
         "op10_secrets": op10_secrets,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_collocations": op12_collocations,
+        "op13_exact_dups": op13_exact_dups,
     }
 
 
@@ -117,5 +133,51 @@ SELECT low.id AS vec_id, coalesce(n, 0) AS n_links, component_id, low.id = compo
 """
 
 
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS lab, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+  SELECT a.id AS aid, b.id AS bid, a.lab = b.lab AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS s FROM v a JOIN v b ON a.id <> b.id AND len(a.e) = len(b.e) WHERE a.id % 50 = 0
+), p AS (
+  SELECT aid, bid AS pid, s AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY aid ORDER BY s DESC, bid) <= 5
+), r AS (
+  SELECT p.aid, pid, ps, bid, s, row_number() OVER (PARTITION BY p.aid, pid ORDER BY s DESC, bid) AS k FROM p JOIN s ON s.aid = p.aid AND NOT same AND 50 * ps <= 100 * s AND 100 * s <= 95 * ps
+)
+SELECT aid AS anchor_id, pid AS positive_id, CAST(k AS INTEGER) AS rank, bid AS negative_id, ps AS positive_score, s AS negative_score FROM r WHERE k <= 3
+"""
+
+OP12_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+  SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS x FROM d)
+), g AS (
+  SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase, k FROM p, range(1, 4) AS s(k) WHERE len(w) >= k
+), f AS MATERIALIZED (
+  SELECT lang, phrase, k, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10
+), n AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+c AS (
+  SELECT lang, phrase, k, f, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM f WHERE k > 1
+), s AS (
+  SELECT c.lang, c.phrase, c.k, c.f AS a, cut, l.f AS l, r.f AS r, (1000000::HUGEINT * c.f * c.f) // (l.f::HUGEINT * r.f) AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[cut + 1:], ' ')
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, cut) = 1
+), inner_ AS (
+  SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, f FROM (SELECT DISTINCT lang, w, f FROM c WHERE k = 3)
+), longer AS (SELECT lang, phrase, max(f) AS f FROM inner_ GROUP BY ALL),
+kept AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, encode(s.phrase)) AS rank FROM s LEFT JOIN longer ON s.k = 2 AND longer.lang = s.lang AND longer.phrase = s.phrase
+  WHERE longer.f IS NULL OR 100 * longer.f < 50 * a
+)
+SELECT kept.lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM kept JOIN n ON n.lang = kept.lang WHERE rank <= 2000
+"""
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, h AS text_sha256 FROM d WINDOW w AS (PARTITION BY h)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": OP2_SQL, "op4_chat": OP4_SQL, "op6_embeddings": OP6_SQL}
+    return {"op2_minhash": OP2_SQL, "op4_chat": OP4_SQL, "op6_embeddings": OP6_SQL, "op11_hard_negatives": OP11_SQL, "op12_collocations": OP12_SQL, "op13_exact_dups": OP13_SQL}

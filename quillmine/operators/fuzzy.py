@@ -1,15 +1,14 @@
-"""Near-duplicate titles: candidate pairs without comparing all papers of a year, and the ordered merge.
+"""Near-duplicate titles: candidate pairs by a segment index, and the ordered merge.
 
 Two papers of a year match if they don't have two different DOIs, and have the same DOI or lower-cased titles within an
-edit distance of int(longer length * (1 - threshold)). Candidates share one of the first q-grams of their titles by
-hash: titles within distance k share one among the first k * q + 1 in any order that is the same for all, so that no
-pair is lost. Where the distance allowed is 0, equal titles are joined.
+edit distance of k = int(longer length * (1 - threshold)). A title cut into more than k segments has one that no edit
+touches, and that stands in the longer title not more than k from its place. For few edits the lengths and places to try
+are listed; for many, which only long titles allow, the longer title is tried at all places, so that work stays in
+proportion to its length. No pair is lost. Only hashes of segments and ids meet; titles are fetched for the candidates.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,57 +17,168 @@ from ..scratch import Scratch
 from .components import connected_components
 from .consolidate import merge_papers
 
-GRAM = 4
+#: Edits up to which places are listed by length and segment; their number grows with the third power of the edits.
+LISTED = 6
+#: Papers of a component that are gone through in one task, about; larger components take several rounds.
+BLOCK = 50_000
+
 
 def allowed(length: Column, threshold: float) -> Column:
     """Edits allowed between titles of which the longer has this length; computed in doubles and truncated."""
     return F.floor(length * (F.lit(1.0) - F.lit(float(threshold)))).cast("int")
 
 
+def _up(lo: Column, hi: Column) -> Column:
+    """The whole numbers from lo to hi, none if hi is less."""
+    return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+
+
+def _segment(length: Column, k: Column, i: Column) -> tuple[Column, Column]:
+    """Place (from 0) and length of segment i of k + 1 of a title of this length; the last ones are one longer."""
+    size, more = F.floor(length / (k + 1)).cast("int"), F.pmod(length, k + 1)
+    behind = i - (k + 1 - more)
+    return i * size + F.greatest(behind, F.lit(0)), size + F.when(behind >= 0, 1).otherwise(0)
+
+
+def _most(length: Column, threshold: float) -> Column:
+    """Edits allowed with the longest title that one of this length, as the shorter, can match."""
+    return F.floor(length * F.lit((1.0 - threshold) / threshold + 1e-9)).cast("int") if threshold > 0 else length
+
+
+def _listed_index(threshold: float) -> Column:
+    """Hashes of the segments of a title as the shorter of two, for every k up to LISTED that a longer one may have."""
+
+    def cut(k: Column) -> Column:
+        def one(i: Column) -> Column:
+            at, size = _segment(F.col("n"), k, i)
+            return F.xxhash64("year", "n", k, i, F.substr("t", at + 1, size))
+
+        return F.transform(_up(F.lit(0), k), one)
+
+    return F.flatten(F.transform(_up(allowed(F.col("n"), threshold), F.least(_most(F.col("n"), threshold), F.col("n") - 1, F.lit(LISTED))), cut))
+
+
+def _listed_probe() -> Column:
+    """Hashes of what may equal a segment in a title as the longer of two, whose k is a column."""
+    n, k = F.col("n"), F.col("k")
+
+    def length(m: Column) -> Column:
+        def segment(i: Column) -> Column:
+            at, size = _segment(m, k, i)
+            lo = F.greatest(F.lit(0), at - i, at + (n - m) - (k - i))
+            hi = F.least(n - size, at + i, at + (n - m) + (k - i))
+            return F.transform(_up(lo, hi), lambda x: F.xxhash64("year", m, k, i, F.substr("t", x + 1, size)))
+
+        return F.flatten(F.transform(_up(F.lit(0), k), segment))
+
+    return F.flatten(F.transform(_up(n - k, n), length))
+
+
+def _size(length: Column, threshold: float) -> Column:
+    """Length of each of the equal segments, one more than the edits allowed at most, of a title as the shorter of two."""
+    return F.floor(length / (_most(length, threshold) + 1)).cast("int")
+
+
+def _placed(sizes: Column, step: bool, count: Column | None = None) -> Column:
+    """(key, place) of pieces of each size: those that follow one another, or those at every place."""
+
+    def of(size: Column) -> Column:
+        last = count - 1 if step else F.col("n") - size
+        return F.transform(_up(F.lit(0), last), lambda i: F.struct(F.xxhash64("year", size, F.slice("chars", (i * size if step else i) + 1, size)).alias("key"), (i * size if step else i).alias("place")))
+
+    return F.flatten(F.transform(sizes, of))
+
+
+def _titles(papers: DataFrame, threshold: float) -> DataFrame:
+    low = papers.select("id", "year", "doi", F.lower("title").alias("t")).filter("year is not null and t is not null").withColumn("n", F.length("t"))
+    return low.withColumn("k", allowed(F.col("n"), threshold)).withColumn("bare", F.col("doi").isNull())
+
+
+def titled_pairs(papers: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """a, b, with a < b, of papers(id, year, doi, title) with matching titles of which one at least has no DOI."""
+    low = _titles(papers, threshold)
+    n, k = F.col("n"), F.col("k")
+    # too short for its segments as the longer of two: compared with all titles of the lengths it may reach
+    tiny = n < 2 * k + 1 if threshold > 0.5 else F.lit(True)
+    side = lambda df, key, s, *more: df.select(F.explode(key).alias("key"), F.col("id").alias(f"id{s}"), F.col("n").alias(f"n{s}"), F.col("bare").alias(f"bare{s}"), *more)
+    meeting = (F.col("idp") != F.col("idi")) & (F.col("barep") | F.col("barei")) & ((F.col("np") > F.col("ni")) | ((F.col("np") == F.col("ni")) & (F.col("idp") > F.col("idi"))))
+    near = side(low.filter(~tiny & (k <= LISTED)), _listed_probe(), "p").join(side(low, _listed_index(threshold), "i"), "key").filter(meeting)
+    reach = side(low.filter(tiny), F.transform(_up(F.greatest(n - k, F.lit(0)), n), lambda m: F.xxhash64("year", m)), "p")
+    beside = reach.join(side(low, F.array(F.xxhash64("year", "n")), "i"), "key").filter(meeting)
+    # substr() would walk a long title for each piece; the array of characters is indexed
+    long = low.filter(_most(n, threshold) > LISTED).withColumn("chars", F.split("t", ""))
+    flat = lambda df, s: df.select("*", f"key{s}.key", F.col(f"key{s}.place").alias(f"place{s}")).drop(f"key{s}")
+    index = flat(side(long, _placed(F.array(_size(n, threshold)), True, _most(n, threshold) + 1), "i").withColumnRenamed("key", "keyi"), "i")
+    sizes = F.filter(F.array_distinct(F.transform(_up(n - k, n), lambda m: _size(m, threshold))), lambda x: x > 0)
+    probe = flat(side(long.filter(~tiny & (k > LISTED)), _placed(sizes, False), "p", F.col("k").alias("kp")).withColumnRenamed("key", "keyp"), "p")
+    far = probe.join(index, "key").filter(meeting & (F.abs(F.col("placep") - F.col("placei")) <= F.col("kp")) & (F.col("np") - F.col("ni") <= F.col("kp")))
+    ends = lambda df: df.select(F.least("idp", "idi").alias("a"), F.greatest("idp", "idi").alias("b"))
+    found = ends(near).unionByName(ends(beside)).unionByName(ends(far)).distinct()
+    text = low.select("id", "year", "t", "n")
+    both = found.join(text.toDF("a", "ya", "ta", "na"), "a").join(text.toDF("b", "yb", "tb", "nb"), "b")
+    return both.filter("ya = yb").filter(_alike(threshold)).select("a", "b")
+
+
+def _alike(threshold: float) -> Column:
+    most = f"cast(floor(greatest(na, nb) * (1.0D - {float(threshold)}D)) as int)"
+    return F.expr(f"abs(na - nb) <= {most} and levenshtein(ta, tb, {most}) >= 0")
+
+
 def title_pairs(papers: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """a, b, with a.id < b.id, of papers(id, year, doi, title): matching titles or DOIs, DOIs compatible."""
-    low = papers.select("id", "year", "doi", F.lower("title").alias("t")).withColumn("n", F.length("t"))
-    # the longest partner has n / threshold characters; this is what it is allowed
-    most = F.floor(F.col("n") * F.lit((1.0 - threshold) / threshold + 1e-9)).cast("int") if threshold > 0 else F.col("n")
-    # substring() would walk the title for each gram; the array of characters is indexed
-    grams = F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - GRAM, F.lit(0))), lambda i: F.xxhash64(*(F.get("chars", i + k) for k in range(GRAM))))))
-    marked = low.withColumn("k", most).withColumn("chars", F.split("t", "")).withColumn("grams", grams).drop("chars")
-    # a title whose edits could touch all its q-grams is compared with its year's titles ...
-    whole = F.col("n") - GRAM + 1 <= F.col("k") * GRAM
-    prefix = F.slice("grams", 1, F.col("k") * GRAM + 1)
-    needed = F.col("k") >= 1  # else only equal titles match
-    # papers with two different DOIs never match, and those with the same one are joined below: here one has none
-    bare, keyed = F.col("doi").isNull(), low.withColumn("key", F.col("t"))
-    equal = _join(keyed.filter(bare), keyed, ["year", "key"])
-    spread = marked.filter(needed & ~whole).withColumn("key", F.explode(prefix))
-    near = _join(spread.filter(bare), spread, ["year", "key"])
-    # ... with titles of the lengths that it may reach
-    short = marked.filter(needed & whole).withColumn("key", F.explode(F.sequence(F.greatest(F.col("n") - F.col("k"), F.lit(0)), F.col("n") + F.col("k"))))
-    other = marked.filter(needed).withColumn("key", F.col("n"))
-    beside = _join(short.filter(bare), other, ["year", "key"]).unionByName(_join(short.filter(~bare), other.filter(bare), ["year", "key"]))
-    found = equal.unionByName(near).unionByName(beside)
-    within = F.abs(F.col("na") - F.col("nb")) <= allowed(F.greatest("na", "nb"), threshold)
-    alike = F.expr(f"levenshtein(ta, tb, cast(floor(greatest(na, nb) * (1.0D - {float(threshold)}D)) as int)) >= 0")
-    titled = found.filter(within).dropDuplicates(["a", "b"]).filter(alike).select("a", "b", F.lit(True).alias("titled"))
-    known = low.filter(~bare).withColumn("key", F.col("doi"))
-    same = _join(known, known, ["year", "key"]).dropDuplicates(["a", "b"]).select("a", "b", F.coalesce(within & alike, F.lit(False)).alias("titled"))
-    return titled.unionByName(same)
-
-
-def _join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of different papers, the earlier one first; a pair may come twice."""
-    side = lambda df, s: df.select(*on, *(F.col(c).alias(x + s) for c, x in (("id", ""), ("t", "t"), ("n", "n"), ("doi", "d"))))
-    both = side(left, "a").join(side(right, "b"), on).filter(F.col("a") != F.col("b"))
-    flip = F.col("a") > F.col("b")
-    return both.select(*(F.when(flip, F.col(x + t)).otherwise(F.col(x + s)).alias(x + s) for s, t in (("a", "b"), ("b", "a")) for x in ("", "t", "n", "d")))
-
-
-def leaders(papers: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """id, leader of papers(id, year, doi, title); ids are in arrival order.
+    """a, b, titled, with a < b, of papers(id, year, doi, title): matching titles or DOIs, DOIs compatible.
+
+    All pairs of a shared DOI come out; leaders() needs one link for each paper instead.
+    """
+    known = _titles(papers, threshold).filter("not bare").select("id", "year", "doi", "t", "n")
+    same = known.toDF("a", "year", "doi", "ta", "na").join(known.toDF("b", "year", "doi", "tb", "nb"), ["year", "doi"]).filter("a < b")
+    return titled_pairs(papers, threshold).withColumn("titled", F.lit(True)).unionByName(same.select("a", "b", F.coalesce(_alike(threshold), F.lit(False)).alias("titled")))
+
+
+def _sweep(nodes: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
+    """Goes through a block's papers by arrival; each joins the first leader that it is alike to or shares a DOI with.
+
+    events are links a, b into the block (state: the DOI that a leader of an earlier block has by now) and the first leader
+    of earlier blocks with a DOI (b is null). Returns leader and state of the block's papers (own), and what earlier leaders took.
+    """
+    doi, state, near, carrier, taken = dict(zip(nodes["id"], nodes["doi"], strict=True)), {}, {}, {}, {}
+    for a, b, d in zip(events["a"], events["b"], events["state"], strict=True):
+        if b < 0:
+            carrier[d] = a
+            continue
+        near.setdefault(b, []).append(a)
+        if a not in doi:
+            state[a] = d
+    rows = []
+    for j in sorted(doi):
+        d = doi[j]
+        fit = [a for a in near.get(j, ()) if a in state and not (d and state[a] and state[a] != d)]
+        if d and d in carrier:
+            fit.append(carrier[d])
+        if not fit:
+            state[j] = d
+            if d:
+                carrier[d] = j
+            rows.append((j, j, True))
+            continue
+        first = min(fit)
+        rows.append((j, first, True))
+        if d and not state.get(first):
+            state[first] = d
+            carrier[d] = min(carrier.get(d, first), first)
+            if first not in doi:
+                taken[first] = d
+    out = [(j, h, state.get(j) if j == h else None, own) for j, h, own in rows] + [(h, h, d, False) for h, d in taken.items()]
+    return pd.DataFrame(out, columns=["id", "leader", "state", "own"])
+
+
+def leaders(papers: DataFrame, threshold: float = 0.95, block: int = BLOCK) -> DataFrame:
+    """id, leader of papers(id, year, doi, title); ids are in arrival order and not negative.
 
     Pairs are gone through by arrival: the earlier paper absorbs the later one, which then leads no more. An
     absorbed DOI becomes the leader's if it had none and counts from then on. Not transitive: A~B, B~C but not
-    A~C leave {A, B} and {C}. Only connected papers can meet, so each component is replayed on its own.
+    A~C leave {A, B} and {C}. Only connected papers can meet: each component is gone through on its own, in blocks of
+    about `block` papers by arrival, one block of every component a round. A block needs of those before it only their
+    leaders with the DOIs they have by then, so no task holds a component that is larger.
     """
     scratch = Scratch(papers.sparkSession, "fuzzy")
     papers = scratch.save(papers.select("id", "year", "doi", "title"))  # read several times below
@@ -77,40 +187,47 @@ def leaders(papers: DataFrame, threshold: float = 0.95) -> DataFrame:
     bare = papers.filter("doi is null and year is not null and title is not null")
     firsts = scratch.save(bare.groupBy(*(c.alias(x) for c, x in zip(same, ("y", "t"), strict=True))).agg(F.min("id").alias("id"), F.count("*").alias("n")))
     one = papers.filter("doi is not null").unionByName(firsts.select("id", F.col("y").alias("year"), F.lit(None).cast("string").alias("doi"), F.col("t").alias("title")))
-    pairs = scratch.save(title_pairs(one, threshold))
-    ends = pairs.filter("titled").select("a", "b")
-    near = ends.groupBy("a").agg(F.collect_list("b").alias("near")).withColumnRenamed("a", "id")
-    nodes = connected_components(pairs, scratch, "components").join(papers.select("id", "doi"), "id").join(near, "id", "left")
-
-    def replay(group: pd.DataFrame) -> pd.DataFrame:
-        """Goes through a component's pairs, each once; later papers alike or with the leader's DOI are met in order."""
-        rows = group.sort_values("id")
-        ids, dois = rows["id"].tolist(), dict(zip(rows["id"], rows["doi"], strict=True))
-        after = {i: [] if n is None else list(n) for i, n in zip(rows["id"], rows["near"], strict=True)}
-        with_doi: dict[str, list[int]] = {}
-        for i in ids:
-            if dois[i]:
-                with_doi.setdefault(dois[i], []).append(i)
-        led: dict[int, int] = {}
-        for i in ids:
-            if i in led:
-                continue
-            queue = after[i] + ([j for j in with_doi[dois[i]] if j > i] if dois[i] else [])
-            heapq.heapify(queue)
-            last = i
-            while queue:
-                j = heapq.heappop(queue)
-                if j == last or j in led or (dois[i] and dois[j] and dois[i] != dois[j]):
-                    continue
-                last, led[j] = j, i
-                if not dois[i] and dois[j]:
-                    dois[i] = dois[j]
-                    for x in with_doi[dois[j]]:
-                        if x > j:
-                            heapq.heappush(queue, x)
-        return pd.DataFrame({"id": ids, "leader": [led.get(i, i) for i in ids]})
-
-    led = scratch.save(nodes.groupBy("component").applyInPandas(replay, "id bigint, leader bigint"))
+    titled = scratch.save(titled_pairs(one, threshold))
+    keyed = papers.filter("doi is not null and year is not null")
+    stars = keyed.join(keyed.groupBy("year", "doi").agg(F.min("id").alias("first")), ["year", "doi"]).filter("id != first")  # a link for each paper but the first
+    linked = connected_components(titled.unionByName(stars.select(F.col("first").alias("a"), F.col("id").alias("b"))), scratch, "components")
+    nodes = scratch.save(linked.join(papers.select("id", "doi"), "id"))
+    large = nodes.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    large = scratch.save(large)
+    total = large.agg(F.sum("n")).first()[0] or 0
+    edges = titled.join(nodes.select(F.col("id").alias("a"), "component"), "a")
+    event = lambda df, b, state: df.select(F.col("component").alias("component"), F.col("a").alias("a"), b.alias("b"), state.alias("state"))
+    none = F.lit(None).cast("string")
+    shape = "id bigint, leader bigint, state string, own boolean"
+
+    def replay(these: DataFrame, events: DataFrame) -> DataFrame:
+        return these.select("component", "id", "doi").groupBy("component").cogroup(events.groupBy("component")).applyInPandas(lambda n, e: _sweep(n, e), shape)
+
+    if not total:
+        done = scratch.save(replay(nodes, event(edges, F.col("b"), none)))
+    else:
+        small = lambda df: df.join(large, "component", "left_anti")
+        outs = [scratch.save(replay(small(nodes), event(small(edges), F.col("b"), none)))]
+        cut = nodes.join(large.select("component"), "component").repartitionByRange(max(2, -(-total // block)), "component", "id").withColumn("part", F.spark_partition_id())
+        cut = scratch.save(cut)
+        first = cut.groupBy("component").agg(F.min("part").alias("start"))
+        cut = scratch.save(cut.join(first, "component").withColumn("block", F.col("part") - F.col("start")).drop("part", "start"))
+        place = cut.select("id", "component", "block")
+        among = scratch.save(titled.join(place.toDF("a", "component", "ba"), "a").join(place.select(F.col("id").alias("b"), F.col("block").alias("bb")), "b"))
+        led = None
+        for k in range(cut.agg(F.max("block")).first()[0] + 1):
+            here = cut.filter(F.col("block") == k)
+            events = event(among.filter((F.col("ba") == k) & (F.col("bb") == k)), F.col("b"), none)
+            if led is not None:
+                known = led.filter("id = leader").groupBy("id").agg(F.max("state").alias("state"))  # a leader takes a DOI once
+                came = among.filter((F.col("ba") < k) & (F.col("bb") == k)).join(known.withColumnRenamed("id", "a"), "a")
+                holders = known.filter("state is not null").join(place, "id").groupBy("component", "state").agg(F.min("id").alias("a"))
+                wanted = here.filter("doi is not null").select("component", F.col("doi").alias("state")).distinct()
+                events = events.unionByName(event(came, F.col("b"), F.col("state"))).unionByName(event(holders.join(wanted, ["component", "state"]), F.lit(-1).cast("long"), F.col("state")))
+            outs.append(scratch.save(replay(here, events)))
+            led = outs[-1] if led is None else led.unionByName(outs[-1])
+        done = outs[0].unionByName(led)
+    led = done.filter("own").select("id", "leader")
     copies = bare.join(firsts.filter("n > 1").select(F.col("y"), F.col("t"), F.col("id").alias("first")), (F.col("year") == F.col("y")) & (F.lower("title") == F.col("t"))).filter("id != first")
     followers = copies.select("id", "first").join(led.toDF("first", "leader"), "first", "left").select("id", F.coalesce("leader", "first").alias("leader"))
     return papers.select("id").join(led.unionByName(followers), "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))

@@ -58,11 +58,11 @@ def pubmed(raw: DataFrame) -> DataFrame:
     pages = a["Pagination"]["MedlinePgn"]
     journal = a["Journal"]
     out = raw.select(
-        "page", "position", F.trim(a["ArticleTitle"]).alias("title"), F.nullif(F.array_join(a["Abstract"]["AbstractText"], "\n"), F.lit("")).alias("abstract"),
+        "page", "position", F.col("title_text").alias("title"), F.nullif(F.array_join("abstract_texts", "\n"), F.lit("")).alias("abstract"),
         F.transform(a["AuthorList"]["Author"], lambda x: F.concat_ws(" ", x["ForeName"], x["LastName"])).alias("authors"),
         publication(title=journal["Title"], issn=journal["ISSN"], category=F.lit("Journal")).alias("publication"),
         F.coalesce(exact, printed, F.make_date(year.try_cast("int"), F.lit(1), F.lit(1))).alias("publication_date"), F.get(ids, F.lit(0))["#text"].alias("doi"),
-        F.sort_array(F.array_distinct(F.transform(F.col("MedlineCitation.KeywordList.Keyword"), lambda x: F.trim(x)))).alias("keywords"), page_range_count(pages).alias("number_of_pages"), pages.alias("pages"),
+        F.sort_array(F.array_distinct(F.filter("keyword_texts", lambda x: x != ""))).alias("keywords"), page_range_count(pages).alias("number_of_pages"), pages.alias("pages"),
     )
     return _finish(out.filter("abstract is not null"), "PubMed")
 

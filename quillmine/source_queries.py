@@ -67,16 +67,17 @@ def xml_pages(df: DataFrame, entry: Column, root: str) -> DataFrame:
 def arxiv_capture(p: DataFrame) -> str:
     code = F.when(F.col("keywords")[0] == "en", "cs.DB").when(F.col("keywords")[0] == "fr", "physics.optics").otherwise("none")
     entry = tag(
-        "entry", tag("title", xml(F.col("title"))), tag("published", F.date_format("publication_date", "yyyy-MM-dd"), "T01:02:03Z"), tag("summary", xml(F.col("title"))), tag("arxiv:journal_ref", F.col("publication.title"), " journal"),
+        "entry", tag("title", xml(F.col("title"))), tag("published", F.date_format("publication_date", "yyyy-MM-dd"), "T01:02:03Z"), tag("summary", xml(F.col("abstract"))), tag("arxiv:journal_ref", F.col("publication.title"), " journal"),
         tag("arxiv:comment", F.col("seq").cast("string")), F.concat(F.lit('<category term="'), code, F.lit('"/><link href="'), F.col("urls")[0], F.lit('"/>')), tag("author", tag("name", F.col("authors")[0])), tag("author", tag("name", "Second Author")),
     )
     return written(xml_pages(p, entry, "feed"), "arxiv", one=True)
 
 
 _TITLE = "trim(regexp_replace(title, ' +', ' ', 'g'))"
+_SUMMARY = "trim(regexp_replace(replace(trim(abstract, ' ' || chr(9) || chr(10)), chr(10), ''), ' +', ' ', 'g'))"
 
 
-@query(f"""WITH {PAPERS} SELECT CAST(seq AS VARCHAR) AS comments, {_TITLE} AS title, {_TITLE} AS abstract, venue || ' journal' AS venue, 'Journal' AS category, CASE lang WHEN 'en' THEN 'Databases' WHEN 'fr' THEN 'Optics' ELSE '' END AS subjects,
+@query(f"""WITH {PAPERS} SELECT CAST(seq AS VARCHAR) AS comments, {_TITLE} AS title, {_SUMMARY} AS abstract, venue || ' journal' AS venue, 'Journal' AS category, CASE lang WHEN 'en' THEN 'Databases' WHEN 'fr' THEN 'Optics' ELSE '' END AS subjects,
   author || '|Second Author' AS authors, url AS urls, publication_date FROM papers WHERE trim(title) <> ''""")
 def q_capture_arxiv(spark, d):
     q = F.col("publication")
@@ -84,39 +85,45 @@ def q_capture_arxiv(spark, d):
     return out.select("comments", "title", "abstract", q["title"].alias("venue"), q["category"].alias("category"), F.array_join(q["subject_areas"], ",").alias("subjects"), F.array_join("authors", "|").alias("authors"), F.array_join("urls", "|").alias("urls"), "publication_date")
 
 
+def cdata(text: Column) -> Column:
+    return F.concat(F.lit("<![CDATA["), F.replace(text, F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit("]]>"))
+
+
 def pubmed_capture(p: DataFrame) -> str:
-    q, day = F.col("publication"), F.col("publication_date")
+    """Records as the source gives them: inline markup, comments, CDATA and references in titles, abstracts and keywords."""
+    q, day, title = F.col("publication"), F.col("publication_date"), F.col("title")
+    head, tail = F.substr(title, F.lit(1), F.lit(9)), F.substr(title, F.lit(10))
+    marked = F.concat(F.lit("A&#233;<i class='x>y'>&lt;"), xml(head), F.lit("</i><!-- no > yes --><sub/>"), cdata(tail), F.lit(" &#x41;&amp;lt;"))
     part = lambda name, pattern: tag(name, F.date_format(day, pattern))
-    abstract = F.when(F.col("seq") % 3 == 0, F.lit("")).otherwise(tag("Abstract", tag("AbstractText", xml(F.col("title"))), tag("AbstractText", xml(q["title"]))))
+    abstract = F.when(F.col("seq") % 3 == 0, F.lit("")).otherwise(tag("Abstract", F.lit('<AbstractText Label="A > B">'), xml(F.col("abstract")), F.lit("</AbstractText>"), tag("AbstractText", cdata(q["title"]))))
     article = tag(
-        "Article", tag("Journal", F.coalesce(tag("ISSN", q["issn"]), F.lit("")), tag("Title", q["title"]), tag("JournalIssue", tag("PubDate", part("Year", "yyyy"), part("Month", "MMM")))), tag("ArticleTitle", xml(F.col("title"))),
+        "Article", tag("Journal", F.coalesce(tag("ISSN", q["issn"]), F.lit("")), tag("Title", q["title"]), tag("JournalIssue", tag("PubDate", part("Year", "yyyy"), part("Month", "MMM")))), tag("ArticleTitle", marked),
         tag("Pagination", tag("MedlinePgn", F.col("seq").cast("string"), "-", (F.col("seq") + 9).cast("string"))), abstract, tag("AuthorList", tag("Author", tag("LastName", F.col("authors")[0])), tag("Author", tag("LastName", "Author"), tag("ForeName", "Second"))),
     )
     ids = F.concat(F.lit('<ArticleId IdType="pubmed">'), F.col("seq").cast("string"), F.lit("</ArticleId>"), F.coalesce(F.concat(F.lit('<ArticleId IdType="doi">'), F.col("doi"), F.lit("</ArticleId>")), F.lit("")))
-    record = tag("PubmedArticle", tag("MedlineCitation", tag("PMID", F.col("seq").cast("string")), article, tag("KeywordList", F.lit('<Keyword MajorTopicYN="N">'), F.col("keywords")[0], F.lit("</Keyword>"))), tag("PubmedData", tag("ArticleIdList", ids)))
+    record = tag("PubmedArticle", tag("MedlineCitation", tag("PMID", F.col("seq").cast("string")), article, tag("KeywordList", F.lit('<Keyword MajorTopicYN="N">granular <i>'), F.col("keywords")[0], F.lit("</i></Keyword>"))), tag("PubmedData", tag("ArticleIdList", ids)))
     return written(xml_pages(p, record, "PubmedArticleSet"), "pubmed", one=True)
 
 
-@query(f"""WITH {PAPERS} SELECT seq || '-' || (seq + 9) AS pages, trim(title) AS title, trim(title) || chr(10) || venue AS abstract, author || '|Second Author' AS authors, venue, issn, 'Journal' AS category, CAST(date_trunc('month', publication_date) AS DATE) AS publication_date, doi, 10 AS number_of_pages, lang AS keywords
-FROM papers WHERE trim(title) <> '' AND seq % 3 <> 0""")
+@query(f"""WITH {PAPERS} SELECT seq || '-' || (seq + 9) AS pages, 'Aé<' || title || ' A&lt;' AS title, trim(replace(replace(abstract, chr(13) || chr(10), chr(10)), chr(13), chr(10)), ' ' || chr(9) || chr(10)) || chr(10) || venue AS abstract, author || '|Second Author' AS authors, venue, issn, 'Journal' AS category, CAST(date_trunc('month', publication_date) AS DATE) AS publication_date, doi, 10 AS number_of_pages, 'granular ' || lang AS keywords
+FROM papers WHERE seq % 3 <> 0""")
 def q_capture_pubmed(spark, d):
     """A third of the records has no abstract; these are dropped."""
     q = F.col("publication")
     out = normalize.pubmed(captures.read_pubmed(spark, pubmed_capture(papers(spark, d))))
-    abstract = F.array_join(F.transform(F.split("abstract", "\n"), lambda x: F.trim(x)), "\n")
-    return out.select("pages", "title", abstract.alias("abstract"), F.array_join("authors", "|").alias("authors"), q["title"].alias("venue"), q["issn"].alias("issn"), q["category"].alias("category"), "publication_date", "doi", "number_of_pages", F.array_join("keywords", "|").alias("keywords"))
+    return out.select("pages", "title", "abstract", F.array_join("authors", "|").alias("authors"), q["title"].alias("venue"), q["issn"].alias("issn"), q["category"].alias("category"), "publication_date", "doi", "number_of_pages", F.array_join("keywords", "|").alias("keywords"))
 
 
 def ieee_capture(p: DataFrame) -> str:
     q = F.col("publication")
     entry = F.struct(
-        "title", F.col("title").alias("abstract"), F.date_format("publication_date", "dd MMM yyyy").alias("publication_date"), F.year("publication_date").alias("publication_year"), "doi", F.col("citations").alias("citing_paper_count"), q["title"].alias("publication_title"), q["issn"].alias("issn"), q["publisher"].alias("publisher"),
+        "title", "abstract", F.date_format("publication_date", "dd MMM yyyy").alias("publication_date"), F.year("publication_date").alias("publication_year"), "doi", F.col("citations").alias("citing_paper_count"), q["title"].alias("publication_title"), q["issn"].alias("issn"), q["publisher"].alias("publisher"),
         q["category"].alias("content_type"), F.col("urls")[0].alias("pdf_url"), F.struct(F.struct(F.col("keywords").alias("terms")).alias("author_terms")).alias("index_terms"), F.struct(F.transform("authors", lambda a: F.struct(a.alias("full_name"))).alias("authors")).alias("authors"), F.col("seq").cast("string").alias("start_page"), (F.col("seq") + 9).cast("string").alias("end_page"),
     )
     return written(pages_of(p, entry, lambda e: F.struct(F.size(e).alias("total_records"), e.alias("articles"))), "ieee", one=True)
 
 
-@query(f"""WITH {PAPERS} SELECT seq || '-' || (seq + 9) AS pages, title, title AS abstract, author || '|Second Author' AS authors, venue, category, issn, publisher, publication_date, doi, citations, lang AS keywords, url AS urls, 10 AS number_of_pages FROM papers WHERE title <> ''""")
+@query(f"""WITH {PAPERS} SELECT seq || '-' || (seq + 9) AS pages, title, abstract, author || '|Second Author' AS authors, venue, category, issn, publisher, publication_date, doi, citations, lang AS keywords, url AS urls, 10 AS number_of_pages FROM papers WHERE title <> ''""")
 def q_capture_ieee(spark, d):
     q = F.col("publication")
     out = normalize.ieee(captures.read_ieee(spark, ieee_capture(papers(spark, d))))
@@ -132,13 +139,13 @@ def scopus_capture(p: DataFrame) -> tuple[str, str]:
     )
     results = written(pages_of(p, entry, lambda e: F.struct(F.struct(F.size(e).cast("string").alias("opensearch:totalResults"), e.alias("entry")).alias("search-results"))), "scopus", one=True)
     record = F.concat(
-        F.lit('<?xml version="1.0"?><abstracts-retrieval-response>'), tag("prism:url", F.lit("https://example.org/abstract/"), s), tag("ce:para", "\n Caf&#233; <i>no.</i> ", s, " &lt;&#x41;&gt;"), tag("ce:indexed-name", "B"), tag("ce:indexed-name", "A"), tag("ce:indexed-name", "B"),
+        F.lit('<?xml version="1.0"?><abstracts-retrieval-response>'), tag("prism:url", F.lit("https://example.org/abstract/"), s), tag("ce:para", "\n Caf&#233; <i>no.</i> ", s, " &lt;&#x41;&gt;", xml(F.col("abstract")), F.lit("<!-- end -->.")), tag("ce:indexed-name", "B"), tag("ce:indexed-name", "A"), tag("ce:indexed-name", "B"),
         tag("author-keyword", "k"), tag("prism:startingPage", s), tag("prism:endingPage", (F.col("seq") + 6).cast("string")), F.lit("</abstracts-retrieval-response>"),
     )
     return results, written(p.select(record.alias("value")).repartition(3), "details")
 
 
-@query(f"""WITH {PAPERS} SELECT url AS urls, title, 'Café no. ' || seq || ' <A>' AS abstract, 'B|A' AS authors, venue, category, issn, publisher, publication_date, doi, citations, 'k' AS keywords, 7 AS number_of_pages FROM papers WHERE title <> ''""")
+@query(f"""WITH {PAPERS} SELECT url AS urls, title, 'Café no. ' || seq || ' <A>' || replace(replace(abstract, chr(13) || chr(10), chr(10)), chr(13), chr(10)) || '.' AS abstract, 'B|A' AS authors, venue, category, issn, publisher, publication_date, doi, citations, 'k' AS keywords, 7 AS number_of_pages FROM papers WHERE title <> ''""")
 def q_capture_scopus(spark, d):
     q = F.col("publication")
     results, details = scopus_capture(papers(spark, d))
@@ -147,11 +154,11 @@ def q_capture_scopus(spark, d):
 
 
 def rxiv_capture(p: DataFrame) -> str:
-    entry = F.struct("title", F.col("title").alias("abstract"), F.concat(F.col("authors")[0], F.lit("; Second Author;")).alias("authors"), F.date_format("publication_date", "yyyy-MM-dd").alias("date"), F.concat(F.lit("10.1101/"), "seq").alias("doi"), F.coalesce(F.replace("doi", F.lit("/"), F.lit("\\/")), F.lit("NA")).alias("published"))
+    entry = F.struct("title", "abstract", F.concat(F.col("authors")[0], F.lit("; Second Author;")).alias("authors"), F.date_format("publication_date", "yyyy-MM-dd").alias("date"), F.concat(F.lit("10.1101/"), "seq").alias("doi"), F.coalesce(F.replace("doi", F.lit("/"), F.lit("\\/")), F.lit("NA")).alias("published"))
     return written(pages_of(p, entry, lambda e: F.struct(e.alias("collection"))), "rxiv", one=True)
 
 
-_RXIV = "title, title AS abstract, author || '|Second Author' AS authors, publication_date, coalesce(doi, '10.1101/' || seq) AS doi, 'https://doi.org/' || coalesce(doi, '10.1101/' || seq) AS urls FROM papers WHERE title <> ''"
+_RXIV = "title, abstract, author || '|Second Author' AS authors, publication_date, coalesce(doi, '10.1101/' || seq) AS doi, 'https://doi.org/' || coalesce(doi, '10.1101/' || seq) AS urls FROM papers WHERE title <> ''"
 
 
 @query(f"WITH {PAPERS} SELECT 'medRxiv' AS source, {_RXIV} AND seq % 6 = 4 UNION ALL SELECT 'bioRxiv', {_RXIV} AND seq % 6 = 5")

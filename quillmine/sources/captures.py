@@ -15,8 +15,7 @@ from ..schema import SEARCH, conform
 
 ARXIV = "title string, published string, summary string, `arxiv:journal_ref` string, `arxiv:doi` string, `arxiv:comment` string, category array<struct<`@term`: string>>, link array<struct<`@href`: string>>, author array<struct<name: string>>"
 PUBMED = """MedlineCitation struct<PMID: string, Article: struct<Journal: struct<ISSN: string, Title: string, JournalIssue: struct<PubDate: struct<Year: string, Month: string, Day: string>>>,
-  ArticleTitle: string, Pagination: struct<MedlinePgn: string>, Abstract: struct<AbstractText: array<string>>, AuthorList: struct<Author: array<struct<LastName: string, ForeName: string>>>,
-  ArticleDate: struct<Year: string, Month: string, Day: string>>, KeywordList: struct<Keyword: array<string>>>,
+  Pagination: struct<MedlinePgn: string>, AuthorList: struct<Author: array<struct<LastName: string, ForeName: string>>>, ArticleDate: struct<Year: string, Month: string, Day: string>>>,
   PubmedData struct<ArticleIdList: struct<ArticleId: array<struct<`@IdType`: string, `#text`: string>>>>"""
 IEEE = """total_records int, articles array<struct<title: string, publication_date: string, publication_year: string, doi: string, citing_paper_count: string, abstract: string, publication_title: string, isbn: string, issn: string,
   publisher: string, content_type: string, pdf_url: string, index_terms: struct<author_terms: struct<terms: array<string>>>, authors: struct<authors: array<struct<full_name: string>>>, start_page: string, end_page: string>>"""
@@ -40,8 +39,11 @@ def _placed(df: DataFrame) -> DataFrame:
     return _paged(df).withColumn("position", F.row_number().over(Window.partitionBy("file").orderBy("place"))).drop("file", "place")
 
 
+XML_OPTIONS = {"attributePrefix": "@", "valueTag": "#text", "mode": "PERMISSIVE"}
+
+
 def _xml(spark: SparkSession, path: str, row: str, schema: str) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", row).option("attributePrefix", "@").option("valueTag", "#text").option("mode", "PERMISSIVE").schema(schema).load(path)
+    return spark.read.format("xml").options(rowTag=row, **XML_OPTIONS).schema(schema).load(path)
 
 
 def _json(spark: SparkSession, path: str, schema: str, entries: str) -> DataFrame:
@@ -50,12 +52,60 @@ def _json(spark: SparkSession, path: str, schema: str, entries: str) -> DataFram
     return _paged(read).select("page", F.posexplode(entries).alias("position", "entry")).select("page", "position", "entry.*")
 
 
+#: A tag's attributes: values may hold what looks like the tag's end.
+_ATTRIBUTES = r"""(?:\s(?:[^<>"']|"[^"]*+"|'[^']*+')*+)?"""
+_TAG = r"""</?[A-Za-z_:](?:[^<>"']|"[^"]*+"|'[^']*+')*+>"""
+
+
+def markup(xml: Column) -> Column:
+    """XML in which only tags, references and text are left: comments and instructions are gone, CDATA is escaped text."""
+    tokens = lambda x: F.regexp_extract_all(x, F.lit(r"(?s)<!\[CDATA\[.*?\]\]>|<!--.*?-->|<\?.*?\?>|[^<]++|<"), 0)
+
+    def plain(t: Column) -> Column:
+        inner = F.substr(t, F.lit(10), F.length(t) - 12)
+        for char, name in (("&", "amp"), ("<", "lt"), (">", "gt")):
+            inner = F.replace(inner, F.lit(char), F.lit(f"&{name};"))
+        return F.when(t.startswith("<![CDATA["), inner).when(t.startswith("<!--") | t.startswith("<?"), F.lit("")).otherwise(t)
+
+    xml = F.replace(F.replace(xml, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))  # line ends, as XML reads them
+    special = xml.contains("<!") | xml.contains("<?")
+    return F.when(special, F.array_join(F.transform(tokens(xml), plain), "")).otherwise(xml)
+
+
+def inside(xml: Column, tag: str) -> Column:
+    """What each element of this name holds, in order, of XML as markup() leaves it; elements of a name don't nest."""
+    return F.regexp_extract_all(xml, F.lit(rf"(?s)<{tag}{_ATTRIBUTES}(?<!/)>(.*?)</{tag}\s*>"), 1)
+
+
+def first_inside(xml: Column, tag: str) -> Column:
+    return F.get(inside(xml, tag), F.lit(0))
+
+
+def _records(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """file, start, place and xml of each element of this name. Files are cut at the element's end, so that large ones are
+    read by many tasks; what stands before and after the elements is no record."""
+    end = f"</{tag}>"
+    raw = spark.read.option("lineSep", end).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+    record = F.regexp_extract("value", rf"(?s)<{tag}(?:\s[^>]*)?>.*", 0)
+    return raw.select("file", "start", "place", record.alias("xml")).filter("xml <> ''").withColumn("xml", F.concat("xml", F.lit(end)))
+
+
 def read_arxiv(spark: SparkSession, path: str) -> DataFrame:
     return _placed(_xml(spark, path, "entry", ARXIV))
 
 
 def read_pubmed(spark: SparkSession, path: str) -> DataFrame:
-    return _placed(_xml(spark, path, "PubmedArticle", PUBMED))
+    """Fields of fixed shape by the XML parser; title, abstract and keywords, whose text has inline markup, as plain text in
+    the order of the document."""
+    records = _records(spark, path, "PubmedArticle").withColumn("clean", markup(F.col("xml")))
+    article = first_inside(F.col("clean"), "Article")
+    flat = lambda part, tag: F.transform(inside(part, tag), plain_text)
+    read = records.select(
+        "file", "start", "place", F.from_xml("xml", PUBMED, XML_OPTIONS).alias("x"), F.get(flat(article, "ArticleTitle"), F.lit(0)).alias("title_text"),
+        flat(first_inside(article, "Abstract"), "AbstractText").alias("abstract_texts"), flat(F.array_join(inside(F.col("clean"), "KeywordList"), ""), "Keyword").alias("keyword_texts"),
+    )
+    order = F.row_number().over(Window.partitionBy("file").orderBy("start", "place"))
+    return _paged(read).withColumn("position", order).select("page", "position", "x.*", "title_text", "abstract_texts", "keyword_texts")
 
 
 def read_ieee(spark: SparkSession, path: str) -> DataFrame:
@@ -79,7 +129,8 @@ def read_scopus_details(spark: SparkSession, path: str) -> DataFrame:
     is keyed by the address in it, or by its file's name without its ending."""
     files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     whole = files.select("file", F.explode(F.filter(F.split("value", r"(?=<\?xml )"), lambda x: F.trim(x) != "")).alias("value"))
-    many = lambda tag: F.transform(F.regexp_extract_all("value", F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), 1), plain_text)
+    whole = whole.withColumn("clean", markup(F.col("value")))
+    many = lambda tag: F.transform(inside(F.col("clean"), tag), plain_text)
     one = lambda tag: F.get(many(tag), F.lit(0))
     return whole.select(
         F.coalesce(one("prism:url"), F.regexp_extract("file", r"([^/]*?)(\.[a-z]+)?$", 1)).alias("url"), many("ce:para").alias("abstracts"), many("ce:indexed-name").alias("authors"), many("author-keyword").alias("keywords"),
@@ -88,19 +139,23 @@ def read_scopus_details(spark: SparkSession, path: str) -> DataFrame:
 
 
 def plain_text(xml: Column) -> Column:
-    """Text nodes in document order, markup removed, numeric references and the five named entities decoded."""
-    out = F.regexp_replace(xml, "<[^>]*>", "")
+    """Text nodes in document order of XML as markup() leaves it: tags removed, numeric references and the five named
+    entities decoded, each once."""
+    out = F.regexp_replace(xml, _TAG, "")
     # pieces between numeric references, and the references themselves by turns
     pieces = F.split(out, "&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", -1)
     numbers = F.regexp_extract_all(out, F.lit("&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), 1)
     point = lambda x: F.when(F.lower(x).startswith("x"), F.conv(F.substr(x, F.lit(2)), 16, 10)).otherwise(x).cast("int")
     known = lambda p: ((p >= 0) & (p < 0xD800)) | ((p > 0xDFFF) & (p <= 0x10FFFF))
     utf8 = lambda p: F.decode(F.unhex(F.lpad(F.hex(F.when(known(p), p).otherwise(0xFFFD)), 8, "0")), "UTF-32")
-    decoded = F.transform(numbers, lambda x: utf8(point(x)))
-    out = F.when(F.size(numbers) > 0, F.array_join(F.zip_with(pieces, decoded, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(out)
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return F.btrim(out, F.lit(" \n\r\t"))
+
+    def named(text: Column) -> Column:
+        for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+            text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+        return text
+
+    joined = F.array_join(F.zip_with(F.transform(pieces, named), F.transform(numbers, lambda x: utf8(point(x))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.btrim(F.when(F.size(numbers) > 0, joined).otherwise(named(out)), F.lit(" \n\r\t"))
 
 
 def read_rxiv_results(spark: SparkSession, path: str) -> DataFrame:

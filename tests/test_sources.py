@@ -44,6 +44,30 @@ def test_pubmed(spark, tmp_path):
     assert (b.title, b.publication_date, b.doi) == ("Exact day", dt.date(2020, 1, 5), None)
 
 
+def test_pubmed_markup_is_plain_text(spark, tmp_path):
+    """Text nodes in the order of the document: inline tags, comments, instructions, CDATA and references."""
+    title = "A <i>Bold</i> case of H<sub>2</sub>O &amp;lt; &#38;lt; <!-- no > yes --><![CDATA[p < 0.05 & <b>]]><?x y>z?>"
+    record = PUBMED.replace("On ships", title).replace("<AbstractText>One.", '<AbstractText Label="A > B">See <![CDATA[x]]>\r\n<b a=\'>\'>One</b>.').replace('N">boats', 'N">granular <i>c</i>')
+    record = record.replace("</Abstract>", "</Abstract><OtherAbstract><AbstractText>not this</AbstractText></OtherAbstract>", 1)
+    a, _ = n.pubmed(captures.read_pubmed(spark, put(tmp_path, "p.xml", record))).orderBy("seq").collect()
+    assert a.title == "A Bold case of H2O &lt; &lt; p < 0.05 & <b>"
+    assert a.abstract == "See x\nOne.\nTwo." and a.keywords == ["granular c", "sails"]
+    got = spark.createDataFrame([("a<x/>b<x>1</x><x y='<>'>2</x ><xy>3</xy>",)], "t string").select(captures.inside(captures.markup(F.col("t")), "x").alias("x")).first().x
+    assert got == ["1", "2"]
+
+
+def test_pubmed_records_of_a_split_file_keep_their_order(spark, tmp_path):
+    one = PUBMED[PUBMED.index("<PubmedArticle>") : PUBMED.index("</PubmedArticle>") + 16]
+    path = put(tmp_path, "many.xml", "<Set>" + "".join(one.replace("On ships", f"Ship {i}") for i in range(300)) + "</Set>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = n.pubmed(captures.read_pubmed(spark, path)).orderBy("seq").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.title for r in rows] == [f"Ship {i}" for i in range(300)]
+
+
 def test_ieee(spark, tmp_path):
     full = {"title": "T", "publication_date": "1-3 Mar 2020", "publication_year": 2020, "doi": "10.1/i", "citing_paper_count": 7, "abstract": "x", "publication_title": "Conf", "isbn": "9", "publisher": "P", "content_type": "Conferences", "pdf_url": "http://pdf", "index_terms": {"author_terms": {"terms": ["b", "a"]}}, "authors": {"authors": [{"full_name": "A B"}]}, "start_page": "7", "end_page": "3"}
     path = put(tmp_path, "i.json", {"total_records": 2, "articles": [full, {"title": "Bare", "publication_date": "Spring", "publication_year": 2018}]})

@@ -1,7 +1,8 @@
-"""Position bitmaps in bytes: only bytes that aren't zero are kept, each with its distance from the one before.
+"""Position bitmaps in bytes: of each word's bitmap only the bytes that aren't zero are kept, as entries (word, byte, mask).
 
-A bitmap has one entry for each such byte: its mask (8 positions) and its gap (bytes since the entry before; the first
-counts from 0). Gaps are single bytes; 255 stands for a gap of 255 or more, which follows in a list of its own.
+The entries of many words are stored by byte, so that what may meet in an AND stands together; an entry's byte is told by
+the step from the entry before. Steps are single bytes, of which 255 stands for a step of 255 or more that follows in a
+list of its own.
 """
 
 from __future__ import annotations
@@ -9,31 +10,26 @@ from __future__ import annotations
 import numpy as np
 
 
-def pack(word: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries of all words' bitmaps, by word and place: word, byte and mask. No word has a position twice."""
-    order = np.lexsort((pos, word))
-    w, p = word[order], pos[order]
-    at = p >> 3
-    new = np.r_[True, (w[1:] != w[:-1]) | (at[1:] != at[:-1])][: len(w)]
-    starts = np.flatnonzero(new)
-    bits = (1 << (p & 7)).astype(np.uint8)
-    return w[starts], at[starts], np.add.reduceat(bits, starts).astype(np.uint8) if len(starts) else bits
+def entries(word: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bitmaps of words at ascending positions, one word at each: word, byte and mask of every entry, by byte."""
+    at = pos >> 3
+    order = np.lexsort((word, at))
+    w, k, bits = word[order], at[order], (1 << (pos[order] & 7)).astype(np.uint8)
+    starts = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (k[1:] != k[:-1])][: len(w)])
+    return w[starts], k[starts], np.add.reduceat(bits, starts).astype(np.uint8) if len(starts) else bits
 
 
-def gaps_of(word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gaps of entries as bytes, whether a gap is long, and the long ones."""
-    first = np.r_[True, word[1:] != word[:-1]][: len(word)]
-    gap = at - np.where(first, 0, np.r_[0, at[:-1]][: len(at)])
-    long = gap >= 255
-    return np.minimum(gap, 255).astype(np.uint8), long, gap[long].astype("<u4")
+def steps_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps between the bytes of entries as bytes, and the long ones."""
+    step = np.diff(at, prepend=0)
+    return np.minimum(step, 255).astype(np.uint8), step[step >= 255].astype("<i8")
 
 
-def places(small: np.ndarray, long: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The bytes that entries stand for, of bitmaps that begin at starts and have counts entries (one at least)."""
-    gap = small.astype(np.int64)
-    gap[small == 255] = long
-    total = np.cumsum(gap)
-    return total - np.repeat(total[starts] - gap[starts], counts)
+def places(steps: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """The bytes of entries, from their steps."""
+    at = steps.astype(np.int64)
+    at[steps == 255] = long
+    return np.cumsum(at)
 
 
 class Rows:

@@ -1,17 +1,17 @@
 """Phrase collocations by position bitmaps, as SPAM mines sequences: shift, AND, count bits, depth first.
 
-Texts become segments of about SEGMENT words of one language; in each, every word has a compressed bitmap of its
-positions, and a position is left free between pieces, so that no shift leads from one piece into the next. Words that
-are frequent over all segments get a number and take their bitmaps into shards. A shard goes through its words a
-few at a time and extends each depth first: a phrase's bitmap, shifted by one and ANDed with a word's, is that of
-the longer phrase, and its bits are the phrase's occurrences. Shards send back counts, which are summed over all of
-them. A phrase can be frequent only if its parts are: they are looked up in a bit filter of fixed size made from the
-frequent shorter phrases. The filter lets some others through, whose sums then fail the threshold, so it never changes
-a result; where it is full it passes everything.
+Texts become shards of about SHARD words of one language; in each, every word has a compressed bitmap of its
+positions, and a position is left free between pieces, so that no shift leads from one piece into the next. A shard goes
+through its words a few at a time and extends each depth first: a phrase's bitmap, shifted by one and ANDed with a
+word's, is that of the longer phrase, and its bits are the phrase's occurrences. Shards send back counts, which are
+summed over all of them. A phrase can be frequent only if its parts are: they are looked up in bit filters of fixed size
+made from the frequent words and shorter phrases. A filter lets some others through, whose sums then fail the threshold,
+so it never changes a result; where it is full it passes everything. Bitmaps never leave their shard's row.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +25,9 @@ from ..scratch import Scratch
 from . import _bits, _words
 from ._shared import slices
 
-#: Words of a segment, about, and of a shard, about; entries that are extended together.
-SEGMENT, SHARD, TOGETHER = 1 << 20, 1 << 22, 1 << 17
-#: Bits of the filter of frequent phrases (16 MB), and of one of its pages.
+#: Words of a shard, about; entries that are extended together.
+SHARD, TOGETHER = 1 << 20, 1 << 16
+#: Bits of a filter of frequent phrases (16 MB), and of one of its pages.
 FILTER, PAGE = 1 << 27, 1 << 19
 #: Parts of a language's ranking that are cut to its first rows before they meet.
 PARTS = 256
@@ -38,7 +38,11 @@ BLANK = ENDS.copy()
 BLANK[[0x20, 0x09]] = True
 
 
-class Segment:
+#: What a shard's row holds: ids of its words, and its entries.
+PARTS_OF_SHARD = ("ids", "words", "masks", "steps", "long")
+
+
+class Shard:
     """Words and positions of one language, gathered until there are enough."""
 
     def __init__(self):
@@ -61,77 +65,53 @@ class Segment:
             self.words += len(starts)
             self.next += int(at[-1]) + 2
 
-    def rows(self, lang: str, number: int) -> pa.RecordBatch:
-        """A row for each word: its bitmap and the number of its bits."""
+    def rows(self, lang: str, seed: int) -> Iterator[pa.RecordBatch]:
+        """A row for each word, with its occurrences, and one with the bitmaps of all of them."""
         lengths, data = np.concatenate(self.lengths), np.concatenate(self.bytes)
-        offsets = np.r_[0, np.cumsum(lengths)]
-        found = pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
-        code, words = found.indices.to_numpy().astype(np.int64), found.dictionary.cast(pa.string())
-        w, at, mask = _bits.pack(code, np.concatenate(self.at))
-        small, long, big = _bits.gaps_of(w, at)
-        edges = np.searchsorted(w, np.arange(len(words) + 1)).astype(np.int32)
-        binary = lambda ends, raw: pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
-        longs = np.r_[0, np.cumsum(long)][edges] * 4
-        return pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(words), pa.string()), pa.array(np.full(len(words), number)), words, pa.array(np.bincount(code, minlength=len(words))), binary(edges, mask), binary(edges, small), binary(longs, big.view(np.uint8))],
-            names=["lang", "segment", "word", "n", "masks", "gaps", "long"],
-        )
-
-
-def segments(docs: DataFrame) -> DataFrame:
-    """lang, segment, word, n and the word's bitmap in the segment (masks, gaps, long)."""
+        offsets = np.r_[0, np.cumsum(lengths)].astype(np.int64)
+        found = pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        code, words = found.indices.to_numpy().astype(np.int64), found.dictionary
+        raw, at = _words.text_bytes(words)
+        own = _words.hash_runs(np.frombuffer(lang.encode() + b" ", np.uint8), np.array([0]), np.array([len(lang.encode()) + 1]))
+        ids = _words.mix(_words.hash_runs(raw, at[:-1], at[1:]) ^ _words.mix(own + np.uint64(seed))).view(np.int64)
+        n = np.bincount(code, minlength=len(words))
+        none = pa.nulls(len(words), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(ids), words.cast(pa.string()), pa.array(n), *[none] * 5], names=["lang", "id", "word", "n", *PARTS_OF_SHARD])
+        w, k, mask = _bits.entries(code, np.concatenate(self.at))
+        held = [ids, w.astype("<i4"), mask, *_bits.steps_of(k)]
+        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in held)], names=["lang", "id", "word", "n", *PARTS_OF_SHARD])
+
+
+def shards(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """lang, id, word, n of every shard's words, and a row without a word for each shard's bitmaps.
+
+    id is a hash of language, word and seed.
+    """
     narrow = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Segment] = {}
-        number = TaskContext.get().partitionId() << 32
+        held: dict[str, Shard] = {}
         for batch in batches:
             for part in slices(batch):
                 for lang in pc.unique(part.column(0)).to_pylist():
-                    held.setdefault(lang, Segment()).add(part.filter(pc.equal(part.column(0), lang)).column(1))
-                full = [x for x, s in held.items() if s.words >= SEGMENT]
-                if not full and sum(s.words for s in held.values()) >= 2 * SEGMENT:  # many languages: the fullest goes
+                    held.setdefault(lang, Shard()).add(part.filter(pc.equal(part.column(0), lang)).column(1))
+                full = [x for x, s in held.items() if s.words >= SHARD]
+                if not full and sum(s.words for s in held.values()) >= 2 * SHARD:  # many languages: the fullest goes
                     full = [max(held, key=lambda x: held[x].words)]
                 for lang in full:
-                    yield held.pop(lang).rows(lang, number)
-                    number += 1
-        for lang, segment in held.items():
-            if segment.words:
-                yield segment.rows(lang, number)
-                number += 1
-
-    return narrow.mapInArrow(run, "lang string, segment bigint, word string, n bigint, masks binary, gaps binary, long binary")
-
-
-def flat(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
-    """The bytes of all values of a binary column as one array."""
-    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
-    return np.concatenate([np.frombuffer(_words.text_bytes(c)[0], kind) for c in chunks] or [np.empty(0, kind)])
-
-
-def shard(t: pa.Table) -> pa.Table:
-    """One row for the segments of a shard: its words' numbers and the entries of their bitmaps by byte."""
-    id_, segment = t.column("id").to_numpy(), t.column("segment").to_numpy()
-    mask, small = flat(t.column("masks"), np.uint8), flat(t.column("gaps"), np.uint8)
-    counts = pc.binary_length(t.column("masks")).to_numpy().astype(np.int64)
-    at = _bits.places(small, flat(t.column("long"), "<u4"), np.cumsum(counts) - counts, counts)
-    ids, word = np.unique(id_, return_inverse=True)
-    _, part = np.unique(segment, return_inverse=True)
-    last = np.zeros(part.max() + 1, np.int64)
-    np.maximum.at(last, part, np.maximum.reduceat(at, np.cumsum(counts) - counts))
-    at += np.repeat((np.cumsum(last + 2) - (last + 2))[part], counts)  # segments one after another, a free byte between
-    order = np.argsort(at, kind="stable")
-    word = np.repeat(word, counts)[order].astype("<i4")
-    step = np.diff(at[order], prepend=0)
-    raw = [ids.astype("<i8"), word, mask[order], np.minimum(step, 255).astype(np.uint8), step[step >= 255].astype("<i8")]
-    return pa.table({n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("ids", "words", "masks", "steps", "long"), raw, strict=True)})
+                    yield from held.pop(lang).rows(lang, seed)
+        for lang, one in held.items():
+            if one.words:
+                yield from one.rows(lang, seed)
+
+    return narrow.mapInArrow(run, "lang string, id bigint, word string, n bigint, " + ", ".join(f"{x} binary" for x in PARTS_OF_SHARD))
 
 
 def hashed(ids: list[np.ndarray]) -> np.ndarray:
-    """A hash of each phrase, given as columns of its words' numbers."""
+    """A hash of each phrase, given as columns of its words' ids."""
     out = np.full(len(ids[0]), np.uint64(len(ids)) + np.uint64(0x51ED))
     for x in ids:
-        out = _words.mix(out * _words.FACTOR + x.astype(np.uint64))
+        out = _words.mix(out * _words.FACTOR + x.view(np.uint64))
     return out
 
 
@@ -168,9 +148,9 @@ def passes(bits: np.ndarray, ids: list[np.ndarray]) -> np.ndarray:
 
 
 def extend(ids: np.ndarray, rows: _bits.Rows, size: int, filters: dict[int, np.ndarray]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """Phrases of `size` words of a shard, as columns of numbers, and their occurrences there; first words in order.
+    """Phrases of `size` words of a shard, as columns of ids, and their occurrences there; first words in order.
 
-    filters has the frequent phrases of 2 to size - 1 words: a phrase goes on only if its last words pass.
+    filters has the frequent phrases of 1 to size - 1 words: a phrase goes on only if its last words pass.
     """
     by_word = np.argsort(rows.word, kind="stable")
     sorted_words = rows.word[by_word]
@@ -207,23 +187,22 @@ def extend(ids: np.ndarray, rows: _bits.Rows, size: int, filters: dict[int, np.n
                 yield [ids[x] for x in nodes], n
 
 
-def phrase_counts(shards: DataFrame, size: int, filters: dict[int, bytes], least: int) -> DataFrame:
+def phrase_counts(bitmaps: DataFrame, size: int, filters: dict[int, bytes], least: int) -> DataFrame:
     """ids and f of phrases of `size` words that occur at least `least` times: counts of all shards, summed."""
     names = [f"w{i}" for i in range(size)]
-    sent = shards.sparkSession.sparkContext.broadcast(filters)  # FILTER bits each
+    sent = bitmaps.sparkSession.sparkContext.broadcast(filters)  # FILTER bits each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = {k: np.frombuffer(v, np.uint8) for k, v in sent.value.items()}
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, word, mask, step, long = (np.frombuffer(batch.column(i)[row].as_buffer(), k) for i, k in enumerate(("<i8", "<i4", np.uint8, np.uint8, "<i8")))
-                at = step.astype(np.int64)
-                at[step == 255] = long
-                for phrase, n in extend(ids, _bits.Rows(word, np.cumsum(at), mask), size, bits):
+                ids, word, mask, steps, long = (np.frombuffer(batch.column(i)[row].as_buffer(), k) for i, k in enumerate(("<i8", "<i4", np.uint8, np.uint8, "<i8")))
+                at, there = _bits.places(steps, long), passes(bits[1], [ids])[word]
+                for phrase, n in extend(ids, _bits.Rows(word[there], at[there], mask[there]), size, bits):
                     for a in range(0, len(n), 1 << 16):
                         yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)]) for x in (*phrase, n)], names=[*names, "n"])
 
-    found = shards.mapInArrow(run, ", ".join(f"{x} bigint" for x in (*names, "n")))
+    found = bitmaps.mapInArrow(run, ", ".join(f"{x} bigint" for x in (*names, "n")))
     return found.groupBy(*names).agg(F.sum("n").alias("f")).filter(F.col("f") >= least).select(F.array(*names).alias("ids"), "f")
 
 
@@ -238,20 +217,19 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, within: int
     no rows; other columns aren't read.
     """
     scratch = Scratch(docs.sparkSession, "phrases")
-    cut = scratch.save(segments(docs), "segments")
-    words = scratch.save(cut.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
+    for seed in itertools.count():
+        cut = scratch.save(shards(docs, seed), "shards")
+        words = scratch.save(cut.filter("word is not null").groupBy("lang", "id", "word").agg(F.sum("n").alias("f")), "words")
+        # ids are hashes: two words may share one only if neither counts, or another seed tells them apart
+        if not words.groupBy("id").agg(F.count("*").alias("k"), F.max("f").alias("f")).filter((F.col("k") > 1) & (F.col("f") >= least)).limit(1).count():
+            break
     totals = scratch.save(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
-    numbered = scratch.save(words.filter(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "numbered")
-    spread = totals.select("lang", F.ceil(F.col("n") / SHARD).cast("int").alias("shards"))
-    own = cut.join(numbered.select("lang", "word", "id"), ["lang", "word"]).join(spread, "lang")
-    dealt = own.select("lang", F.pmod(F.xxhash64("segment"), F.col("shards")).cast("int").alias("shard"), "segment", "id", "masks", "gaps", "long")
-    shards = scratch.save(dealt.groupBy("lang", "shard").applyInArrow(shard, "ids binary, words binary, masks binary, steps binary, long binary"), "shards")
-    scratch.drop("segments")
+    numbered = scratch.save(words.filter(F.col("f") >= least), "frequent")
+    bitmaps = cut.filter("word is null").select(*PARTS_OF_SHARD)
     known, filters = {1: numbered.select(F.array("id").alias("ids"), "f")}, {}
     for size in range(2, longest + 1):
-        known[size] = scratch.save(phrase_counts(shards, size, filters, least), f"phrases{size}")
-        if size < longest:
-            filters[size] = filter_bits(known[size])
+        filters[size - 1] = filter_bits(known[size - 1])
+        known[size] = scratch.save(phrase_counts(bitmaps, size, filters, least), f"phrases{size}")
     scratch.drop("shards")
     parts = known[1]
     for size in range(2, longest):
@@ -268,7 +246,7 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, within: int
         cuts = phrases.select("ids", F.col("f").alias("a"), F.explode(F.array(*(F.lit(k) for k in range(1, size)))).alias("k"))
         halves = cuts.withColumn("left", F.expr("slice(ids, 1, k)")).withColumn("right", F.expr(f"slice(ids, k + 1, {size} - k)"))
         both = halves.join(parts.select(F.col("ids").alias("left"), F.col("f").alias("l")), "left").join(parts.select(F.col("ids").alias("right"), F.col("f").alias("r")), "right")
-        big = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731  products of counts below 10^16 fit
+        # exact below 10^16 occurrences
         score = F.expr("cast(cast(a as decimal(16,0)) * cast(a as decimal(16,0)) as decimal(32,0)) * cast(1000000 as decimal(7,0)) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
         scored.append(both.withColumn("score", score).groupBy("ids", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("c")).select("ids", "a", "c.l", "c.r", "c.score"))
     candidates = scored[0]

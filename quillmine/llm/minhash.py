@@ -296,8 +296,8 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs, with their columns, less all rows of each component of near-duplicates but one.
 
     That one has the component's smallest doc_id and, of rows that repeat it with different texts, the text with the
-    smallest hash. Rows that repeat both doc_id and text are one document: the one whose columns have the smallest
-    hash stays. Rows without words stay (one of those that repeat doc_id and text), and all rows with a null doc_id.
+    smallest hash. Rows that repeat both doc_id and text are one document: the one whose columns come first as
+    JSON stays. Rows without words stay (one of those that repeat doc_id and text), and all rows with a null doc_id.
     """
     scratch = Scratch(docs.sparkSession, "dropped")
     found = scratch.save(Search(docs, size, percent).run().filter("doc_id is not null"), "found")
@@ -307,13 +307,11 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     dropped = scratch.save(others.select("doc_id", "row").distinct(), "ids")
     repeated = found.groupBy("doc_id", "row").count().filter("count > 1").select("doc_id", "row")
     repeated = scratch.save(repeated.join(dropped, ["doc_id", "row"], "left_anti"), "repeated")
-    row = "row"
-    while row in docs.columns:
-        row += "_"
-    keyed, on = docs.withColumn(row, row_hash()), ["doc_id", row]
+    # docs' columns, whatever their names, go along in a struct
+    keyed, on = docs.select(F.col("doc_id").alias("of"), row_hash().alias("row"), F.struct(*docs.columns).alias("whole")), ["of", "row"]
     left = keyed.join(dropped.toDF(*on), on, "left_anti")
     if not repeated.limit(1).count():
-        return left.select(*docs.columns)
+        return left.select("whole.*")
     again = left.join(repeated.toDF(*on), on, "left_semi")
-    least = again.groupBy(*on).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("one")).select("one.*")
-    return left.join(repeated.toDF(*on), on, "left_anti").select(*docs.columns).unionByName(least)
+    least = again.groupBy(*on).agg(F.min_by("whole", F.to_json("whole")).alias("one")).select("one.*")
+    return left.join(repeated.toDF(*on), on, "left_anti").select("whole.*").unionByName(least)

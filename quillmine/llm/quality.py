@@ -218,7 +218,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep: bool
     at = columns.index("text")
     kept = [i for i in range(len(columns)) if keep or i != at]
     own = "quality_score"
-    while own in columns:  # a column of that name stays as it is
+    while own in {c.lower() for c in columns}:  # a column of that name, in any case, stays as it is
         own += "_"
     schema = ", ".join([*(f"`{columns[i]}` {given.schema[i].dataType.simpleString()}" for i in kept), f"{own} double"])
     names = [*(columns[i] for i in kept), own]

@@ -17,7 +17,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import map_text
+from ._shared import map_text, slices
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -204,12 +204,13 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
         import pyarrow as pa
 
         scanner = Scanner()
-        for batch in batches:
-            texts = batch.column(i).to_pylist()
-            for j, text in enumerate(texts):
-                for a, _, b in reversed(merged(scanner(text)) if text else []):
-                    texts[j] = texts[j][:a] + mark + texts[j][b:]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, c.type) if k == i else c for k, c in enumerate(batch.columns)], schema=batch.schema)
+        for whole in batches:
+            for batch in slices(whole, whole.schema.names[i]):
+                texts = batch.column(i).to_pylist()
+                for j, text in enumerate(texts):
+                    for a, _, b in reversed(merged(scanner(text)) if text else []):
+                        texts[j] = texts[j][:a] + mark + texts[j][b:]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, c.type) if k == i else c for k, c in enumerate(batch.columns)], schema=batch.schema)
 
     out = docs.mapInArrow(run, schema)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(schema["n_chars"].dataType)) if "n_chars" in columns else out

@@ -93,17 +93,26 @@ def write_bibtex(papers: DataFrame, path: str, credit_tool: bool = False) -> Non
     entries.write.option("lineSep", "\n").text(path)
 
 
+#: Bytes of a file's name that all common file systems take, with room for the ending of a half-written file.
+NAME = 200
+
+
+def bounded(name: Column) -> Column:
+    """A name of at most NAME bytes: longer ones are cut and end in a hash of the whole, so that they stay apart."""
+    return F.when(F.octet_length(name) <= NAME, name).otherwise(F.concat(F.substr(name, F.lit(1), F.lit(32)), F.lit("-"), F.sha2(name, 256), F.lit(".pdf")))
+
+
 def download_plan(papers: DataFrame) -> DataFrame:
     """paper_key, file_name, urls (all candidates in order), pdf_urls (what the hosts' rules make of them), collision.
 
-    Two papers of a year with the same cleaned title share a file name; the first by seq keeps it, the others have
+    Names are bounded in bytes. Two papers of a year with the same cleaned title share a file name; the first by seq keeps it, the others have
     collision set. Nothing is fetched here.
     """
     doi = F.when(F.col("doi").isNotNull(), F.array(F.concat(F.lit("http://doi.org/"), F.col("doi")))).otherwise(F.array().cast("array<string>"))
     urls = F.array_union(F.sort_array("urls"), doi)
     from pyspark.sql import Window
 
-    named = papers.select("paper_key", "seq", r.file_name(F.col("publication_date"), F.col("title")).alias("file_name"), urls.alias("urls"), F.col("doi"))
+    named = papers.select("paper_key", "seq", bounded(r.file_name(F.col("publication_date"), F.col("title"))).alias("file_name"), urls.alias("urls"), F.col("doi"))
     pdfs = F.filter(F.transform("urls", lambda u: r.pdf_url(u, F.col("doi"))), lambda u: u.isNotNull())
     taken = F.row_number().over(Window.partitionBy("file_name").orderBy("seq")) > 1
     return named.select("paper_key", "file_name", "urls", pdfs.alias("pdf_urls"), taken.alias("collision"))
@@ -118,7 +127,8 @@ def fetch(plan: DataFrame, folder: str, get) -> DataFrame:
     address and error.
 
     get(url) returns (content type, bytes) or None; it is called on executors, for the PDF addresses first, and what it
-    raises ends that address only. A finished file is moved to its name in one step, so a half one never counts; a file
+    raises ends that address only. What goes wrong with a paper's file (a name that the store refuses, a null one) ends that
+    paper only, and is its error in the log. A finished file is moved to its name in one step, so a half one never counts; a file
     that exists isn't fetched again. folder is a URI that all executors reach; the log joins those of earlier runs in
     folder/download.log, as JSON lines.
     """
@@ -127,33 +137,40 @@ def fetch(plan: DataFrame, folder: str, get) -> DataFrame:
 
     names = [f.split()[0] for f in LOG.split(", ")]
 
+    def one(fs, root: str, x: dict) -> None:
+        """Fetches one paper of the plan and notes in x what became of it."""
+        path = f"{root}/{x['file_name']}"
+        if x["collision"] or fs.get_file_info(path).is_file:
+            x["status"] = "[COLLECTED]"
+            return
+        for url in dict.fromkeys([*(x["pdf_urls"] or []), *(x["urls"] or [])]):
+            x["url"] = url
+            try:
+                got = get(url)
+                if not got or "application/pdf" not in got[0].lower():
+                    x["error"] = "no PDF"
+                    continue
+                part = f"{path}.{uuid.uuid4().hex}.part"
+                with fs.open_output_stream(part) as out:
+                    out.write(got[1])
+                fs.move(part, path)
+            except Exception as e:  # noqa: BLE001  the next address goes on
+                x["error"] = f"{type(e).__name__}: {e}"[:500]
+                continue
+            x |= {"status": "[DOWNLOADED]", "error": None}
+            return
+
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         for b in batches:
             rows = b.to_pylist()
             for x in rows:
-                path = f"{root}/{x['file_name']}"
                 x |= {"status": "[FAILED]", "url": None, "error": None}
-                if x["collision"] or fs.get_file_info(path).is_file:
-                    x["status"] = "[COLLECTED]"
-                    continue
-                for url in dict.fromkeys([*(x["pdf_urls"] or []), *(x["urls"] or [])]):
-                    x["url"] = url
-                    try:
-                        got = get(url)
-                        if not got or "application/pdf" not in got[0].lower():
-                            x["error"] = "no PDF"
-                            continue
-                        part = f"{path}.{uuid.uuid4().hex}.part"
-                        with fs.open_output_stream(part) as out:
-                            out.write(got[1])
-                        fs.move(part, path)
-                    except Exception as e:  # noqa: BLE001  the next address, and the other papers, go on
-                        x["error"] = f"{type(e).__name__}: {e}"[:500]
-                        continue
-                    x |= {"status": "[DOWNLOADED]", "error": None}
-                    break
+                try:
+                    one(fs, root, x)
+                except Exception as e:  # noqa: BLE001  the other papers go on
+                    x["error"] = f"{type(e).__name__}: {e}"[:500]
             yield pa.RecordBatch.from_pylist([{k: x[k] for k in names} for x in rows], schema=pa.schema([(k, pa.string()) for k in names]))
 
     done = Scratch(plan.sparkSession, "fetch").save(plan.mapInArrow(run, LOG), "log")  # fetched once, however often it is read

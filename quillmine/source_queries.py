@@ -380,14 +380,15 @@ def offline_pdf(url: str) -> tuple[str, bytes] | None:
 
 
 @query(f"""WITH {PAPERS}, m AS (SELECT paper_key, min(seq) AS seq, any_value(doi) AS doi, arg_min(title, seq) AS title, arg_min(publication_date, seq) AS day FROM keyed GROUP BY paper_key),
-  f AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(year(day) || '-' || title, '[^\\p{{L}}\\p{{N}}_-]', '_', 'g') ORDER BY seq) > 1 AS collision FROM m)
-SELECT paper_key, CASE WHEN collision THEN '[COLLECTED]' WHEN doi IS NOT NULL AND doi NOT LIKE '%1' THEN '[DOWNLOADED]' ELSE '[FAILED]' END AS status FROM f""")
+  w AS (SELECT *, regexp_replace(year(day) || '-' || title, '[^\\p{{L}}\\p{{N}}_-]', '_', 'g') || '.pdf' AS whole FROM m),
+  o AS (SELECT *, CASE WHEN strlen(whole) <= 200 THEN whole ELSE substring(whole, 1, 32) || '-' || sha256(whole) || '.pdf' END AS file_name FROM w),
+  f AS (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY seq) > 1 AS collision FROM o)
+SELECT paper_key, file_name, CASE WHEN collision THEN '[COLLECTED]' WHEN doi IS NOT NULL AND doi NOT LIKE '%1' THEN '[DOWNLOADED]' ELSE '[FAILED]' END AS status FROM f""")
 def q_download(spark, d):
-    """A download over all papers: some addresses raise, most have no PDF, names collide."""
+    """A download over all papers, under their own names: some addresses raise, most have no PDF, names collide."""
     named = c.merge_papers(c.with_keys(papers(spark, d)), "paper_key")
     folder = Scratch(spark, "pdf").path("files")
-    short = documents.download_plan(named).withColumn("file_name", F.concat(F.sha1("file_name"), F.lit(".pdf")))  # titles here may be longer than a file's name
-    return documents.fetch(short, folder, offline_pdf).select("paper_key", "status")
+    return documents.fetch(documents.download_plan(named), folder, offline_pdf).select("paper_key", "file_name", "status")
 
 
 @query(f"WITH {PAPERS}, hit AS (SELECT * FROM keyed WHERE title <> '' AND {_has('abstract', 'the')} AND source IN ('PubMed', 'IEEE')) SELECT paper_key, min(seq) AS seq, arg_min(title, seq) AS title, max(citations) AS citations, string_agg(DISTINCT source, ',' ORDER BY source) AS databases, count(*) AS n FROM hit GROUP BY paper_key")

@@ -532,6 +532,19 @@ def test_stages_of_odd_rows(spark, edge, tmp_path):
     assert last(spark, df.limit(0), str(tmp_path)).collect() == []
 
 
+def test_stages_give_other_columns_back(spark, tmp_path):
+    """Columns whose names clash in another case, and a map, go through every stage untouched, repeated rows too."""
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    names = ["Row", "ROW_", "Quality_Score", "_Bytes", "Of", "Whole", "keep"]
+    rows = [(i, t, {"k": i}, *(f"{n} of {i}" for n in names)) for i, t in ((1, "a text of its own"), (2, "another one, longer than five words"), (2, "another one, longer than five words"), (None, "no id"))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, M map<string,int>, " + ", ".join(f"`{n}` string" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns
+        assert {str(r) for r in out.collect()} == {str(r) for r in df.collect()}
+    assert corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).count() == len(rows)
+
+
 def key_of(texts):
     return sorted(texts, key=str)
 

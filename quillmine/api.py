@@ -15,18 +15,20 @@ from .plans.query import QueryError
 from .schema import SOURCES, source_rank
 from .scratch import Scratch
 from .sinks import documents
-from .sources import captures
+from .sources import captures, live
 from .spec import SearchSpec
 
 log = logging.getLogger(__name__)
 READERS = {"arXiv": captures.read_arxiv, "PubMed": captures.read_pubmed, "IEEE": captures.read_ieee, "Scopus": captures.read_scopus, "medRxiv": captures.read_rxiv, "bioRxiv": captures.read_rxiv}
 
 
-def load_sources(spark: SparkSession, spec: SearchSpec, paths: dict[str, str]) -> DataFrame | None:
-    """Normalised papers of all captured sources that the search asks for and that have a path.
+def load_sources(spark: SparkSession, spec: SearchSpec, paths: dict[str, str], matching: bool = False, dead_letters: str | None = None) -> DataFrame | None:
+    """Normalised papers of all captured sources that the search asks for and that have a path; with matching, only those
+    that select() takes, so that dates and terms are applied before anything is written.
 
     Each source is read to the end and its papers written to the shared folder, so that one that can't be read, or whose
-    files turn out to be broken on the way, is left out and doesn't end the search.
+    files turn out to be broken on the way, is left out and doesn't end the search. Records that can't be read are left
+    out of the papers; with dead_letters, a folder, they are added there as Parquet: source, file, record.
     """
     out, scratch = None, Scratch(spark, "sources")
     for source in spec.databases:
@@ -34,7 +36,10 @@ def load_sources(spark: SparkSession, spec: SearchSpec, paths: dict[str, str]) -
             log.info("skipping %s", source)
             continue
         try:
-            papers = scratch.save(NORMALIZERS[source](READERS[source](spark, paths[source])), source)
+            read = NORMALIZERS[source](READERS[source](spark, paths[source]))
+            papers = scratch.save(select(read, spec) if matching else read, source)
+            if dead_letters:
+                captures.read_broken(spark, source, paths[source]).select(F.lit(source).alias("source"), "file", "record").write.mode("append").parquet(dead_letters)
         except Exception:  # noqa: BLE001  one source that fails doesn't end the search
             log.warning("%s can't be read", source, exc_info=True)
             continue
@@ -42,6 +47,17 @@ def load_sources(spark: SparkSession, spec: SearchSpec, paths: dict[str, str]) -
     return out
 
 
+def capture(spark: SparkSession, spec: SearchSpec, source: str, folder: str, token: str = "", **options) -> str:
+    """Captures what a live source has for the search, page by page, until the search's limits are reached or it ends; a
+    walk that broke goes on where it broke. Returns the folder, which search() reads."""
+
+    def accepted(session: SparkSession, path: str) -> DataFrame:
+        found = select(NORMALIZERS[source](READERS[source](session, path)), spec)
+        return consolidate.with_keys(found).select(F.col("paper_key").alias("key")).distinct()
+
+    return live.capture(spark, spec, source, folder, token, enough=accepted, **options)
+
+
 def select(papers: DataFrame, spec: SearchSpec) -> DataFrame:
     """Usable papers of the asked sources that match the query in its sources' field scopes, within the dates."""
     chosen = consolidate.usable(papers).filter(F.col("source").isin(*spec.databases))
@@ -83,10 +99,10 @@ def with_long_seq(papers: DataFrame) -> DataFrame:
     return papers.withColumn("seq", F.shiftleft(s["source"].cast("long"), 58) + F.shiftleft(s["page"], 28) + s["position"])
 
 
-def search(spark: SparkSession, outputpath: str | None, spec: SearchSpec, paths: dict[str, str], one_file: bool = False, **tables: DataFrame) -> DataFrame:
+def search(spark: SparkSession, outputpath: str | None, spec: SearchSpec, paths: dict[str, str], one_file: bool = False, dead_letters: str | None = None, **tables: DataFrame) -> DataFrame:
     """Searches captured sources and, with an output path, saves the result: a folder with the papers and the envelope, or
     with one_file one JSON document. What is returned is the saved result, so nothing is computed twice."""
-    papers = load_sources(spark, spec, paths)
+    papers = load_sources(spark, spec, paths, matching=True, dead_letters=dead_letters)
     if papers is None:
         raise ValueError("none of the asked sources can be read")
     result = run(papers, spec, **tables)
@@ -110,4 +126,4 @@ def download(spark: SparkSession, search_path: str, output_directory: str | None
     return documents.fetch(plan, output_directory, get) if output_directory and get else plan
 
 
-__all__ = ["SOURCES", "SearchSpec", "download", "generate_bibtex", "load_sources", "run", "search", "select", "source_rank"]
+__all__ = ["SOURCES", "SearchSpec", "capture", "download", "generate_bibtex", "load_sources", "run", "search", "select", "source_rank"]

@@ -197,6 +197,22 @@ def q_union_sources(spark, d):
     return rank.select("source", "n", (F.col("sum") + 1).alias("first"), (F.col("sum") + F.col("n")).alias("last"))
 
 
+@query(f"""WITH {PAPERS}, o AS (SELECT source, seq, trim(title) <> '' OR source = 'PubMed' AS titled, seq % 7 = 3 AS cut FROM papers WHERE source IN ('arXiv', 'PubMed', 'IEEE')),
+  p AS (SELECT source, CASE WHEN source = 'IEEE' THEN floor(seq / {PAGE}) ELSE seq END AS record, titled, source = 'PubMed' AND seq % 3 = 0 AS bare, CASE WHEN source = 'IEEE' THEN floor(seq / {PAGE}) % 3 = 1 ELSE cut END AS broken FROM o)
+SELECT source, count(*) FILTER (WHERE NOT broken AND titled AND NOT bare) AS good, count(DISTINCT record) FILTER (WHERE broken) AS broken FROM p GROUP BY source""")
+def q_dead_letters(spark, d):
+    """Captures with broken records (a tag that isn't closed, a JSON document cut off): good ones are read, broken ones kept."""
+    p, scratch = papers(spark, d), Scratch(spark, "broken")
+    arxiv, pubmed, ieee = (spark.read.text(f(p.filter(F.col("source") == s)), wholetext=True) for s, f in (("arXiv", arxiv_capture), ("PubMed", pubmed_capture), ("IEEE", ieee_capture)))
+    cut = lambda df, tag: df.select(F.array_join(F.transform(F.split("value", f"<{tag}>"), lambda x: F.when(F.regexp_extract(x, "^([0-9]+)<", 1).try_cast("long") % 7 == 3, F.regexp_replace(x, f"</{tag}>", f"</{tag}x>")).otherwise(x)), f"<{tag}>").alias("value"))
+    page = F.floor(F.regexp_extract("value", '"start_page":"([0-9]+)"', 1).try_cast("long") / PAGE)
+    paths = {"arXiv": written(cut(arxiv, "arxiv:comment"), "arxiv", one=True), "PubMed": written(cut(pubmed, "PMID"), "pubmed", one=True), "IEEE": written(ieee.select(F.when(page % 3 == 1, F.substr("value", F.lit(1), F.length("value") - 9)).otherwise(F.col("value")).alias("value")), "ieee", one=True)}
+    dead = scratch.path("dead")
+    good = api.load_sources(spark, SearchSpec("[the]", databases=tuple(paths)), paths, dead_letters=dead).groupBy("source").agg(F.count("*").alias("good"))
+    broken = spark.read.parquet(dead).groupBy("source").agg(F.count("*").alias("broken"))
+    return good.join(broken, "source", "full").select("source", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("broken", F.lit(0)).alias("broken"))
+
+
 @query(f"WITH {PAPERS}, m AS (SELECT paper_key, {_MERGE} FROM keyed GROUP BY paper_key) SELECT title, doi, publication_date, citations, databases, urls, abstract, comments, pages, CAST((SELECT count(*) FROM m) AS INT) AS number_of_papers FROM m")
 def q_saved_search(spark, d):
     """A consolidated search saved as one JSON document and read again, with the count that its envelope states."""

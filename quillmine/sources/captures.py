@@ -1,7 +1,7 @@
 """Readers of captured responses of the six sources, and of saved searches. Schemas are explicit.
 
-The XML reader gives an array even for a single child, so that shapes don't vary. Records that can't be read are
-dropped or null (PERMISSIVE), never an error. Every reader adds page and position, the place in the arrival order:
+The XML parser gives an array even for a single child, so that shapes don't vary. Records that can't be read are
+dropped or null (PERMISSIVE), never an error; read_broken() gives them. Every reader adds page and position, the place in the arrival order:
 the page is the file by name, the position the record's place in it. Files are numbered from a table with a row for each
 of them (a captured page holds hundreds of records), joined as Catalyst sees fit.
 """
@@ -33,19 +33,14 @@ def _paged(df: DataFrame) -> DataFrame:
     return df.join(pages, "file")
 
 
-def _placed(df: DataFrame) -> DataFrame:
-    """page and position for records that Spark reads out of whole files."""
-    df = df.withColumn("file", F.input_file_name()).withColumn("place", F.monotonically_increasing_id())  # no shuffle lies before: places follow the file
-    return _paged(df).withColumn("position", F.row_number().over(Window.partitionBy("file").orderBy("place"))).drop("file", "place")
+def _ordered(df: DataFrame) -> DataFrame:
+    """page and position for records of files(file, start, place)."""
+    return _paged(df).withColumn("position", F.row_number().over(Window.partitionBy("file").orderBy("start", "place")))
 
 
 XML_OPTIONS = {"attributePrefix": "@", "valueTag": "#text", "mode": "PERMISSIVE"}
 
 
-def _xml(spark: SparkSession, path: str, row: str, schema: str) -> DataFrame:
-    return spark.read.format("xml").options(rowTag=row, **XML_OPTIONS).schema(schema).load(path)
-
-
 def _json(spark: SparkSession, path: str, schema: str, entries: str) -> DataFrame:
     """A row for each entry of whole JSON documents, with its file's and its own place."""
     read = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path).withColumn("file", F.input_file_name())
@@ -91,7 +86,8 @@ def _records(spark: SparkSession, path: str, tag: str) -> DataFrame:
 
 
 def read_arxiv(spark: SparkSession, path: str) -> DataFrame:
-    return _placed(_xml(spark, path, "entry", ARXIV))
+    """Entries are parsed one by one, so that a broken one costs none of those that follow in its file."""
+    return _ordered(_records(spark, path, "entry").select("file", "start", "place", F.from_xml("xml", ARXIV, XML_OPTIONS).alias("x"))).select("page", "position", "x.*")
 
 
 def read_pubmed(spark: SparkSession, path: str) -> DataFrame:
@@ -104,8 +100,7 @@ def read_pubmed(spark: SparkSession, path: str) -> DataFrame:
         "file", "start", "place", F.from_xml("xml", PUBMED, XML_OPTIONS).alias("x"), F.get(flat(article, "ArticleTitle"), F.lit(0)).alias("title_text"),
         flat(first_inside(article, "Abstract"), "AbstractText").alias("abstract_texts"), flat(F.array_join(inside(F.col("clean"), "KeywordList"), ""), "Keyword").alias("keyword_texts"),
     )
-    order = F.row_number().over(Window.partitionBy("file").orderBy("start", "place"))
-    return _paged(read).withColumn("position", order).select("page", "position", "x.*", "title_text", "abstract_texts", "keyword_texts")
+    return _ordered(read).select("page", "position", "x.*", "title_text", "abstract_texts", "keyword_texts")
 
 
 def read_ieee(spark: SparkSession, path: str) -> DataFrame:
@@ -186,6 +181,26 @@ def _folder(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+#: A column of records that can't be read, as they stand.
+CORRUPT = "_corrupt_record"
+
+
+def read_broken(spark: SparkSession, source: str, path: str) -> DataFrame:
+    """file and record of a source's captures that can't be read: records of XML, whole documents of JSON.
+
+    The readers leave them out; records that can be read but lack what a paper needs aren't broken.
+    """
+    if source in ("PubMed", "arXiv"):
+        tag, schema = ("PubmedArticle", PUBMED) if source == "PubMed" else ("entry", ARXIV)
+        # a record alone lacks the namespaces that its document declares; the parser doesn't ask for them
+        found = _records(spark, path, tag).select("file", "xml", F.from_xml("xml", f"{schema}, {CORRUPT} string", XML_OPTIONS).alias("x"))
+    else:
+        schema = {"IEEE": IEEE, "Scopus": SCOPUS}.get(source, RXIV)
+        whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("xml"))
+        found = whole.withColumn("x", F.from_json("xml", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE"}))
+    return found.filter(f"x is null or x.{CORRUPT} is not null").select("file", F.col("xml").alias("record"))
+
+
 def read_saved(spark: SparkSession, path: str) -> DataFrame:
     """Papers of saved searches, in their order: folders of Parquet, or JSON documents (each of which is one task's)."""
     if _folder(spark, path):

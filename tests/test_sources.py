@@ -224,3 +224,89 @@ def test_captures_of_live_walks(spark, tmp_path):
     assert live.NEXT["IEEE"]("http://x?start_record=201", '{"total_records": 201}') is None
     assert live.rxiv_next("https://h/a/b", '<a href="/c?page=1" class="link-icon link-icon-after">') == "https://h/c?page=1"
     assert len(live.first_urls(spec, "bioRxiv", today=dt.date(2024, 1, 1))) == 1
+
+
+#: Workers and tests share it; one test runs at a time.
+ASKED = "/tmp/quillmine-test-asked"
+
+
+def noted(url):
+    """The made-up sources, noting each address in a file; one page gives no answer while a file says so."""
+    import os
+
+    with open(ASKED, "a") as f:
+        f.write(url + "\n")
+    if os.path.exists(ASKED + ".down") and "start=400" in url:
+        raise OSError("down")
+    if "arxiv" in url:
+        k = int(url.split("start=")[1].split("&")[0])
+        entry = "".join(f"<entry><title>Ships {k + j}</title><published>2020-02-27T13:35:26Z</published><summary>ships</summary></entry>" for j in range(3))
+        return 200, FEED.replace("401", "1900").format(entry)
+    if "ieee" in url:
+        at = int(url.split("start_record=")[1].split("&")[0])
+        assert "apikey=s3cret" in url
+        return 200, json.dumps({"total_records": 401, "articles": [{"title": f"I{at}", "abstract": "ships", "publication_year": 2020}]})
+    return paged(url)
+
+
+@pytest.fixture
+def asked():
+    """The addresses asked so far."""
+    import os
+
+    for path in (ASKED, ASKED + ".down"):
+        if os.path.exists(path):
+            os.unlink(path)
+    return lambda: open(ASKED).read().split("\n")[:-1] if os.path.exists(ASKED) else []
+
+
+WALK = {"delay": "0", "pause": "0", "pages": "2", "fetch": "tests.test_sources.noted", "today": dt.date(2024, 1, 1)}
+
+
+def test_a_walk_ends_at_the_limit(spark, tmp_path, asked):
+    """Ten pages of three papers: a limit of 10 needs four pages, in rounds of two, and gives what the whole walk gives."""
+    spec = SearchSpec("[ships]", limit_per_database=10, databases=("arXiv",))
+    few = api.capture(spark, spec, "arXiv", str(tmp_path / "few"), **WALK)
+    assert len(asked()) == 4
+    whole = live.capture(spark, spec, "arXiv", str(tmp_path / "whole"), **WALK)
+    assert len(asked()) == 4 + 10
+    got = [sorted((r.title, r.seq) for r in api.search(spark, None, spec, {"arXiv": path}).collect()) for path in (few, whole)]
+    assert got[0] == got[1] and len(got[0]) == 10
+
+
+def test_a_broken_walk_goes_on_where_it_broke(spark, tmp_path, asked):
+    open(ASKED + ".down", "w").close()
+    spec, folder = SearchSpec("[ships]", databases=("arXiv",)), str(tmp_path / "arxiv")
+    with pytest.raises(live.WalkBroken):
+        live.capture(spark, spec, "arXiv", folder, **WALK)
+    starts = lambda: [int(u.split("start=")[1].split("&")[0]) for u in asked()]
+    assert starts() == [0, 200, 400, 400]
+    assert [r.title for r in n.arxiv(captures.read_arxiv(spark, folder)).orderBy("seq").collect()] == [f"Ships {k + j}" for k in (0, 200) for j in range(3)]
+    import os
+
+    os.unlink(ASKED + ".down")
+    live.capture(spark, spec, "arXiv", folder, **WALK)
+    assert starts()[4:] == list(range(400, 1900, 200))
+    live.capture(spark, spec, "arXiv", folder, **WALK)  # nothing is left to ask
+    assert len(starts()) == 4 + 8
+    assert [r.title for r in n.arxiv(captures.read_arxiv(spark, folder)).orderBy("seq").collect()] == [f"Ships {k + j}" for k in range(0, 1900, 200) for j in range(3)]
+
+
+def test_tokens_are_not_written(spark, tmp_path, asked):
+    folder = live.capture(spark, SearchSpec("[ships]", databases=("IEEE",)), "IEEE", str(tmp_path / "ieee"), "s3cret", **WALK)
+    assert [r.title for r in n.ieee(captures.read_ieee(spark, folder)).orderBy("seq").collect()] == ["I1", "I201", "I401"]
+    for r in spark.read.parquet(f"{folder}/_walk/pages-000-000000").collect():
+        assert "s3cret" not in str(r) and live.TOKEN in r.url
+
+
+def test_broken_records_are_kept_apart(spark, tmp_path):
+    broken = PUBMED.replace("</Article></MedlineCitation></PubmedArticle></Set>", "</Artcle></MedlineCitation></PubmedArticle></Set>")
+    (tmp_path / "ieee").mkdir()
+    put(tmp_path / "ieee", "a.json", {"total_records": 1, "articles": [{"title": "Ships", "abstract": "ships", "publication_year": 2020}]})
+    put(tmp_path / "ieee", "b.json", '{"articles": [{"title": "Cut off')
+    paths = {"PubMed": put(tmp_path, "p.xml", broken), "IEEE": str(tmp_path / "ieee")}
+    spec = SearchSpec("[ships]", databases=("PubMed", "IEEE"))
+    out = api.search(spark, None, spec, paths, dead_letters=str(tmp_path / "dead"))
+    assert sorted(r.title for r in out.collect()) == ["On ships", "Ships"]
+    dead = {r.source: (r.file.rpartition("/")[2], r.record) for r in spark.read.parquet(str(tmp_path / "dead")).collect()}
+    assert dead["PubMed"][0] == "p.xml" and "<PMID>3</PMID>" in dead["PubMed"][1] and dead["IEEE"][0] == "b.json" and len(dead) == 2

@@ -42,38 +42,37 @@ def write_search(papers: DataFrame, spec: SearchSpec, path: str, processed_at: d
 
 
 def write_search_json(papers: DataFrame, spec: SearchSpec, path: str, processed_at: dt.datetime | None = None) -> None:
-    """One JSON document, newest papers first, keys sorted, two spaces deep: a file for a reader, as it is one.
+    """One JSON document, newest papers first, keys sorted, two spaces deep, in parts: path's files, one after another.
 
-    The papers are computed once, sorted and indented on executors, and written as lines between the document's head and
-    foot, in one task of one file; nothing goes through the driver but the counts.
+    The papers are computed once and sorted by range; each range is indented and written by a task of its own, the head and
+    foot of the document stand in the first and the last one. Spark commits all parts or none, so that a job that fails
+    leaves no document. Nothing goes through the driver but the counts.
     """
     scratch = Scratch(papers.sparkSession, "json")
-    saved = scratch.save(papers, "papers")
+    saved = scratch.save(papers.withColumn("row_of_json", F.monotonically_increasing_id()), "papers")
     head = json.dumps(envelope(spec, saved, processed_at) | {"papers": "@"}, indent=2, sort_keys=True, ensure_ascii=False)
     before, after = head.split('"@"')
     columns = sorted(c for c in papers.columns if c not in ("seq", "n_merged", "paper_key", "publication_key", "source"))
-    lines = newest_first(saved).select(paper_json(columns).alias("j"))
+    key = F.col("paper_key") if "paper_key" in papers.columns else F.lit("")
+    placed = saved.select(F.lit(1).alias("section"), "publication_date", "title", key.alias("key"), F.col("row_of_json").alias("row"), paper_json(columns).alias("j"))
+    last = placed.orderBy(F.asc_nulls_first("publication_date"), F.desc_nulls_last("title"), F.desc_nulls_last("key"), F.desc("row")).select("row").first()
+    ends = papers.sparkSession.createDataFrame([(0, None, None, None, None, before + "["), (2, None, None, None, None, "  ]" + after)], "section int, publication_date date, title string, key string, row bigint, j string")
+    lines = placed.unionByName(ends).orderBy("section", F.desc("publication_date"), "title", "key", "row").select("section", "row", "j")
+    final = last["row"] if last else None
 
     def indented(batches):
         import pyarrow as pa
 
-        for b in batches:
-            texts = ("\n".join("    " + x for x in json.dumps(json.loads(j), indent=2, sort_keys=True, ensure_ascii=False).split("\n")) for j in b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(list(texts), pa.string())], names=["value"])
-
-    def joined(batches):
-        import pyarrow as pa
+        def text(section, row, j):
+            if section != 1:
+                return j
+            whole = json.dumps(json.loads(j), indent=2, sort_keys=True, ensure_ascii=False).split("\n")
+            return "\n".join("    " + x for x in whole) + ("" if row == final else ",")
 
-        held = None  # the last paper, which has no comma
-        yield pa.RecordBatch.from_arrays([pa.array([before + "["])], names=["value"])
         for b in batches:
-            texts = [t for t in (held, *b.column(0).to_pylist()) if t is not None]
-            held = texts.pop() if texts else None
-            yield pa.RecordBatch.from_arrays([pa.array([t + "," for t in texts], pa.string())], names=["value"])
-        last = [held] if held is not None else []
-        yield pa.RecordBatch.from_arrays([pa.array([*last, "  ]" + after], pa.string())], names=["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([text(*x) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)], pa.string())], names=["value"])
 
-    lines.mapInArrow(indented, "value string").coalesce(1).mapInArrow(joined, "value string").write.option("lineSep", "\n").text(path)
+    lines.mapInArrow(indented, "value string").write.option("lineSep", "\n").text(path)
     scratch.drop()
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schema import SEARCH, conform
+from ..schema import PAPER, SEARCH, conform
 
 ARXIV = "title string, published string, summary string, `arxiv:journal_ref` string, `arxiv:doi` string, `arxiv:comment` string, category array<struct<`@term`: string>>, link array<struct<`@href`: string>>, author array<struct<name: string>>"
 PUBMED = """MedlineCitation struct<PMID: string, Article: struct<Journal: struct<ISSN: string, Title: string, JournalIssue: struct<PubDate: struct<Year: string, Month: string, Day: string>>>,
@@ -175,42 +175,39 @@ def rxiv_next(html: Column) -> Column:
     return F.nullif(F.regexp_extract(tag, 'href="([^"]*)"', 1), F.lit(""))
 
 
-def _folder(spark: SparkSession, path: str) -> bool:
-    """Whether a saved search is a folder with papers and envelope."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/papers")
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-#: A column of records that can't be read, as they stand.
-CORRUPT = "_corrupt_record"
-
-
-def read_broken(spark: SparkSession, source: str, path: str) -> DataFrame:
-    """file and record of a source's captures that can't be read: records of XML, whole documents of JSON.
-
-    The readers leave them out; records that can be read but lack what a paper needs aren't broken.
-    """
-    if source in ("PubMed", "arXiv"):
-        tag, schema = ("PubmedArticle", PUBMED) if source == "PubMed" else ("entry", ARXIV)
-        # a record alone lacks the namespaces that its document declares; the parser doesn't ask for them
-        found = _records(spark, path, tag).select("file", "xml", F.from_xml("xml", f"{schema}, {CORRUPT} string", XML_OPTIONS).alias("x"))
-    else:
-        schema = {"IEEE": IEEE, "Scopus": SCOPUS}.get(source, RXIV)
-        whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("xml"))
-        found = whole.withColumn("x", F.from_json("xml", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE"}))
-    return found.filter(f"x is null or x.{CORRUPT} is not null").select("file", F.col("xml").alias("record"))
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """A document written in parts, cut after each paper: file, start, place, value. Line feeds inside of strings are
+    escaped in JSON, so a brace at a paper's depth ends a paper."""
+    read = spark.read.option("lineSep", "\n    }").text(path)
+    return read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
 
 
 def read_saved(spark: SparkSession, path: str) -> DataFrame:
-    """Papers of saved searches, in their order: folders of Parquet, or JSON documents (each of which is one task's)."""
-    if _folder(spark, path):
+    """Papers of saved searches, in their order: folders of Parquet, JSON documents written in parts, or others' JSON
+    documents (each of which is one task's)."""
+    if _exists(spark, f"{path}/papers"):
         return conform(spark.read.parquet(f"{path}/papers"))
+    if _exists(spark, f"{path}/_SUCCESS"):
+        paper = F.concat(F.regexp_extract("value", r"(?s)(?:^|\n)(    \{\n.*)", 1), F.lit("}"))
+        cut = _pieces(spark, path).withColumn("paper", paper).filter("paper != '}'").select("file", "start", "place", F.from_json("paper", PAPER).alias("paper"))
+        seq = F.shiftleft(F.col("page").cast("long"), 32) + F.col("position")
+        return conform(_ordered(cut).select("paper.*", seq.alias("seq")))
     saved = spark.read.schema(SEARCH).option("multiLine", True).json(path)
     return conform(saved.select(F.posexplode("papers").alias("seq", "paper")).select("paper.*", F.col("seq").cast("long").alias("seq")))
 
 
 def read_saved_envelope(spark: SparkSession, path: str) -> DataFrame:
-    at = f"{path}/envelope" if _folder(spark, path) else path
+    if not _exists(spark, f"{path}/papers") and _exists(spark, f"{path}/_SUCCESS"):
+        # the document without its papers: one piece begins it, one ends it
+        head, foot = F.regexp_extract("value", r'(?s)^(\{\n.*?"papers": \[)', 1), F.regexp_extract("value", r"(?s)(?:^|\n)  \](,?\n.*)$", 1)
+        whole = _pieces(spark, path).agg(F.concat(F.max(head), F.lit("]"), F.max(foot)).alias("value"))
+        return whole.select(F.from_json("value", SEARCH).alias("s")).select("s.*").drop("papers")
+    at = f"{path}/envelope" if _exists(spark, f"{path}/papers") else path
     return spark.read.schema(SEARCH).option("multiLine", True).json(at).drop("papers")
 
 

@@ -157,6 +157,34 @@ def test_saved_searches_in_one_file(spark, tmp_path):
         assert json.dumps(whole, indent=2, sort_keys=True, ensure_ascii=False) == text or count == 0
 
 
+def test_a_document_in_parts(spark, tmp_path):
+    """Many parts are one document; braces, line feeds and brackets inside of texts cut nothing; a failed job leaves none."""
+    from quillmine.schema import conform
+    from quillmine.sinks import documents
+
+    odd = "a\n    }\n  ],\n    {"
+    papers = conform(spark.range(0, 500, numPartitions=7).select(F.concat(F.lit(odd), F.col("id")).alias("title"), F.array(F.lit("x")).alias("databases"), F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") % 40).cast("int")).alias("publication_date"), F.lit("{}").alias("abstract")))
+    spec, path = SearchSpec("[ships]"), str(tmp_path / "doc")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few papers would make one part
+    try:
+        documents.write_search_json(papers, spec, path, dt.datetime(2024, 1, 1))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(tmp_path.glob("doc/part-*"))
+    whole = json.loads("".join(f.read_text() for f in files))
+    assert len(files) > 1 and whole["number_of_papers"] == len(whole["papers"]) == 500
+    assert json.dumps(whole, indent=2, sort_keys=True, ensure_ascii=False) + "\n" == "".join(f.read_text() for f in files)
+    assert [r.title for r in captures.read_saved(spark, path).orderBy("seq").collect()] == [x["title"] for x in whole["papers"]]
+    e = captures.read_saved_envelope(spark, path).first()
+    assert (e.query, e.number_of_papers, e.processed_at) == ("[ships]", 500, "2024-01-01 00:00:00")
+    with pytest.raises(Exception, match="(?i)exists"):
+        documents.write_search_json(papers, spec, path, dt.datetime(2024, 1, 1))  # nothing is overwritten
+    fails = F.udf(lambda i: 1 // (400 - i), "int")
+    with pytest.raises(Exception):
+        spark.range(500).select(fails("id").cast("string").alias("value")).write.text(str(tmp_path / "none"))
+    assert not list((tmp_path / "none").glob("part-*")) and not (tmp_path / "none" / "_SUCCESS").exists()
+
+
 def test_downloads_go_on_after_errors(spark, tmp_path):
     plan = spark.createDataFrame([("a", "a.pdf", ["http://bad", "http://good"], ["http://raises"], False), ("b", "b.pdf", ["http://raises"], [], False), ("c", "c.pdf", None, None, False), ("d", "a.pdf", ["http://good"], [], True)], "paper_key string, file_name string, urls array<string>, pdf_urls array<string>, collision boolean")
 

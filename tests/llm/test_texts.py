@@ -509,6 +509,23 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     assert got.select("sequence_id").distinct().count() == expected_rows.select("sequence_id").distinct().count()
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<article title="The hidden life of trees"><p>Kept</p></article>', "Kept"),
+        ('<article><div data-id="related"><p>Kept</p></div><section class="social policy"><p>too</p></section><section id="promotion-of-health">and</section><div class="share-price">all</div></article>', "Kept\ntoo\nand\nall"),
+        ('<article><div class="grid hidden md:block">Kept</div><div hidden>gone</div><div style="color:red; display: none">gone</div></article>', "Kept"),
+        ('<article><p>Let <math><mi>x</mi><annotation encoding="t">x_t</annotation></math> be <svg><text>one</text><title>icon</title></svg>.</p></article>', "Let x be one."),
+        ('<article><p>Text</p><div class="ad slot-3">Buy</div><div class="share-buttons">Share</div><div class="social">Like</div><div id="comments" class="clearfix">Nice</div></article>', "Text"),
+        ("<article><p title='a > b' class=\"x\">One</p><p CLASS=ad>Two</p></article>", "One"),
+    ],
+)
+def test_attributes_are_names_and_values_apart(html, text):
+    from quillmine.llm import html_text
+
+    assert html_text.main_text(html_text.lines(html)) == text
+
+
 def test_stages_of_odd_rows(spark, edge, tmp_path):
     """Each stage on nulls, empty and very long texts, repeats, clashing columns and an empty table, row by row."""
     spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))

@@ -414,7 +414,7 @@ def q_incremental(spark, d):
     landing = scratch.path("landing")
     p.filter("source IN ('PubMed', 'IEEE')").repartitionByRange(4, F.xxhash64("seq")).write.parquet(landing)
     stream = spark.readStream.schema(spark.read.parquet(landing).schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    merged = Consolidated(spark, scratch.path("table"), buckets=8)
+    merged = Consolidated(spark, scratch.path("table"), fan=2)
     follow(stream.withColumn("urls", F.array(F.col("seq").cast("string"))), SearchSpec("[the]", databases=("PubMed", "IEEE")), merged, scratch.path("checkpoint")).awaitTermination()
     return merged.read().select("paper_key", "seq", "title", "citations", F.array_join("databases", ",").alias("databases"), F.size("urls").cast("long").alias("n"))
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from quillmine.operators import consolidate as c
 from quillmine.operators import enrich
+from quillmine.schema import conform
 from quillmine.sinks import documents
 from quillmine.spec import SearchSpec
 from quillmine.streaming.incremental import Consolidated, follow
@@ -67,7 +68,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_a_batch_that_fails_between_its_writes_loses_nothing(spark, tmp_path, monkeypatch):
     first, more, again = frame(spark, [paper("The sea", "short"), paper("Other", "x")]), frame(spark, [paper("Third", "y")]), frame(spark, [paper("the sea", "a longer abstract")])
-    table = Consolidated(spark, str(tmp_path / "table"), buckets=4)
+    table = Consolidated(spark, str(tmp_path / "table"))
     assert table.read() is None
     table.merge(first, 0)
     publish = Consolidated.publish
@@ -76,13 +77,32 @@ def test_a_batch_that_fails_between_its_writes_loses_nothing(spark, tmp_path, mo
         table.merge(more, 1)  # the data is written, the version isn't
     assert sorted(r.title for r in Consolidated(spark, str(tmp_path / "table")).read().collect()) == ["Other", "The sea"]
     monkeypatch.setattr(Consolidated, "publish", publish)
-    before = table.buckets_of(0)
+    before = table.runs_of(0)
     table.merge(more, 1)
     table.merge(more, 1)  # the same batch again
     assert sorted(r.title for r in table.read().collect()) == ["Other", "The sea", "Third"]
-    held = table.buckets_of(1)
-    assert sum(held.get(b) != f for b, f in before.items()) <= 1  # only touched buckets are written anew
+    held = table.runs_of(1)
+    assert held[0] == before[0] and held[1][1] == 1  # what was there isn't written again
     table.merge(again, 2)
     assert {r.title: r.abstract for r in table.read().collect()}["The sea"] == "a longer abstract"
-    named = {f for v in table.versions() for f in table.buckets_of(v).values()}
+    named = {name for v in table.versions() for name, _ in table.runs_of(v)}
     assert table.versions() == [1, 2] and set(table.listed("data")) == named  # what the failed batch left is gone
+
+
+def test_batches_write_in_proportion_to_their_keys(spark, tmp_path, monkeypatch):
+    """20 batches of 100 keys, half of them known: runs stay few, what is written grows as n log n, and all equals one merge."""
+    written, write = [], Consolidated.write
+    monkeypatch.setattr(Consolidated, "write", lambda self, df, number: written.append(write(self, df, number)) or written[-1])
+    batch = lambda i: conform(spark.range(i * 50, i * 50 + 100, numPartitions=1).select(F.concat(F.lit("t"), F.col("id")).alias("title"), F.lit("2020-01-01").cast("date").alias("publication_date"), F.array(F.lit(f"u{i}")).alias("urls"), (F.col("id") + 10_000 * i).alias("seq")))
+    table = Consolidated(spark, str(tmp_path / "table"))
+    for i in range(20):
+        table.merge(batch(i), i)
+        table = Consolidated(spark, str(tmp_path / "table"))  # a restart
+    runs = [rows for _, rows in table.runs_of(19)]
+    assert len(runs) <= 7 and runs == sorted(runs, reverse=True)
+    assert sum(rows for _, rows in written) <= 20 * 100 * 3  # not 20 * 1050 / 2 * ... as whole tables would be
+    everything = batch(0)
+    for i in range(1, 20):
+        everything = everything.unionByName(batch(i))
+    rows = lambda df: sorted((r.paper_key, r.seq, tuple(r.urls)) for r in df.collect())
+    assert rows(table.read()) == rows(c.merge_papers(c.with_keys(everything), "paper_key"))

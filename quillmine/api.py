@@ -23,7 +23,8 @@ READERS = {"arXiv": captures.read_arxiv, "PubMed": captures.read_pubmed, "IEEE":
 
 
 def load_sources(spark: SparkSession, spec: SearchSpec, paths: dict[str, str], matching: bool = False, dead_letters: str | None = None) -> DataFrame | None:
-    """Normalised papers of all captured sources that the search asks for and that have a path; with matching, only those
+    """Normalised papers of all captured sources that the search asks for and that have a path ("Scopus details" is one
+    for its detail documents); with matching, only those
     that select() takes, so that dates and terms are applied before anything is written.
 
     Each source is read to the end and its papers written to the shared folder, so that one that can't be read, or whose
@@ -36,7 +37,9 @@ def load_sources(spark: SparkSession, spec: SearchSpec, paths: dict[str, str], m
             log.info("skipping %s", source)
             continue
         try:
-            read = NORMALIZERS[source](READERS[source](spark, paths[source]))
+            raw = READERS[source](spark, paths[source])
+            details = paths.get(f"{source} details")  # a folder of captured detail documents
+            read = NORMALIZERS[source](raw, captures.read_scopus_details(spark, details)) if source == "Scopus" and details else NORMALIZERS[source](raw)
             papers = scratch.save(select(read, spec) if matching else read, source)
             if dead_letters:
                 captures.read_broken(spark, source, paths[source]).select(F.lit(source).alias("source"), "file", "record").write.mode("append").parquet(dead_letters)
@@ -74,7 +77,7 @@ def run(papers: DataFrame, spec: SearchSpec, pages: DataFrame | None = None, met
     """Consolidated papers: select, limit, deduplicate, enrich, filter by type, merge similar titles, flag.
 
     papers: canonical columns, source and seq (any orderable type). Columns of the result: the canonical ones,
-    seq, paper_key and publication_key.
+    seq, paper_key and publication_key. lookups.tables() makes pages, metrics and resolved from live sources.
     """
     found = consolidate.with_keys(select(papers, spec))
     found = consolidate.limit_total(consolidate.limit_per_source(found, spec.limit_per_database), spec.limit)

@@ -17,7 +17,7 @@ from .queries import _MERGE, PAPERS, _flat, _has, flagship, papers, table
 from .schema import from_records, to_records
 from .scratch import Scratch
 from .sinks import documents
-from .sources import captures, live
+from .sources import captures, live, lookups
 from .spec import SearchSpec
 from .streaming.incremental import Consolidated, follow
 
@@ -389,6 +389,24 @@ def q_fetch_addresses(spark, d):
     return pages.join(got, "url").select("page_id", "status", F.length("body").cast("long").alias("size"), "attempts")
 
 
+def offline_once(url: str) -> tuple[int, str]:
+    """Stands for a network that has changed since: it answers what was not asked before, and nothing else."""
+    status, body = offline(url)
+    return status, f"later {body}"
+
+
+@query("""SELECT page_id, CASE WHEN contains(url, '.example.net') THEN NULL WHEN first THEN 'body of ' || url ELSE 'later body of ' || url END AS body
+FROM (SELECT page_id, url, bool_or(page_id % 2 = 0) OVER (PARTITION BY url) AS first FROM pages)""")
+def q_lookup_join(spark, d):
+    """Addresses looked up through a cache: every second page's first, then all; what the cache has isn't asked again, and
+    hosts that don't answer leave nothing in it."""
+    pages, cache = table(spark, d, "pages").select("page_id", "url"), Scratch(spark, "lookups").path("cache")
+    ask = {"delay": 0.0, "pause": "0"}
+    lookups.looked_up(pages.filter("page_id % 2 = 0"), cache, round_size=50, fetch="quillmine.source_queries.offline", **ask)
+    got = lookups.looked_up(pages, cache, fetch="quillmine.source_queries.offline_once", **ask)
+    return pages.join(got, "url", "left").select("page_id", "body")
+
+
 def offline_pdf(url: str) -> tuple[str, bytes] | None:
     if url.endswith("1"):
         raise OSError("no answer")

@@ -123,12 +123,17 @@ def read_scopus_details(spark: SparkSession, path: str) -> DataFrame:
     """Detail documents. A file holds one or more, each of which begins with an XML declaration if there are more; a document
     is keyed by the address in it, or by its file's name without its ending."""
     files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    whole = files.select("file", F.explode(F.filter(F.split("value", r"(?=<\?xml )"), lambda x: F.trim(x) != "")).alias("value"))
-    whole = whole.withColumn("clean", markup(F.col("value")))
+    name = F.regexp_extract("file", r"([^/]*?)(\.[a-z]+)?$", 1)
+    return parse_details(files.select(name.alias("url"), F.explode(F.filter(F.split("value", r"(?=<\?xml )"), lambda x: F.trim(x) != "")).alias("value")))
+
+
+def parse_details(documents: DataFrame) -> DataFrame:
+    """What normalize.scopus takes of detail documents(url, value); the address in a document counts before the one given."""
+    whole = documents.withColumn("clean", markup(F.col("value")))
     many = lambda tag: F.transform(inside(F.col("clean"), tag), plain_text)
     one = lambda tag: F.get(many(tag), F.lit(0))
     return whole.select(
-        F.coalesce(one("prism:url"), F.regexp_extract("file", r"([^/]*?)(\.[a-z]+)?$", 1)).alias("url"), many("ce:para").alias("abstracts"), many("ce:indexed-name").alias("authors"), many("author-keyword").alias("keywords"),
+        F.coalesce(one("prism:url"), "url").alias("url"), many("ce:para").alias("abstracts"), many("ce:indexed-name").alias("authors"), many("author-keyword").alias("keywords"),
         one("prism:pageRange").alias("page_range"), one("prism:startingPage").alias("first_page"), one("prism:endingPage").alias("last_page"),
     )
 

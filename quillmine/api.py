@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import consolidate, enrich, fuzzy
 from .operators.normalize import NORMALIZERS
+from .operators.token_index import TokenIndex
 from .plans.predicates import for_source
 from .plans.query import QueryError
 from .schema import SOURCES, source_rank
@@ -73,13 +74,14 @@ def select(papers: DataFrame, spec: SearchSpec) -> DataFrame:
     return chosen.filter(consolidate.in_dates(F.col("publication_date"), spec.since, spec.until)).filter(match)
 
 
-def run(papers: DataFrame, spec: SearchSpec, pages: DataFrame | None = None, metrics: DataFrame | None = None, journals: DataFrame | None = None, publishers: DataFrame | None = None, resolved: DataFrame | None = None, threshold: float = 0.95) -> DataFrame:
+def run(papers: DataFrame, spec: SearchSpec, pages: DataFrame | None = None, metrics: DataFrame | None = None, journals: DataFrame | None = None, publishers: DataFrame | None = None, resolved: DataFrame | None = None, threshold: float = 0.95, index: TokenIndex | None = None) -> DataFrame:
     """Consolidated papers: select, limit, deduplicate, enrich, filter by type, merge similar titles, flag.
 
     papers: canonical columns, source and seq (any orderable type). Columns of the result: the canonical ones,
-    seq, paper_key and publication_key. lookups.tables() makes pages, metrics and resolved from live sources.
+    seq, paper_key and publication_key. lookups.tables() makes pages, metrics and resolved from live sources;
+    an index of the papers narrows them before the query's predicate decides.
     """
-    found = consolidate.with_keys(select(papers, spec))
+    found = consolidate.with_keys(select(index.narrow(papers, spec.tree) if index else papers, spec))
     found = consolidate.limit_total(consolidate.limit_per_source(found, spec.limit_per_database), spec.limit)
     merged = consolidate.merge_papers(consolidate.merge_publications(found), "paper_key")
     if metrics is not None:

@@ -14,6 +14,7 @@ from . import api
 from .functions import records as r
 from .operators import consolidate as c
 from .operators import enrich, fuzzy, normalize, reports
+from .operators.token_index import TokenIndex
 from .plans.predicates import for_source, per_term, whole_query
 from .plans.query import parse
 from .schema import SOURCES
@@ -433,8 +434,8 @@ def q_search_exact(spark, d):
     return merged.filter(c.of_types(F.col("publication"), spec.publication_types)).select("paper_key", "seq", "title", "citations", F.array_join("databases", ",").alias("databases"), F.col("publication.category").alias("category"))
 
 
-def flagship(spark: SparkSession, d: str) -> DataFrame:
+def flagship(spark: SparkSession, d: str, index: TokenIndex | None = None) -> DataFrame:
     """A whole search over documents: query, dates, limits, deduplication, type filter, similar titles, newest first."""
     spec = SearchSpec(BOOLEAN, since=dt.date(2000, 1, 1), limit=5_000, limit_per_database=2_000, publication_types=("journal", "conference proceedings", "book"), databases=("PubMed", "IEEE", "Scopus"))
-    out = api.run(papers(spark, d), spec)
+    out = api.run(papers(spark, d), spec, index=index)
     return reports.newest_first(out.select("paper_key", "title", "doi", "publication_date", "citations", F.array_join("databases", ",").alias("databases"), "seq"))

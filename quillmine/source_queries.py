@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import api
 from .operators import consolidate as c
 from .operators import enrich, fuzzy, normalize
+from .operators.token_index import TokenIndex
 from .plans import dialects
 from .plans import query as language
 from .queries import _MERGE, PAPERS, _flat, _has, flagship, papers, table
@@ -488,6 +489,22 @@ def q_search(spark, d):
     return flagship(spark, d)
 
 
+@query(ORACLES["q_search"])
+def q_search_indexed(spark, d):
+    """The flagship search through an index of all papers' tokens."""
+    return flagship(spark, d, TokenIndex.build(papers(spark, d), Scratch(spark, "index").path("tokens")))
+
+
+@query(f"""WITH {PAPERS} SELECT seq, source FROM papers WHERE title <> '' AND CASE source
+  WHEN 'PubMed' THEN ({_has('title', 'of the')} OR {_has('abstract', 'of the')} OR {_has('title', 'que la')} OR {_has('abstract', 'que la')} OR {_has('title', 'haer[\\p{L}\\p{N}_]*')} OR {_has('abstract', 'haer[\\p{L}\\p{N}_]*')}) AND NOT ({_has('title', 'd[\\p{L}\\p{N}_]s')} OR {_has('abstract', 'd[\\p{L}\\p{N}_]s')})
+  WHEN 'IEEE' THEN ({_has('abstract', 'of the')} OR {_has('abstract', 'que la')} OR {_has('abstract', 'haer[\\p{L}\\p{N}_]*')}) AND NOT {_has('abstract', 'd[\\p{L}\\p{N}_]s')} ELSE false END""")
+def q_token_index(spark, d):
+    """Phrases and wildcards by the index: the papers that it leaves are those that the predicates match."""
+    p, spec = papers(spark, d), SearchSpec("([of the] OR [que la] OR [haer*]) AND NOT [d?s]", databases=("PubMed", "IEEE"))
+    index = TokenIndex.build(p, Scratch(spark, "index").path("tokens"), buckets=16)
+    return api.select(index.narrow(p, spec.tree), spec).select("seq", "source")
+
+
 @query(f"""WITH RECURSIVE {PAPERS}, hit AS (SELECT * FROM keyed WHERE title <> '' AND ({_has('abstract', 'the')} OR {_has('abstract', 'de')}) AND source IN ('IEEE')),
   m AS MATERIALIZED (SELECT paper_key, min(seq) AS seq, arg_min(title, seq) AS title, arg_min(doi, seq) FILTER (WHERE doi IS NOT NULL) AS doi, arg_min(publication_date, seq) AS day, max(citations) AS citations FROM hit GROUP BY 1),
   {_leaders('(SELECT seq AS id, year(day) AS year, doi, title FROM m)', 0.9)}

@@ -375,12 +375,12 @@ def q_normalize_pubmed(spark, d):
     part = lambda pattern: F.date_format(day, pattern)
     article = F.struct(
         F.struct(q["issn"].alias("ISSN"), q["title"].alias("Title"), F.struct(F.struct(part("yyyy").alias("Year"), part("MMM").alias("Month"), F.lit(None).cast("string").alias("Day")).alias("PubDate")).alias("JournalIssue")).alias("Journal"),
-        F.col("title").alias("ArticleTitle"), F.struct(F.concat(F.col("seq"), F.lit("-"), F.col("seq") + 9).alias("MedlinePgn")).alias("Pagination"), F.struct(F.array("abstract", q["title"]).alias("AbstractText")).alias("Abstract"),
+        F.struct(F.concat(F.col("seq"), F.lit("-"), F.col("seq") + 9).alias("MedlinePgn")).alias("Pagination"),
         F.struct(F.array(F.struct(F.col("authors")[0].alias("LastName"), F.lit(None).cast("string").alias("ForeName")), F.struct(F.lit("Author").alias("LastName"), F.lit(None).cast("string").alias("ForeName"))).alias("Author")).alias("AuthorList"),
         F.lit(None).cast("struct<Year:string,Month:string,Day:string>").alias("ArticleDate"),
     )
     ids = F.struct(F.struct(F.array(F.struct(F.lit("pubmed").alias("@IdType"), F.lit("1").alias("#text")), F.struct(F.lit("doi").alias("@IdType"), F.col("doi").alias("#text"))).alias("ArticleId")).alias("ArticleIdList"))
-    raw = p.select(F.lit(1).alias("page"), F.col("seq").alias("position"), F.struct(F.lit("1").alias("PMID"), article.alias("Article"), F.struct(F.col("keywords").alias("Keyword")).alias("KeywordList")).alias("MedlineCitation"), ids.alias("PubmedData"))
+    raw = p.select(F.lit(1).alias("page"), F.col("seq").alias("position"), F.struct(F.lit("1").alias("PMID"), article.alias("Article")).alias("MedlineCitation"), ids.alias("PubmedData"), F.trim("title").alias("title_text"), F.array("abstract", q["title"]).alias("abstract_texts"), F.col("keywords").alias("keyword_texts"))
     out = normalize.pubmed(raw)
     return out.select(F.col("seq.position").alias("seq"), "title", "abstract", F.array_join("authors", "|").alias("authors"), F.col("publication.category").alias("category"), F.col("publication.issn").alias("issn"), "publication_date", "doi", "number_of_pages")
 

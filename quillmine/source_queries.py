@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import api
@@ -192,10 +192,9 @@ def q_union_sources(spark, d):
     of = lambda s: p.filter(F.col("source") == s)
     paths = {"arXiv": arxiv_capture(of("arXiv")), "PubMed": pubmed_capture(of("PubMed")), "IEEE": ieee_capture(of("IEEE")), "Scopus": "file:///nowhere/at/all", "medRxiv": rxiv_capture(of("medRxiv")), "bioRxiv": "file:///nowhere/at/all"}
     out = api.with_long_seq(api.load_sources(spark, SearchSpec("[the]", databases=("bioRxiv", "medRxiv", "Scopus", "IEEE", "PubMed", "arXiv")), paths))
-    before = out.groupBy("source").agg(F.count("*").alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi"))
-    earlier = before.select(F.col("n").alias("m"), F.col("hi").alias("h"))
-    rank = before.join(earlier, F.col("h") < F.col("lo"), "left").groupBy("source", "n").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("sum"))
-    return rank.select("source", "n", (F.col("sum") + 1).alias("first"), (F.col("sum") + F.col("n")).alias("last"))
+    before = out.groupBy("source").agg(F.count("*").alias("n"), F.min("seq").alias("lo"))
+    upto = F.sum("n").over(Window.orderBy("lo"))  # a row for each source
+    return before.select("source", "n", (upto - F.col("n") + 1).alias("first"), upto.alias("last"))
 
 
 @query(f"""WITH {PAPERS}, o AS (SELECT source, seq, trim(title) <> '' OR source = 'PubMed' AS titled, seq % 7 = 3 AS cut FROM papers WHERE source IN ('arXiv', 'PubMed', 'IEEE')),
@@ -306,58 +305,74 @@ def q_bibtex_file(spark, d):
     return heads.groupBy(F.col("value").alias("head")).agg(F.count("*").alias("n"))
 
 
-_ASKED = (
-    "[a]", "  [a]\n AND   [b]", "[a] OR ([b] AND ([c*] OR [d]))", "([abc*] OR [r?d]) AND NOT [x y]", "[abc*]", "[te*]", "[?erm]", "[t?rm?]", "[some term*]", "[a] or [b]", "[a] OR NOT [b]", "[a]OR[b]", "([a] OR [b]", "[ ]", "()", "", "([a] OR ([b] OR ([c])))",
-)
+#: Two words of each document's text, and a query made of them in one of eight ways.
+_WORDS = "coalesce(nullif(regexp_extract_all(lower(text), '[a-z]{4,}')[1], ''), 'none') AS v, coalesce(nullif(regexp_extract_all(lower(text), '[a-z]{4,}')[2], ''), 'none') AS w"
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    text = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) t({names})"
+def asked_of(spark, d) -> DataFrame:
+    """doc_id, v, w (two words) and query (one of eight forms) of every document."""
+    word = lambda k: F.coalesce(F.get(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0), F.lit(k)), F.lit("none"))
+    words = table(spark, d, "documents").select("doc_id", word(0).alias("v"), word(1).alias("w"))
+    forms = ["[{v}]", "[{v}] AND [{w}]", "[{v}] OR ([{w}] AND NOT [{v} {w}])", "([{v}*] OR [{w}])", "[{v}] or [{w}]", "([{v}] OR [{w}]", "  [{v}]\n  AND   ([{w}] OR ([{v} {w}]))", "[?{v}]"]
+    made = F.element_at(F.array(*(F.lit(f) for f in forms)), (F.col("doc_id") % len(forms) + 1).cast("int"))
+    return words.withColumn("query", F.replace(F.replace(made, F.lit("{v}"), F.col("v")), F.lit("{w}"), F.col("w")))
 
 
-@query(_values(
-    [
-        (0, "[a]", True, True, 0, "[A]", "a", "root(a)"), (1, "[a] AND [b]", True, True, 0, "[A] AND [B]", "a,b", "root(a AND b)"), (2, "[a] OR ([b] AND ([c*] OR [d]))", False, True, 2, "[A] OR ([B] AND ([C*] OR [D]))", "a,b,c*,d", "root(a OR group(b AND group(c* OR d)))"),
-        (3, "([abc*] OR [r?d]) AND NOT [x y]", True, True, 1, "([ABC*] OR [R?D]) AND NOT [X Y]", "abc*,r?d,x y", "root(group(abc* OR r?d) AND NOT x y)"), (4, "[abc*]", True, True, 0, "[ABC*]", "abc*", "root(abc*)"), (5, "[te*]", False, True, 0, "[TE*]", "te*", "root(te*)"),
-        (6, "[?erm]", False, True, 0, "[?ERM]", "?erm", "root(?erm)"), (7, "[t?rm?]", False, True, 0, "[T?RM?]", "t?rm?", "root(t?rm?)"), (8, "[some term*]", False, True, 0, "[SOME TERM*]", "some term*", "root(some term*)"),
-        *((k, q, False, False, None, None, None, None) for k, q in ((9, "[a] or [b]"), (10, "[a] OR NOT [b]"), (11, "[a]OR[b]"), (12, "([a] OR [b]"), (13, "[ ]"), (14, "()"), (15, ""))),
-        (16, "([a] OR ([b] OR ([c])))", True, True, 3, "([A] OR ([B] OR ([C])))", "a,b,c", "root(group(a OR group(b OR group(c))))"),
-    ],
-    "k, query, valid, valid_free, depth, upper, terms, tree",
-))
+@query(f"""WITH q AS (SELECT doc_id, doc_id % 8 AS k, {_WORDS} FROM documents)
+SELECT doc_id, CASE k WHEN 0 THEN '[' || v || ']' WHEN 1 THEN '[' || v || '] AND [' || w || ']' WHEN 2 THEN '[' || v || '] OR ([' || w || '] AND NOT [' || v || ' ' || w || '])' WHEN 3 THEN '([' || v || '*] OR [' || w || '])'
+    WHEN 4 THEN '[' || v || '] or [' || w || ']' WHEN 5 THEN '([' || v || '] OR [' || w || ']' WHEN 6 THEN '[' || v || '] AND ([' || w || '] OR ([' || v || ' ' || w || ']))' ELSE '[?' || v || ']' END AS query,
+  k IN (0, 1, 2, 3, 6) AS valid, k NOT IN (4, 5) AS valid_free, CASE k WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 6 THEN 2 WHEN 7 THEN 0 END AS depth,
+  upper(CASE k WHEN 0 THEN '[' || v || ']' WHEN 1 THEN '[' || v || '] AND [' || w || ']' WHEN 2 THEN '[' || v || '] OR ([' || w || '] AND NOT [' || v || ' ' || w || '])' WHEN 3 THEN '([' || v || '*] OR [' || w || '])' WHEN 6 THEN '[' || v || '] AND ([' || w || '] OR ([' || v || ' ' || w || ']))' WHEN 7 THEN '[?' || v || ']' END) AS rewritten,
+  CASE k WHEN 0 THEN v WHEN 1 THEN v || ',' || w WHEN 2 THEN v || ',' || w || ',' || v || ' ' || w WHEN 3 THEN v || '*,' || w WHEN 6 THEN v || ',' || w || ',' || v || ' ' || w WHEN 7 THEN '?' || v END AS terms,
+  CASE k WHEN 0 THEN 'root(' || v || ')' WHEN 1 THEN 'root(' || v || ' AND ' || w || ')' WHEN 2 THEN 'root(' || v || ' OR group(' || w || ' AND NOT ' || v || ' ' || w || '))' WHEN 3 THEN 'root(group(' || v || '* OR ' || w || '))' WHEN 6 THEN 'root(' || v || ' AND group(' || w || ' OR group(' || v || ' ' || w || ')))' WHEN 7 THEN 'root(?' || v || ')' END AS tree
+FROM q""")
 def q_query_language(spark, d):
-    """Cleaning, validation with and without the rules for wildcards, nesting, terms, the tree, and rewriting."""
+    """Queries made of every document's words: cleaning, validation with and without the rules for wildcards, nesting, terms,
+    the tree, and rewriting."""
+
     def shown(node):
         return node["value"] if node["node_type"] in ("term", "connector") else f"{node['node_type']}({' '.join(map(shown, node['children']))})"
 
-    rows = []
-    for k, q in enumerate(_ASKED):
-        clean, row = language.sanitize(q), [None] * 4
-        if language.is_valid(clean, strict=False):
-            node = language.parse(clean, strict=False)
-            row = [language.depth(node), language.render(language.map_terms(node, str.upper)), ",".join(t.text for t in language.terms(node)), shown(language.tree(node))]
-        rows.append((k, clean, language.is_valid(clean), language.is_valid(clean, strict=False), *row))
-    return spark.createDataFrame(rows, "k int, query string, valid boolean, valid_free boolean, depth int, upper string, terms string, tree string")
-
-
-@query(_values(
-    [
-        ("arXiv", '(ti:"deep sea" AND (ti:fish* OR ti:"whale") ANDNOT ti:"boat") OR (abs:"deep sea" AND (abs:fish* OR abs:"whale") ANDNOT abs:"boat")'),
-        ("PubMed", '"deep-sea"[TIAB] AND ("fish*"[TIAB] OR "whale"[TIAB]) NOT "boat"[TIAB] AND has abstract [FILT] AND "journal article"[Publication Type] AND 2019/01/02:2020/03/04[Date - Publication]'),
-        ("IEEE", "http://ieeexploreapi.ieee.org/api/v1/search/articles?querytext=%28%22Abstract%22%3A%22a%22%29&format=json&apikey=t&max_records=200&start_record=1&start_year=2019&end_year=2020&content_type=Conferences&content_type=Journals&content_type=Books&content_type=Courses&content_type=Early+Access&content_type=Magazines&content_type=Standards"),
-        ("Scopus", 'TITLE-ABS-KEY({deep-sea} AND ("fish*" OR {whale}) AND NOT {boat}) AND PUBYEAR > 2018 AND PUBYEAR < 2021 AND SRCTYPE(p OR j OR b OR k OR r OR d)'),
-        ("medRxiv", "match-any:a,b c; match-all:d,e"), ("medRxiv wildcard", "refused"), ("medRxiv AND NOT", "refused"), ("medRxiv depth", "refused"), ("medRxiv AND between groups", "refused"), ("medRxiv mixed", "refused"),
-        ("order arXiv", "submittedDate descending"), ("order Scopus", "coverDate"), ("order PubMed", "pub+date"),
-    ],
-    "source, text",
-))
+    def read(text):
+        clean = language.sanitize(text)
+        if not language.is_valid(clean, strict=False):
+            return clean, False, False, None, None, None, None
+        node = language.parse(clean, strict=False)
+        return clean, language.is_valid(clean), True, language.depth(node), language.render(language.map_terms(node, str.upper)), ",".join(t.text for t in language.terms(node)), shown(language.tree(node))
+
+    return _by_row(asked_of(spark, d).select("doc_id", "query"), read, "query string, valid boolean, valid_free boolean, depth int, rewritten string, terms string, tree string")
+
+
+def _by_row(df: DataFrame, make, schema: str) -> DataFrame:
+    """doc_id and what make gives for the other columns of each row."""
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}
+    fields = [f.split() for f in schema.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            rows = [make(*x) for x in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
+            columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True))], names=["doc_id", *(n for n, _ in fields)])
+
+    return df.mapInArrow(run, f"doc_id bigint, {schema}")
+
+
+@query(f"""WITH q AS (SELECT doc_id, {_WORDS} FROM documents)
+SELECT doc_id, '(ti:"' || v || '" AND (ti:' || w || '* OR ti:"' || v || ' ' || w || '") ANDNOT ti:"' || w || '") OR (abs:"' || v || '" AND (abs:' || w || '* OR abs:"' || v || ' ' || w || '") ANDNOT abs:"' || w || '")' AS arxiv,
+  '"' || v || '"[TIAB] AND ("' || w || '*"[TIAB] OR "' || v || ' ' || w || '"[TIAB]) NOT "' || w || '"[TIAB] AND has abstract [FILT] AND "journal article"[Publication Type] AND 2019/01/02:2020/03/04[Date - Publication]' AS pubmed,
+  '"Abstract":"' || v || '" AND ("Abstract":"' || w || '*" OR "Abstract":"' || v || ' ' || w || '") NOT "Abstract":"' || w || '"' AS ieee,
+  '=2019&end_year=2020&content_type=Conferences&content_type=Journals&content_type=Books&content_type=Courses&content_type=Early+Access&content_type=Magazines&content_type=Standards' AS ieee_types,
+  'TITLE-ABS-KEY({{' || v || '}} AND ("' || w || '*" OR {{' || v || ' ' || w || '}}) AND NOT {{' || w || '}}) AND PUBYEAR > 2018 AND PUBYEAR < 2021 AND SRCTYPE(p OR j OR b OR k OR r OR d)' AS scopus,
+  'match-any:' || v || ',' || v || ' ' || w || '; match-all:' || w || ',' || v AS rxiv, 'refused' AS rxiv_wildcard, 'refused' AS rxiv_and_not, 'refused' AS rxiv_depth, 'refused' AS rxiv_mixed, 'submittedDate descending, coverDate, pub+date' AS orders FROM q""")
 def q_dialects(spark, d):
-    """What each remote source is asked, with its codes of types and its order, and what a source refuses."""
+    """What each remote source is asked for queries made of every document's words, with its codes of types and its order, and
+    what a source refuses."""
     from urllib.parse import parse_qs, urlsplit
 
-    node, one = language.parse("[deep-sea] AND ([fish*] OR [whale]) AND NOT [boat]"), language.parse("[a]")
     since, until, types = dt.date(2019, 1, 2), dt.date(2020, 3, 4), ["conference proceedings", "journal", "book", "other"]
+    query_of = lambda url: parse_qs(urlsplit(url).query)
 
     def groups(text):
         try:
@@ -365,14 +380,18 @@ def q_dialects(spark, d):
         except language.QueryError:
             return "refused"
 
-    asked = lambda url: parse_qs(urlsplit(url).query)
-    ordered = asked(dialects.arxiv_url(one))
-    rows = [
-        ("arXiv", dialects.arxiv_query(node)), ("PubMed", dialects.pubmed_query(node, since, until, dt.date(2024, 1, 1))), ("IEEE", dialects.ieee_url(one, "t", since, until, types)), ("Scopus", dialects.scopus_query(node, since, until, types)),
-        ("medRxiv", groups("([a] OR [b c]) OR ([d] AND [e])")), ("medRxiv wildcard", groups("[term*]")), ("medRxiv AND NOT", groups("[a] AND NOT [b]")), ("medRxiv depth", groups("[a] OR (([b] OR [c]) AND [d])")), ("medRxiv AND between groups", groups("([a] OR [b]) AND ([c] OR [d])")), ("medRxiv mixed", groups("[a] OR [b] AND [c]")),
-        ("order arXiv", f"{ordered['sortBy'][0]} {ordered['sortOrder'][0]}"), ("order Scopus", asked(dialects.scopus_url(one, "t", None, None, None))["sort"][0]), ("order PubMed", dialects.pubmed_url(one, None, None, dt.date(2024, 1, 1)).rpartition("sort=")[2]),
-    ]
-    return spark.createDataFrame(rows, "source string, text string")
+    def made(v, w):
+        node, one = language.parse(f"[{v}] AND ([{w}*] OR [{v} {w}]) AND NOT [{w}]"), language.parse(f"[{v}]")
+        arxiv = query_of(dialects.arxiv_url(one))
+        orders = f"{arxiv['sortBy'][0]} {arxiv['sortOrder'][0]}, {query_of(dialects.scopus_url(one, 't', None, None, None))['sort'][0]}, {dialects.pubmed_url(one, None, None, until).rpartition('sort=')[2]}"
+        refused = [groups(f"[{w}*]"), groups(f"[{v}] AND NOT [{w}]"), groups(f"[{v}] OR (([{w}] OR [{v}]) AND [{w}])"), groups(f"[{v}] OR [{w}] AND [{v}]")]
+        return (
+            dialects.arxiv_query(node), dialects.pubmed_query(node, since, until, until), dialects.ieee_query(node), dialects.ieee_url(one, "t", since, until, types).partition("&start_year")[2],
+            dialects.scopus_query(node, since, until, types), groups(f"([{v}] OR [{v} {w}]) OR ([{w}] AND [{v}])"), *refused, orders,
+        )
+
+    names = ("arxiv", "pubmed", "ieee", "ieee_types", "scopus", "rxiv", "rxiv_wildcard", "rxiv_and_not", "rxiv_depth", "rxiv_mixed", "orders")
+    return _by_row(asked_of(spark, d).select("doc_id", "v", "w"), made, ", ".join(f"{n} string" for n in names))
 
 
 def offline(url: str) -> tuple[int, str]:

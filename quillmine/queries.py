@@ -400,9 +400,11 @@ def q_normalize_scopus(spark, d):
     return out.select(F.col("seq.position").alias("seq"), "title", "abstract", F.array_join("authors", "|").alias("authors"), F.col("publication.issn").alias("issn"), F.col("publication.isbn").alias("isbn"), "publication_date", "citations", "number_of_pages")
 
 
-@query(f"""WITH {PAPERS}, f AS (SELECT seq, regexp_replace(year(publication_date) || '-' || title, '[^\\p{{L}}\\p{{N}}_-]', '_', 'g') || '.pdf' AS file_name, url, doi, coalesce('DOI-' || doi, lower(title) || '|' || year(publication_date)) AS paper_key FROM papers)
+@query(f"""WITH {PAPERS}, w AS (SELECT *, regexp_replace(year(publication_date) || '-' || title, '[^\\p{{L}}\\p{{N}}_-]', '_', 'g') || '.pdf' AS whole FROM papers),
+  f AS (SELECT seq, CASE WHEN strlen(whole) <= 200 THEN whole ELSE substring(whole, 1, 32) || '-' || sha256(whole) || '.pdf' END AS file_name, url, doi, coalesce('DOI-' || doi, lower(title) || '|' || year(publication_date)) AS paper_key FROM w)
 SELECT paper_key, file_name, concat_ws(' ', url, 'http://doi.org/' || doi) AS urls, row_number() OVER (PARTITION BY file_name ORDER BY seq) > 1 AS collision FROM f""")
 def q_download_plan(spark, d):
+    """Names are bounded in bytes: what is longer is cut and ends in a hash."""
     from .sinks.documents import download_plan
 
     return download_plan(c.with_keys(papers(spark, d))).select("paper_key", "file_name", F.array_join("urls", " ").alias("urls"), "collision")

@@ -20,7 +20,7 @@ from ._shared import map_text, tokenizer_path
 #: The pre-tokenizer's pattern of byte-level BPE (fixed by the vocabulary file's kind).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words remembered by a worker; the memory is emptied when full, which changes no result.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 #: Bytes of a word above which its places are matched together, not its bytes one after another, and places at a time.
 STEPPED, PLACES = 64, 1 << 16
 

@@ -143,7 +143,7 @@ def scopus_capture(p: DataFrame) -> tuple[str, str]:
         F.lit('<?xml version="1.0"?><abstracts-retrieval-response>'), tag("prism:url", F.lit("https://example.org/abstract/"), s), tag("ce:para", "\n Caf&#233; <i>no.</i> ", s, " &lt;&#x41;&gt;", xml(F.col("abstract")), F.lit("<!-- end -->.")), tag("ce:indexed-name", "B"), tag("ce:indexed-name", "A"), tag("ce:indexed-name", "B"),
         tag("author-keyword", "k"), tag("prism:startingPage", s), tag("prism:endingPage", (F.col("seq") + 6).cast("string")), F.lit("</abstracts-retrieval-response>"),
     )
-    return results, written(p.select(record.alias("value")).repartition(3), "details")
+    return results, written(p.select(record.alias("value")), "details")
 
 
 @query(f"""WITH {PAPERS} SELECT url AS urls, title, 'Café no. ' || seq || ' <A>' || replace(replace(abstract, chr(13) || chr(10), chr(10)), chr(13), chr(10)) || '.' AS abstract, 'B|A' AS authors, venue, category, issn, publisher, publication_date, doi, citations, 'k' AS keywords, 7 AS number_of_pages FROM papers WHERE title <> ''""")

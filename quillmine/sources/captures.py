@@ -121,10 +121,11 @@ def read_serials(spark: SparkSession, path: str) -> DataFrame:
 
 def read_scopus_details(spark: SparkSession, path: str) -> DataFrame:
     """Detail documents. A file holds one or more, each of which begins with an XML declaration if there are more; a document
-    is keyed by the address in it, or by its file's name without its ending."""
-    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    is keyed by the address in it, or by its file's name without its ending. Files are cut at the declarations, so that large
+    ones are read by many tasks and no row is more than a document."""
+    files = spark.read.option("lineSep", "<?xml ").text(path).withColumn("file", F.input_file_name())
     name = F.regexp_extract("file", r"([^/]*?)(\.[a-z]+)?$", 1)
-    return parse_details(files.select(name.alias("url"), F.explode(F.filter(F.split("value", r"(?=<\?xml )"), lambda x: F.trim(x) != "")).alias("value")))
+    return parse_details(files.select(name.alias("url"), "value").filter(F.trim("value") != ""))
 
 
 def parse_details(documents: DataFrame) -> DataFrame:

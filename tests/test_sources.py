@@ -90,6 +90,22 @@ def test_scopus(spark, tmp_path):
     assert n.scopus(raw).count() == 2
 
 
+def test_details_of_one_file_are_read_by_many_tasks(spark, tmp_path):
+    one = '<?xml version="1.0"?><a><prism:url>d{0}</prism:url>\n<ce:para>Text <?x y?>{0}</ce:para></a>'
+    put(tmp_path, "many.xml", "\n".join(one.format(i) for i in range(300)) + "\n")
+    (tmp_path / "alone").mkdir()
+    put(tmp_path / "alone", "d7.xml", "<a><ce:para>No declaration,\nno address</ce:para></a>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        read = captures.read_scopus_details(spark, str(tmp_path / "many.xml"))
+        assert read.rdd.getNumPartitions() > 5  # a whole file was one row
+        assert sorted((r.url, *r.abstracts) for r in read.collect()) == sorted((f"d{i}", f"Text {i}") for i in range(300))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r.url, *r.abstracts) for r in captures.read_scopus_details(spark, str(tmp_path / "alone")).collect()] == [("d7", "No declaration,\nno address")]
+
+
 def test_rxiv(spark, tmp_path):
     path = put(tmp_path, "r.json", {"collection": [{"title": "T", "abstract": "x", "authors": "Lee, A.; Bo, C.;", "date": "2020-01-02", "doi": "10.1101/1", "published": "10.1\\/pub"}, {"title": "U", "authors": "", "date": "2020-01-03", "doi": "10.1101/2", "published": "NA"}]})
     a, b = n.rxiv(captures.read_rxiv(spark, path), "bioRxiv").orderBy("seq").collect()

@@ -60,12 +60,13 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str | None = None) -> DataFrame:
-        """Writes a table and returns it as read back; without a name it gets a number."""
+    def save(self, df: DataFrame, name: str | None = None, by: str | None = None) -> DataFrame:
+        """Writes a table, in a folder for each value of a column if one is given, and returns it as read back; without a name
+        it gets a number."""
         self.saved += 1
         _folders[self.root] = self.spark
         path = self.path(name or f"t{self.saved}")
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, partitionBy=by)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:

@@ -2,7 +2,7 @@
 
 Answers are kept in a cache, a Parquet table by address in shared storage: what it has isn't asked again, whoever asks.
 New addresses are asked in rounds, each of which is added to the cache when it is done, so that a job that is lost loses one
-round at most. A host's addresses are one task's, which keeps to the host's pace. An address that gives no answer is left out of the cache
+round at most; a round is as large as those before it together, so that there are few of them. A host's addresses are one task's, which keeps to the host's pace. An address that gives no answer is left out of the cache
 and asked again by the next run.
 """
 
@@ -23,7 +23,7 @@ from ..spec import credentials
 from .captures import SERIALS, parse_details
 from .live import PAUSE, TIMEOUT, TOKEN, HttpReader
 
-#: Addresses of a round.
+#: Addresses of the largest rounds, if the first isn't larger.
 ROUND = 100_000
 CACHE = "url string, status int, body string"
 # Fixed value: where a journal's metrics are by ISSN.
@@ -79,16 +79,30 @@ def asked(urls: DataFrame, delay: float = 1.0, token: str = "", **options: str)
     return urls.select("url", "host").repartition("host").mapInArrow(run, CACHE)
 
 
+def round_ends(count: int, first: int, most: int = ROUND) -> list[int]:
+    """Where rounds end: the first has so many addresses, later ones as many as those before them together, or `most`."""
+    ends = []
+    while count > (done := ends[-1] if ends else 0):
+        ends.append(min(count, done + max(first, min(done, most))))
+    return ends
+
+
 def looked_up(urls: DataFrame, cache: str, round_size: int = ROUND, **options) -> DataFrame:
     """url, status, body of every distinct address of urls(url) that has an answer, from the cache or, if it lacks one, asked
-    now. Addresses stand for tokens as live.TOKEN, also in the cache; null ones are left out."""
+    now. Addresses stand for tokens as live.TOKEN, also in the cache; null ones are left out. The first round has round_size
+    addresses, about, and a lost job loses no more than that or, later, than what is done already."""
     spark = urls.sparkSession
     known, scratch = Cache(spark, cache), Scratch(spark, "lookup")
     wanted = scratch.save(urls.select("url").filter("url is not null").distinct(), "wanted")
     new = scratch.save(wanted.join(known.read().select("url"), "url", "left_anti").withColumn("host", F.coalesce(host(F.col("url")), F.lit(""))), "new")
-    rounds = -(-new.count() // round_size)
-    for k in range(rounds):
-        part = new if rounds == 1 else new.filter(F.pmod(F.xxhash64("url", F.lit(3)), F.lit(rounds)) == k)
+    count = new.count()
+    ends = round_ends(count, round_size)
+    if len(ends) > 1:  # dealt out once, so that each round reads its own addresses
+        place = F.pmod(F.xxhash64("url", F.lit(3)), F.lit(count))
+        number = sum(((place >= end).cast("int") for end in ends[:-1]), F.lit(0))
+        new = scratch.save(new.withColumn("round", number).repartition("round"), "dealt", by="round")
+    for k in range(len(ends)):
+        part = new if len(ends) == 1 else new.filter(F.col("round") == k)
         known.add(asked(part, **options).filter("body is not null"))
     return wanted.join(known.read(), "url")
 

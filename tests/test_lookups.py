@@ -77,6 +77,16 @@ def test_a_round_that_fails_keeps_those_before(spark, tmp_path, asked, monkeypat
     assert len(asked()) == 20
 
 
+def test_rounds_are_few(spark, tmp_path, asked, monkeypatch):
+    assert lookups.round_ends(0, 5) == [] and lookups.round_ends(12, 5) == [5, 10, 12] and lookups.round_ends(20, 100) == [20]
+    ends = lookups.round_ends(375_000, 50)
+    assert len(ends) < 20 and ends[:4] == [50, 100, 200, 400] and max(b - a for a, b in zip(ends, ends[1:], strict=False)) == lookups.ROUND
+    urls, add, sizes = spark.createDataFrame([(f"http://h{i % 7}/{i}",) for i in range(600)], "url string"), lookups.Cache.add, []
+    monkeypatch.setattr(lookups.Cache, "add", lambda self, df: (add(self, df), sizes.append(len(asked()))))
+    assert lookups.looked_up(urls, str(tmp_path / "cache"), round_size=5, **ASK).count() == 600
+    assert len(sizes) <= 9 and sizes[-1] == 600  # 120 rounds of 5 before
+
+
 def test_details_metrics_pages_and_dois(spark, tmp_path, asked):
     entries = [{"dc:title": f"T{i}", "prism:coverDate": "2020-05-06", "prism:url": f"http://s/abstract/{i}", "prism:issn": "1-2", "prism:publicationName": "J", "prism:doi": "10.1/s" if i else None} for i in range(2)]
     path = tmp_path / "s.json"

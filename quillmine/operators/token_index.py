@@ -9,8 +9,11 @@ that results equal those of a scan. Terms behind AND NOT narrow nothing and aren
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ from ..plans.query import Group, Term, alternatives
 
 #: Folders that tokens are dealt into, and tasks that write one of them, so that no task holds all of a frequent token.
 BUCKETS, WRITERS = 64, 4
+#: Papers whose postings one task writes, about: more papers are more tasks, so that none has to sort more than fits its memory.
+PAPERS = 10_000
 
 
 def tokens_of(text: Column) -> Column:
@@ -31,6 +36,33 @@ def term_tokens(text: str) -> list[str]:
     return [t for t in re.findall(r"[\w?*]+", text.lower().replace("-", " ")) if t]
 
 
+def postings_of(papers: DataFrame) -> DataFrame:
+    """token, seq and places of papers(seq, tokens), a row for each token that a paper has. A paper's places are put together
+    where it is read: only postings are moved, once, not every word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start = 0
+            counts = np.asarray(batch.column(1).value_lengths().fill_null(0))
+            ends = np.cumsum(counts)
+            while start < batch.num_rows:
+                to = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 500_000)))
+                part = batch.slice(start, to - start)
+                start = to
+                sizes = np.asarray(part.column(1).value_lengths().fill_null(0))
+                words = part.column(1).flatten().dictionary_encode()
+                paper = np.repeat(np.arange(len(sizes)), sizes)
+                place = (np.arange(len(paper)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+                key = paper * max(1, len(words.dictionary)) + np.asarray(words.indices)
+                order = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.diff(key[order], prepend=-1))
+                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(place[order]))
+                at = order[first]
+                yield pa.RecordBatch.from_arrays([words.dictionary.take(words.indices.take(pa.array(at))), part.column(0).take(pa.array(paper[at])), places], names=["token", "seq", "places"])
+
+    return papers.select("seq", "tokens").mapInArrow(run, f"token string, seq {papers.schema['seq'].dataType.simpleString()}, places array<int>")
+
+
 class TokenIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -42,9 +74,10 @@ class TokenIndex:
     def build(cls, papers: DataFrame, path: str, buckets: int = BUCKETS) -> TokenIndex:
         """Indexes titles, abstracts and keywords of papers by seq, as one text, so that no scope of a source is narrower."""
         spark, text = papers.sparkSession, F.concat_ws(" ", "title", "abstract", F.array_join("keywords", " "))
-        each = papers.select("seq", F.posexplode(tokens_of(text)).alias("place", "token"))
-        postings = each.groupBy("token", "seq").agg(F.sort_array(F.collect_list("place")).alias("places")).withColumn("bucket", _bucket(F.col("token"), buckets))
-        dealt = postings.repartition("bucket", F.pmod(F.xxhash64("seq"), F.lit(WRITERS))).sortWithinPartitions("bucket", "token", "seq")
+        postings = postings_of(papers.select("seq", tokens_of(text).alias("tokens"))).withColumn("bucket", _bucket(F.col("token"), buckets))
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-papers.count() // PAPERS))
+        writers = F.pmod(F.xxhash64("seq"), F.lit(max(WRITERS, -(-4 * tasks // buckets))))
+        dealt = postings.repartition(tasks, "bucket", writers).sortWithinPartitions("bucket", "token", "seq")
         dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
         terms = spark.read.parquet(f"{path}/postings").groupBy("bucket", "token").agg(F.count("*").alias("papers"))
         terms.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{path}/terms")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmine import api
-from quillmine.operators.token_index import TokenIndex, term_tokens
+from quillmine.operators.token_index import TokenIndex, postings_of, term_tokens
 from quillmine.schema import SOURCES, conform
 from quillmine.spec import SearchSpec
 
@@ -47,3 +47,11 @@ def test_only_the_tokens_of_the_query_are_read(spark, index):
 
 def test_tokens_of_terms():
     assert term_tokens("Deep-sea fish*") == ["deep", "sea", "fish*"] and term_tokens("c++") == ["c"] and term_tokens("+") == []
+
+
+def test_postings_are_made_without_moving_words(spark, tmp_path):
+    texts = {1: ["a", "b", "a"], 2: [], 3: None, 4: ["é"] * 3, 5: [str(i % 700) for i in range(600_000)], 6: ["b"]}
+    made = postings_of(spark.createDataFrame(list(texts.items()), "seq bigint, tokens array<string>"))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    want = {(t, s): [i for i, x in enumerate(xs) if x == t] for s, xs in texts.items() if s != 5 for t in set(xs or ())} | {(str(k), 5): list(range(k, 600_000, 700)) for k in range(700)}
+    assert {(r.token, r.seq): list(r.places) for r in made.collect()} == want

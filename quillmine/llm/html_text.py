@@ -4,7 +4,8 @@ Every page becomes lines of block text, each marked as body (in an article), as
 Pages are ordered by URL path within each host, and the lines of each, as hashes, are aligned with those of its nearest
 pages by longest common subsequence: shared lines are deleted. Copies of a page are passed over, and two neighbours
 have to agree, as one may quote the page. Structure then takes what differencing can't tell: menus that differ from page
-to page go with their elements, and lines of an article stay, shared or not, as other pages copy and quote them.
+to page go with their elements, and lines of an article stay where a few pages share them, as these copy and quote; those that
+all of many neighbours have (MANY) are the site's notices.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ BODY, OPEN, BOILERPLATE, WRAPPED = 0, 1, 2, 3
 OWN = 0.1
 #: Pages in a chunk that is compared at once, and pages on either side of a page among which its neighbours are looked for.
 CHUNK, WINDOW = 256, 16
+#: Different pages that must all have a line of an article for it to be no text of the article.
+MANY = 8
 #: Elements whose content is no text, up to their end tag.
 RAW = ("script", "style", "noscript", "template", "iframe", "annotation", "annotation-xml", "object", "canvas", "audio", "video", "textarea", "title", "head")
 #: Elements that are never main text, wherever they stand; a header counts only outside of the article.
@@ -227,23 +230,32 @@ def shared_lines(own: Signature, near: Iterator[Signature]) -> list[int]:
     """Places of the lines that the page shares with its nearest pages, given pages from the nearest on.
 
     Copies are passed over, as are pages without text: the two taken are no copies of the page or of each other. A line counts if both share it: one
-    alone may quote the page. A single one counts only if each of the two pages has text of its own. Lines of an
-    article's body never count: another page may have copied them.
+    alone may quote the page. A single one counts only if each of the two pages has text of its own. Of a page with an
+    article only lines of its body matter: other pages may have copied these, so all of MANY different pages have to share
+    one; a body of nothing else stays.
     """
-    taken: list[Signature] = []
+    body = {i for i, k in enumerate(own.kinds) if k == BODY}
+    left, taken = set(body), []
     for other in near:
         if other.text() and any(apart(own, other)) and all(any(apart(other, x)) for x in taken):
             taken.append(other)
-            if len(taken) == 2:
+            if body:
+                has = set(other.hashes)
+                left = {i for i in left if own.hashes[i] in has}
+            if len(taken) == (MANY if body else 2) or (body and not left):
                 break
+    if body:
+        if len(taken) < MANY or not left:
+            return []
+        left = left.intersection(*(common(own.hashes, other.hashes) for other in taken))
+        return sorted(left) if left != body else []
     if not taken or (len(taken) == 1 and not all(apart(own, taken[0]))):
         return []
-    both = set.intersection(*(common(own.hashes, other.hashes) for other in taken))
-    return sorted(i for i in both if own.kinds[i] != BODY)
+    return sorted(set.intersection(*(common(own.hashes, other.hashes) for other in taken)))
 
 
 def main_text(page: list[tuple[str, int]], shared: list[int] | None = None) -> str:
-    """The page's main text: its article if it has one, else what no element marks and no neighbour shares."""
+    """The page's main text: its article if it has one, else what no element marks, without what its neighbours share."""
     kind = BODY if any(k == BODY for _, k in page) else OPEN
     gone = set(shared or ())
     return "\n".join(t for i, (t, k) in enumerate(page) if k == kind and i not in gone)
@@ -322,8 +334,7 @@ def extract(pages: DataFrame) -> DataFrame:
     path = F.coalesce(F.regexp_replace(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), r"(/|/index\.html?|\.html?)$", ""), F.lit(""))
     keyed = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"), F.xxhash64("html").alias("key"))
     signatures = scratch.save(signed(keyed), "signatures")
-    open_pages = differences(signatures, scratch).filter(~F.col("body"))  # articles keep all their lines
-    verdicts = signatures.select("host", "sig", "key").join(open_pages, ["host", "sig"]).groupBy("host", "key").agg(F.first("shared").alias("shared"))
+    verdicts = signatures.select("host", "sig", "key").join(differences(signatures, scratch), ["host", "sig"]).groupBy("host", "key").agg(F.first("shared").alias("shared"))
     verdicts = scratch.save(verdicts, "verdicts")
     if verdicts.limit(1).count():
         keyed = keyed.join(verdicts, ["host", "key"], "left")

@@ -200,6 +200,19 @@ def test_copies_and_quotes_keep_their_text(spark):
     assert got[10] == got[11] == got[12] == framed(*one) and got[13] == framed(*one, *two)  # nothing tells the menu from the text
 
 
+def test_notices_inside_articles_go_and_quotes_stay(spark):
+    """A line that many different pages all have in their articles is none of the page's text; one that a few quote is."""
+    quoted = "A passage that three pages quote and that is theirs"
+    page = lambda k: f"<body><nav>Home</nav><article><h1>Title {k}</h1><p>Story {k} tells something of its own, at length</p>{f'<p>{quoted}</p>' if 8 <= k < 11 else ''}<p>Sign up for our letter today</p></article></body>"
+    whole = "<body><article><p>Sign up for our letter today</p></article><div>Own words of page {} outside of any article</div></body>"
+    rows = [(k, f"https://a.org/{k:02d}", page(k)) for k in range(20)] + [(20, "https://a.org/20", whole.format(20))] + [(30 + k, f"https://b.org/{k}", page(k)) for k in range(8)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    own = lambda k: f"Title {k}\nStory {k} tells something of its own, at length" + (f"\n{quoted}" if 8 <= k < 11 else "")
+    assert {k: got[k] for k in range(20)} == {k: own(k) for k in range(20)}
+    assert got[20] == "Sign up for our letter today"  # the article has nothing else
+    assert {k: got[30 + k] for k in range(8)} == {k: own(k) + "\nSign up for our letter today" for k in range(8)}  # too few pages to tell
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=14), st.lists(st.sampled_from("abcde"), max_size=14))
 def test_common_subsequences(a, b):

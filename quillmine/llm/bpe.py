@@ -217,11 +217,15 @@ class Remembering:
         cut = [self.words(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = dict(self.words.special)
-        new = set().union(*cut) - self.known.keys()
+        get = self.known.get
+        found = [list(map(get, words)) for words in cut]
+        lacking = [(words, ids) for words, ids in zip(cut, found, strict=True) if None in ids]
+        new = {w for words, ids in lacking for w, x in zip(words, ids, strict=True) if x is None}
         if new:
             self.learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+            for words, ids in lacking:
+                ids[:] = [get(w) if x is None else x for w, x in zip(words, ids, strict=True)]
+        return [b"".join(ids) for ids in found]
 
 
 class Encoder(Remembering):

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -111,8 +112,19 @@ class LibraryIds(Remembering):
         super().__init__({t.content: i for i, t in library.get_added_tokens_decoder().items()})
 
     def learn(self, words: list[str]) -> None:
-        found = [self.model.tokenize(w.encode().decode("latin-1").translate(self.shown)) for w in words]
-        self.remember(words, np.array([t.id for tokens in found for t in tokens], np.int64), np.fromiter(map(len, found), np.int64, len(found)))
+        ids, counts = [], []
+        for w in words:
+            plain = w.isascii() and w.isprintable()  # of these only the space is spelt otherwise
+            found = self.model.tokenize(w.replace(" ", self.shown[ord(" ")]) if plain else w.encode().decode("latin-1").translate(self.shown))
+            ids += [t.id for t in found]
+            counts.append(len(found))
+        self.remember(words, np.array(ids, np.int64), np.array(counts, np.int64))
+
+
+@lru_cache(maxsize=1)
+def library_ids(file: str) -> LibraryIds:
+    """A worker's own, which its later tasks use again with the words that it has met."""
+    return LibraryIds(file)
 
 
 def cut_pieces(docs: DataFrame, capacity: int, vocabulary: str, end_id: int) -> DataFrame:
@@ -121,7 +133,7 @@ def cut_pieces(docs: DataFrame, capacity: int, vocabulary: str, end_id: int) ->
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = LibraryIds(tokenizer_path(vocabulary)), np.array([end_id], "<u4").tobytes()
+        encode, end = library_ids(tokenizer_path(vocabulary)), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch):
                 row, piece, start, length, crc = [], [], [], [], []

@@ -173,3 +173,15 @@ def test_packing_of_tables(edge, empty, documents, capacity):
             assert at <= capacity
         assert len(bins) == greedy([r.length for r in got], capacity)
     assert packing.pack(empty).count() == 0
+
+
+def test_a_worker_keeps_the_words_that_it_has_met(monkeypatch):
+    """The tasks of a worker share one memory, and a word that it has isn't learned again."""
+    library, learned = packing.library_ids(BYTES), []
+    assert packing.library_ids(BYTES) is library
+    learn = packing.LibraryIds.learn
+    monkeypatch.setattr(packing.LibraryIds, "learn", lambda self, words: (learned.extend(words), learn(self, words)))
+    texts = ["zorble quaxix zorble", "é\x7f zorble\n\x00", ""]
+    first = library(texts)
+    assert packing.library_ids(BYTES)(texts) == first and len(learned) == len(set(learned)) > 0
+    assert [np.frombuffer(x, "<u4").tolist() for x in first] == [ids_of(t) for t in texts]
